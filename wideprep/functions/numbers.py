@@ -17,27 +17,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from wideprep.functions.text import WS, _col
+from wideprep.functions.text import WS, WS_CHARS, _col
 
-# text accepted by a pandas numeric parse (after comma removal)
+# text accepted by a pandas numeric parse (after comma removal and strip)
 _NUM = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 _INF = r"[+-]?(?i:inf|infinity)"
-PANDAS_NUMBER = rf"(?U)^{WS}*(?:{_NUM}|{_INF}){WS}*$"
-# text left by the digit filter that parses
-FILTERED_NUMBER = r"^-?(?:\d+\.?\d*|\.\d+)$"
+PANDAS_NUMBER = rf"^(?:{_NUM}|{_INF})$"
 # Python float() grammar: digit groups may use single underscores
 _DIGITS = r"\d(?:_?\d)*"
 PY_FLOAT = (
     rf"(?U)^{WS}*[+-]?(?:(?:(?:{_DIGITS})?\.{_DIGITS}|{_DIGITS}\.?)(?:[eE][+-]?{_DIGITS})?"
     rf"|(?i:nan|inf|infinity)){WS}*$"
 )
-
-
-def _finite_or_inf_text(text: Column, value: Column) -> Column:
-    """NaN -> NULL; +-inf only where the text spelled infinity (not overflow)."""
-    infinite = F.abs(value) == F.lit(float("inf"))
-    spelled = text.rlike(rf"(?U)^{WS}*{_INF}{WS}*$")
-    return F.when(F.isnan(value), F.lit(None)).when(infinite & ~spelled, F.lit(None)).otherwise(value)
+_INFINITY = float("inf")
 
 
 def num_comma(c, dtype=None) -> Column:
@@ -45,20 +37,59 @@ def num_comma(c, dtype=None) -> Column:
     Numeric columns pass through (pass ``dtype`` from the schema)."""
     if dtype is not None and isinstance(dtype, NumericType):
         return _col(c).cast("double")
-    t = F.regexp_replace(_col(c).cast("string"), ",", "")
-    # Spark's cast does not strip non-space white space: strip it ourselves
-    v = F.when(t.rlike(PANDAS_NUMBER), F.regexp_replace(t, rf"(?U){WS}", "").try_cast("double"))
-    return _finite_or_inf_text(t, v).cast("double")
+    t = F.btrim(F.replace(_col(c).cast("string"), F.lit(","), F.lit("")), F.lit(WS_CHARS))
+    v = F.when(t.rlike(PANDAS_NUMBER), t.try_cast("double"))
+    # an overflowing literal (1e400) is not a number to pandas; 'inf' is
+    overflow = (F.abs(v) == F.lit(_INFINITY)) & ~F.lower(t).contains("inf")
+    return F.when(overflow, F.lit(None)).otherwise(v).cast("double")
 
 
 def num_filter(c, dtype=None) -> Column:
-    """Keep only digits, '.' and '-' (commas first), then parse; else NULL."""
+    """Keep only digits, '.' and '-' (commas first), then parse; else NULL.
+    After the filter Spark's double cast accepts exactly what Python's
+    float() accepts ('-', '.', '1.2.3', '5-' fail in both)."""
     if dtype is not None and isinstance(dtype, NumericType):
         return _col(c).cast("double")
     t = F.regexp_replace(_col(c).cast("string"), r"[^0-9.\-]", "")
-    return F.when(t.rlike(FILTERED_NUMBER), t.try_cast("double")).cast("double")
+    return t.try_cast("double")
 
 
 def is_float_text(c) -> Column:
     """Python ``float(x.replace(',', ''))`` succeeds."""
-    return F.regexp_replace(_col(c).cast("string"), ",", "").rlike(PY_FLOAT)
+    return F.replace(_col(c).cast("string"), F.lit(","), F.lit("")).rlike(PY_FLOAT)
+
+
+# --- SQL-text forms -------------------------------------------------------------
+# The same readers as Spark SQL text over a column reference. A wide table
+# needs one expression per period column; building each from Python Column
+# calls costs dozens of driver round trips, a parsed string costs one.
+
+
+def sql_literal(text: str) -> str:
+    """Spark SQL string literal (backslashes, quotes and controls escaped)."""
+    out = []
+    for ch in text:
+        if ch == "\\":
+            out.append("\\\\")
+        elif ch == "'":
+            out.append("\\'")
+        elif ord(ch) < 0x20 or ord(ch) > 0x7E:
+            out.append(f"\\u{ord(ch):04x}")
+        else:
+            out.append(ch)
+    return "'" + "".join(out) + "'"
+
+
+def ref(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def num_comma_sql(col_sql: str) -> str:
+    t = f"btrim(replace(CAST({col_sql} AS STRING), ',', ''), {sql_literal(WS_CHARS)})"
+    v = f"(CASE WHEN {t} RLIKE {sql_literal(PANDAS_NUMBER)} THEN try_cast({t} AS DOUBLE) END)"
+    return (f"(CASE WHEN abs({v}) = double('infinity') AND NOT contains(lower({t}), 'inf') THEN CAST(NULL AS DOUBLE) "
+            f"ELSE {v} END)")
+
+
+def num_filter_sql(col_sql: str) -> str:
+    return f"try_cast(regexp_replace(CAST({col_sql} AS STRING), '[^0-9.-]', '') AS DOUBLE)"

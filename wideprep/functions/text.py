@@ -13,14 +13,27 @@ from pyspark.sql import functions as F
 
 from wideprep.constants import BLANK_TOKENS
 
-# white space as Python's str.isspace() sees it (Java needs (?U) + the separators)
-WS = r"[\s\x1c-\x1f]"
-_STRIP = rf"(?U)^{WS}+|{WS}+$"
-_RUNS = rf"(?U){WS}+"
+# white space as Python's str.isspace() sees it, spelled out: Java's
+# (?U)\s lacks the four information separators U+001C..U+001F, and a plain
+# character class is much cheaper than a Unicode property lookup
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+WS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in WS_CHARS) + "]"
+_RUNS = WS + "+"
+_OTHER_WS = WS_CHARS.replace(" ", "")
+# a whole cell that spells a missing value (the tokens are ASCII, so an
+# ASCII case-insensitive match equals lower-casing first)
+_BLANK_RE = "(?i)^(?:" + "|".join(t.replace("/", "/").replace("-", "\\-") for t in BLANK_TOKENS if t) + ")?$"
 # a cased letter (upper, lower or title case)
 _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 # split point: between a non-cased character and a cased one
 _WORD_START = rf"(?<=[^{_CASED}])(?=[{_CASED}])"
+# text where Python's title() differs from initcap(): a cased letter after
+# something that is neither a cased letter nor a space
+_NEEDS_SPLIT = rf"[^{_CASED} ][{_CASED}]"
 
 
 def _col(c) -> Column:
@@ -33,34 +46,40 @@ def as_text(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(as_text(c), _STRIP, "")
+    """Python ``str.strip()`` (character-set trim, no regex)."""
+    return F.btrim(as_text(c), F.lit(WS_CHARS))
 
 
 def collapse_ws(c) -> Column:
-    """Runs of white space -> one space (Python ``re.sub(r'\\s+', ' ', x)``)."""
-    return F.regexp_replace(as_text(c), _RUNS, " ")
+    """Runs of white space -> one space (Python ``re.sub(r'\\s+', ' ', x)``).
+    Every white-space character is first mapped to a space by ``translate``
+    (a character map, no Unicode-class regex), then space runs are folded."""
+    spaced = F.translate(as_text(c), _OTHER_WS, " " * len(_OTHER_WS))
+    return F.regexp_replace(spaced, " {2,}", " ")
 
 
 def is_blank(c) -> Column:
     """NULL, or trimmed lower-case text that spells a missing value. Never NULL."""
-    t = as_text(c)
-    return t.isNull() | F.lower(strip_ws(t)).isin(*BLANK_TOKENS)
+    return F.coalesce(strip_ws(c).rlike(_BLANK_RE), F.lit(True))
 
 
 def clean_text(c) -> Column:
-    """Trim, collapse white space, blank spellings -> ''. NULL -> ''. Never NULL."""
+    """Trim, collapse white space, blank spellings -> ''. NULL -> ''. Never NULL.
+    Each step reads the previous one once, so nesting stays linear."""
     s = collapse_ws(strip_ws(c))
-    return F.when(s.isNull() | F.lower(s).isin(*BLANK_TOKENS), F.lit("")).otherwise(s)
+    return F.coalesce(F.regexp_replace(s, _BLANK_RE, ""), F.lit(""))
 
 
 def py_title(c) -> Column:
     """Python ``str.title()``: upper-case the first cased letter after any
     non-cased character, lower-case the others (``initcap`` only splits on
     spaces)."""
-    parts = F.split(F.lower(as_text(c)), _WORD_START)
+    t = as_text(c)
+    parts = F.split(F.lower(t), _WORD_START)
     cap = F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30)))
-    return F.when(as_text(c).isNull(), F.lit(None).cast("string")).otherwise(F.array_join(cap, ""))
+    # initcap splits on spaces only; it agrees with title() unless a cased
+    # letter follows another non-cased character, so split only then
+    return F.when(t.rlike(_NEEDS_SPLIT), F.array_join(cap, "")).otherwise(F.initcap(t))
 
 
 def sku_text(c) -> Column:

@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wideprep.constants import TOLERANCE
-from wideprep.functions.numbers import num_comma
+from pyspark.sql.types import NumericType
+
+from wideprep.functions.numbers import num_comma, num_comma_sql, ref, sql_literal
 from wideprep.operators.ordinal import ROW_ID
 
 EXACT = "decimal(38,6)"
@@ -127,13 +129,33 @@ def slice_label(groups: list[str]) -> Column:
     return F.concat_ws(" / ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None")) for c in groups])
 
 
+def _cells(df: DataFrame, periods: list[str], keep: list[Column]) -> DataFrame:
+    """Sparse long form: (keep..., period, _v) for the parseable cells only.
+    Wide tables are mostly empty per row, so this emits about one row per
+    filled cell instead of one per (row, period)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def value(p: str) -> str:
+        v = f"CAST({ref(p)} AS DOUBLE)" if isinstance(types[p], NumericType) else num_comma_sql(ref(p))
+        return f"named_struct('period', {sql_literal(p)}, '_v', CAST({v} AS {EXACT}))"
+
+    cells = f"inline(filter(array({', '.join(value(p) for p in periods)}), x -> x._v IS NOT NULL))"
+    return df.select(*keep, F.expr(cells))
+
+
 def reconcile_periods(source: DataFrame, output: DataFrame, periods: list[str] | None = None,
                       groups: list[str] | None = None, tolerance: float = TOLERANCE, row_id: str = ROW_ID,
                       source_groups: str = "lineage") -> DataFrame:
     """Every period column at once: (groups..., period, input_total,
-    output_total, difference, match). One wide aggregate (two sums per
-    period, partial aggregation before the shuffle), then an unpivot of the
-    small aggregated result."""
+    output_total, difference, match).
+
+    Both sides are unpivoted to sparse cells and summed by (groups, period)
+    in one hash aggregate (partial aggregation before the shuffle). Source
+    cells get their group from the output row with the same ``_row_id``: a
+    join of the sparse cells with a narrow (_row_id, groups) projection.
+    Every (group, period) pair of the output appears, with zeros where no
+    cell exists, by adding one zero row per distinct group and period.
+    """
     if periods is None:
         periods = [c for c in source.columns if c in output.columns and c != row_id]
     periods = [p for p in periods if p in source.columns and p in output.columns]
@@ -142,18 +164,27 @@ def reconcile_periods(source: DataFrame, output: DataFrame, periods: list[str] |
     if not periods:
         return spark.createDataFrame([], "period string, input_total double, output_total double, "
                                          "difference double, match boolean")
-    rows = _paired(source, output, g, [measure_value(source, p) for p in periods],
-                   [measure_value(output, p) for p in periods], row_id, source_groups)
+    none = F.lit(None).cast(EXACT)
+    gcols = [F.col(f"`{c}`").cast("string").alias(c) for c in g]
+    raw = source_groups == "raw" and all(c in source.columns for c in g)
+    if not g or raw:
+        s = _cells(source, periods, gcols).select(*g, "period", F.col("_v").alias("_in"), none.alias("_out"))
+    else:
+        if row_id not in source.columns or row_id not in output.columns:
+            raise ValueError(f"lineage reconciliation needs {row_id} on both sides")
+        sc = _cells(source, periods, [F.col(row_id).alias("_sid")])
+        og = output.select(F.col(row_id).alias("_oid"), *gcols)
+        s = sc.join(og, F.col("_sid") == F.col("_oid"), "left").select(
+            *g, "period", F.col("_v").alias("_in"), none.alias("_out"))
+    o = _cells(output, periods, gcols).select(*g, "period", none.alias("_in"), F.col("_v").alias("_out"))
+    grid_src = output.select(*gcols).distinct() if g else spark.range(1).select()
+    plist = F.array(*[F.lit(p) for p in periods])
+    z = grid_src.select(*g, F.explode(plist).alias("period"), none.alias("_in"), none.alias("_out"))
     zero = F.lit(0).cast(EXACT)
-    sums = [F.coalesce(F.sum(f"_in{i}"), zero).alias(f"_in{i}") for i in range(len(periods))]
-    sums += [F.coalesce(F.sum(f"_out{i}"), zero).alias(f"_out{i}") for i in range(len(periods))]
-    agg = rows.groupBy(*g).agg(*sums) if g else rows.agg(*sums)
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(p).alias("period"), F.col(f"_in{i}").alias("_in"), F.col(f"_out{i}").alias("_out"))
-        for i, p in enumerate(periods)]))
-    long = agg.select(*g, cells.alias("x")).select(*g, "x.period", "x._in", "x._out")
+    agg = s.unionByName(o).unionByName(z).groupBy(*g, "period").agg(
+        F.coalesce(F.sum("_in"), zero).alias("_in"), F.coalesce(F.sum("_out"), zero).alias("_out"))
     diff = F.col("_out") - F.col("_in")
-    return long.select(
+    return agg.select(
         *g, "period",
         F.col("_in").cast("double").alias("input_total"),
         F.col("_out").cast("double").alias("output_total"),

@@ -29,8 +29,10 @@ from wideprep.constants import (
     STATUS_REVIEW,
     TIME_FIELD,
 )
-from wideprep.functions.numbers import num_filter
-from wideprep.functions.text import clean_text, py_title, sku_text
+from pyspark.sql.types import NumericType
+
+from wideprep.functions.numbers import num_filter_sql, ref
+from wideprep.functions.text import clean_text, py_title
 from wideprep.operators.ordinal import ROW_ID
 
 DICTIONARY_DIMS = (("Country", "country"), ("Region", "region"), ("Channel", "channel"))
@@ -70,13 +72,13 @@ def _map_literal(d: dict[str, str]) -> Column | None:
 
 
 def standardize_with(c: Column, dictionary: dict[str, str]) -> Column:
-    """Lookup of the lower-cased clean text, else its title case."""
-    cleaned = clean_text(c)
-    fallback = py_title(cleaned)
+    """Lookup of the lower-cased text, else its title case. ``c`` should be
+    a column of already cleaned text (it is read several times)."""
+    fallback = py_title(c)
     m = _map_literal(dictionary)
     if m is None:
         return fallback
-    return F.coalesce(F.try_element_at(m, F.lower(cleaned)), fallback)
+    return F.coalesce(F.try_element_at(m, F.lower(c)), fallback)
 
 
 def standards_to_dict(standards) -> dict[str, dict[str, str]]:
@@ -106,51 +108,54 @@ def standardize(source: DataFrame, mapping: DataFrame, standards=STANDARDS, data
 
     def src(dim: str) -> Column:
         c = lookup.get(dim)
-        return F.col(f"`{c}`").cast("string") if c and c in cols else F.lit("")
-
+        return F.col(ref(c)).cast("string") if c and c in cols else F.lit("")
+
+    rid = [F.col(row_id)] if row_id in cols else []
+    period_names = [c for c in times if c in cols]
+    # stage 1: cleaned text per dimension, numeric periods
+    cleaned = source.select(
+        *rid,
+        *[clean_text(src(d)).alias(f"_c{i}") for i, d in enumerate(DIMS)],
+        *[_period_value(source, c).alias(c) for c in period_names],
+    )
+    c = {d: F.col(f"_c{i}") for i, d in enumerate(DIMS)}
+    # stage 2: dictionary lookups, title case, SKU form (each reads a column)
     dims: dict[str, Column] = {}
     for dim, key in DICTIONARY_DIMS:
-        dims[dim] = standardize_with(src(dim), std.get(key, {}))
+        dims[dim] = standardize_with(c[dim], std.get(key, {}))
     for dim in TITLE_DIMS:
-        dims[dim] = py_title(clean_text(src(dim)))
-    dims["SKU"] = sku_text(src("SKU"))
-
-    types = dict(source.dtypes)
-    periods = [num_filter(F.col(f"`{c}`"), _dtype(source, c)).alias(c) for c in times if c in cols and types.get(c)]
-
-    filled = sum(((dims[d] != "") & dims[d].isNotNull()).cast("int") for d in DIMS)
-    confidence = F.bround(filled * 100.0 / len(DIMS), 0).cast("int")
-    complete = None
+        dims[dim] = py_title(c[dim])
+    dims["SKU"] = F.upper(F.regexp_replace(c["SKU"], r"[^A-Za-z0-9_\-]", ""))
+    named = cleaned.select(*rid, *[dims[d].alias(DIM_COLUMNS[d]) for d in DIMS], *[F.col(ref(p)) for p in period_names])
+    # stage 3: record scores from the finished dimensions
+    filled = sum((F.col(DIM_COLUMNS[d]) != "").cast("int") for d in DIMS)
+    complete = F.lit(True)
     for d in REQUIRED_DIMS:
-        ok = (dims[d] != "") & dims[d].isNotNull()
-        complete = ok if complete is None else complete & ok
-    base = source.select(
-        *([F.col(row_id)] if row_id in cols else []),
-        *[dims[d].alias(DIM_COLUMNS[d]) for d in DIMS],
-        *periods,
-        confidence.alias("confidence"),
-        complete.alias("_complete"),
-    )
+        complete = complete & (F.col(DIM_COLUMNS[d]) != "")
+    scored = named.select("*", F.bround(filled * 100.0 / len(DIMS), 0).cast("int").alias("confidence"),
+                          complete.alias("_complete"))
     top = METHOD_MODEL if has_model else SOURCE_RULES
     conf = F.col("confidence")
     status = F.when(~F.col("_complete"), F.lit(STATUS_INCOMPLETE)).when(conf >= APPROVE_FROM, F.lit(STATUS_APPROVED)).otherwise(
         F.lit(STATUS_REVIEW))
     rec = F.when(conf >= APPROVE_FROM, F.lit(top)).when(conf >= HISTORY_FROM, F.lit(SOURCE_HISTORY)).otherwise(F.lit(SOURCE_MANUAL))
-    out = base.select(
-        *([F.col(row_id)] if row_id in cols and keep_row_id else []),
-        record_id(F.col(row_id)).alias("record_id") if row_id in cols else F.lit(None).cast("string").alias("record_id"),
+    return scored.select(
+        *([F.col(row_id)] if rid and keep_row_id else []),
+        record_id(F.col(row_id)).alias("record_id") if rid else F.lit(None).cast("string").alias("record_id"),
         *[F.col(DIM_COLUMNS[d]) for d in DIMS],
-        *[F.col(f"`{c}`") for c in times if c in cols],
+        *[F.col(ref(p)) for p in period_names],
         conf,
         status.alias("status"),
         rec.alias("recommendation_source"),
         F.lit("").alias("analyst_comment"),
     )
-    return out
 
 
-def _dtype(df: DataFrame, name: str):
-    return df.schema[name].dataType
+def _period_value(df: DataFrame, name: str) -> Column:
+    """Numeric period cell: numeric columns cast, text through the digit filter."""
+    if isinstance(df.schema[name].dataType, NumericType):
+        return F.col(ref(name)).cast("double")
+    return F.expr(num_filter_sql(ref(name)))
 
 
 def record_id(ordinal: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wideprep.constants import STANDARDS
+from wideprep.functions.numbers import ref
 from wideprep.operators.classify import classify_columns, header_catalogue
 from wideprep.operators.standardize import standardize
 from wideprep.sources.fixtures import HEADERS, shipments
@@ -59,5 +60,5 @@ def period_columns(spark: SparkSession, sf_dir: str) -> list[str]:
 
 def row_total(df: DataFrame, periods: list[str]) -> F.Column:
     """Sum of a row's period values (NULL -> 0), exact."""
-    return sum((F.coalesce(F.col(f"`{p}`"), F.lit(0.0)).cast("decimal(38,6)") for p in periods),
-               F.lit(0).cast("decimal(38,6)"))
+    terms = " + ".join(f"CAST(coalesce({ref(p)}, 0D) AS DECIMAL(38,6))" for p in periods)
+    return F.expr(f"CAST({terms or '0'} AS DECIMAL(38,6))")

@@ -84,14 +84,19 @@ def shipment_columns() -> list[Column]:
     amount_text = F.when(ok % 3 == 0, F.format_number(amount, 2)).otherwise(
         amount.cast("decimal(18,2)").cast("string")
     )
-    year, month = F.year(sd), F.month(sd)
-    periods = [F.when((year == y) & (month == m), amount_text).alias(name) for name, y, m in PERIODS]
     return [
         country.alias("COUNTRY_NAME"), zone.alias("SALES_ZONE"), trade.alias("TRADE_TYPE"),
         city.alias("SHIP_TO_CITY"), group.alias("PROD_GROUP"), brand.alias("BRAND_DESC"),
         item.alias("ITEM_CODE"), measure.alias("MEASURE"), ship_date.alias("SHIP_DATE"),
         ok.cast("string").alias("ORDER_NO"), ln.cast("string").alias("LINE_NO"),
-    ] + periods
+        amount_text.alias("_amount"), F.year(sd).alias("_y"), F.month(sd).alias("_m"),
+    ]
+
+
+def period_columns() -> list[Column]:
+    """Pivot of ``_amount`` by (``_y``, ``_m``) over the explicit month list;
+    one parsed SQL expression per column keeps plan building cheap."""
+    return [F.expr(f"CASE WHEN _y = {y} AND _m = {m} THEN _amount END AS {name}") for name, y, m in PERIODS]
 
 
 def shipments_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +116,8 @@ def shipments_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(t("region").select("r_regionkey", "r_name")), F.col("n_regionkey") == F.col("r_regionkey"))
         .join(t("part").select("p_partkey", "p_name", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     )
-    return joined.select(*[F.col(k) for k in ORDER_KEYS], *shipment_columns())
+    base = joined.select(*[F.col(k) for k in ORDER_KEYS], *shipment_columns())
+    return base.select(*[F.col(k) for k in ORDER_KEYS], *[F.col(h) for h in DIM_HEADERS], *period_columns())
 
 
 _CACHE: dict[tuple, DataFrame] = {}
