@@ -35,14 +35,16 @@ _TEXT_FORMATS = (
     "MMM yyyy",
     "MMMM yyyy",
 )
+_ISO = r"^\d{4}-\d{1,2}(?:-\d{1,2})?(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?$"
 _MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s")
 _DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s")
 
 
 def _declared(t: Column, dayfirst: bool) -> Column:
     numeric = _DAY_FIRST + _MONTH_FIRST if dayfirst else _MONTH_FIRST + _DAY_FIRST
-    # ISO date / date-time (Spark's own cast grammar), then the declared list
-    tries = [F.try_to_timestamp(t)]
+    # ISO date / date-time (Spark's own cast grammar, only on ISO-shaped
+    # text: the cast also takes bare years and signs), then the declared list
+    tries = [F.when(t.rlike(_ISO), F.try_to_timestamp(t))]
     tries += [F.try_to_timestamp(t, F.lit(f)) for f in _TEXT_FORMATS + numeric]
     return F.coalesce(*tries)
 

@@ -16,6 +16,7 @@ from wideprep.constants import (
     TIME_PATTERNS,
 )
 from wideprep.plans.sqlparts import (
+    parse_date,
     clean_text,
     ident,
     is_blank,
@@ -241,3 +242,172 @@ ORACLE = {
 
 def oracle_sql() -> dict[str, str]:
     return {k: f() for k, f in ORACLE.items()}
+
+
+# --- profiling ----------------------------------------------------------------------
+_DATE_HINTS = ("date", "period", "month", "week", "year")
+
+
+def _profile_cte() -> str:
+    ords = ", ".join(f"({q(h)}, {i + 1})" for i, h in enumerate(HEADERS))
+    hint = " OR ".join(f"contains(lower(column_name), {q(h)})" for h in _DATE_HINTS)
+    return f"""shipments AS ({shipments_cte()}),
+long AS (SELECT _row_id, column_name, v FROM shipments
+         UNPIVOT INCLUDE NULLS (v FOR column_name IN ({", ".join(HEADERS)}))),
+agg AS (
+  SELECT column_name, count(*) AS n, count_if({is_blank('v')}) AS missing,
+         count({num_comma('v')}) AS parsed, count_if({num_comma('v')} < 0) AS neg
+  FROM long GROUP BY column_name
+),
+firsts AS (
+  SELECT column_name, v, row_number() OVER (PARTITION BY column_name ORDER BY _row_id) AS rk
+  FROM long WHERE v IS NOT NULL
+),
+dates AS (
+  SELECT column_name, avg(CASE WHEN {parse_date('v')} IS NOT NULL THEN 1.0 ELSE 0.0 END) AS share
+  FROM firsts WHERE rk <= 100 GROUP BY column_name
+),
+ords AS (SELECT * FROM (VALUES {ords}) o(column_name, col_ordinal)),
+prof AS (
+  SELECT a.column_name, CAST(o.col_ordinal AS INTEGER) AS col_ordinal, a.missing, a.parsed,
+         (a.n > 0 AND a.parsed / a.n >= 0.7) AS is_numeric,
+         CASE WHEN a.n > 0 AND a.parsed / a.n >= 0.7 THEN a.neg ELSE 0 END AS negatives,
+         (({hint.replace('column_name', 'a.column_name')}) OR coalesce(d.share, 0) >= 0.7) AS is_date
+  FROM agg a JOIN ords o ON a.column_name = o.column_name LEFT JOIN dates d ON a.column_name = d.column_name
+)"""
+
+
+def profile_columns() -> str:
+    return f"WITH {_profile_cte()}\nSELECT * FROM prof"
+
+
+def profile_table() -> str:
+    cols = ", ".join(HEADERS)
+    return f"""WITH {_profile_cte()},
+dups AS (SELECT coalesce(sum(n - 1), 0) AS d FROM (SELECT count(*) AS n FROM shipments GROUP BY {cols})),
+s AS (
+  SELECT (SELECT count(*) FROM shipments) AS rows, CAST(count(*) AS INTEGER) AS columns,
+         (SELECT d FROM dups) AS exact_duplicates, sum(missing) AS missing_cells,
+         CAST(count_if(is_numeric) AS INTEGER) AS numeric_columns, sum(negatives) AS negative_values,
+         CAST(count_if(is_date) AS INTEGER) AS date_columns
+  FROM prof
+)
+SELECT CAST(rows AS BIGINT) AS rows, columns, CAST(exact_duplicates AS BIGINT) AS exact_duplicates,
+       CAST(missing_cells AS BIGINT) AS missing_cells, numeric_columns, CAST(negative_values AS BIGINT) AS negative_values,
+       date_columns,
+       greatest(20, least(100, CAST(trunc(100 - (missing_cells * 100.0 / (CASE WHEN rows > 0 AND columns > 0 THEN rows * columns ELSE 1 END) * 2
+            + (CASE WHEN rows > 0 THEN exact_duplicates * 100.0 / rows ELSE 0 END) * 1.5
+            + CASE WHEN negative_values > 0 THEN 5 ELSE 0 END)) AS INTEGER))) AS health_score
+FROM s"""
+
+
+# --- cleanup -------------------------------------------------------------------------
+def _all_cols(replace: dict[str, str] | None = None) -> str:
+    replace = replace or {}
+    return ", ".join(f"{replace[h]} AS {h}" if h in replace else h for h in ("_row_id",) + HEADERS)
+
+
+def _negatives(kind: str) -> str:
+    def f(p: str) -> str:
+        v = num_comma(p)
+        if kind == "abs":
+            return f"abs({v})"
+        if kind == "zero":
+            return f"CASE WHEN {v} < 0 THEN 0.0::DOUBLE ELSE {v} END"
+        return f"CASE WHEN {v} < 0 THEN NULL ELSE {v} END"
+
+    return f"WITH shipments AS ({shipments_cte()})\nSELECT {_all_cols({p: f(p) for p in PERIOD_COLUMNS})} FROM shipments"
+
+
+def negatives_abs() -> str:
+    return _negatives("abs")
+
+
+def negatives_zero() -> str:
+    return _negatives("zero")
+
+
+def negatives_null() -> str:
+    return _negatives("null")
+
+
+def duplicate_report() -> str:
+    return f"""WITH shipments AS ({shipments_cte()})
+SELECT {_all_cols()} FROM shipments
+QUALIFY count(*) OVER (PARTITION BY ORDER_NO, LINE_NO) > 1"""
+
+
+def _dedup(order: str, single: bool = False) -> str:
+    cond = ("count(*) OVER (PARTITION BY ORDER_NO, LINE_NO) = 1" if single else
+            f"row_number() OVER (PARTITION BY ORDER_NO, LINE_NO ORDER BY _row_id {order}) = 1")
+    return f"WITH shipments AS ({shipments_cte()})\nSELECT {_all_cols()} FROM shipments QUALIFY {cond}"
+
+
+def dedup_first() -> str:
+    return _dedup("ASC")
+
+
+def dedup_last() -> str:
+    return _dedup("DESC")
+
+
+def dedup_none() -> str:
+    return _dedup("", single=True)
+
+
+def dates_standardized() -> str:
+    from wideprep.plans.sqlparts import standardize_date as sd
+
+    d = "SHIP_DATE"
+    return f"""WITH shipments AS ({shipments_cte()})
+SELECT ORDER_NO, LINE_NO, SHIP_DATE,
+  {sd(d, '%Y-%m-%d', True)} AS iso_dayfirst,
+  {sd(d, '%Y-%m-%d', False)} AS iso_monthfirst,
+  {sd(d, '%d/%m/%Y', True)} AS dmy,
+  {sd(d, '%m/%d/%Y', True)} AS mdy,
+  {sd(d, '%d %B %Y', True)} AS long_date,
+  {sd(d, '%b %Y', True)} AS month_text
+FROM shipments"""
+
+
+def manage_columns() -> str:
+    rest = [h for h in HEADERS if h not in ("LINE_NO", "ITEM_CODE", "ORDER_NO")]
+    return f"""WITH shipments AS ({shipments_cte()})
+SELECT _row_id, ITEM_CODE, ORDER_NO AS ORDER_REF, {", ".join(rest)} FROM shipments"""
+
+
+def cleanup_plan() -> str:
+    from wideprep.plans.sqlparts import standardize_date as sd
+
+    cols = [("_row_id", None)] + [(h, None) for h in HEADERS if h != "LINE_NO"]
+    sel = []
+    for h, _ in cols:
+        if h == "_row_id":
+            continue
+        if h in PERIOD_COLUMNS:
+            sel.append(f"abs({num_comma(h)}) AS {h}")
+        elif h == "SHIP_DATE":
+            sel.append(f"{sd(h, '%d/%m/%Y', True)} AS SHIP_DATE")
+        elif h == "ORDER_NO":
+            sel.append("ORDER_NO AS ORDER_REF")
+        else:
+            sel.append(h)
+    return f"""WITH shipments AS ({shipments_cte()}),
+kept AS (SELECT * FROM shipments QUALIFY row_number() OVER (PARTITION BY ORDER_NO, LINE_NO ORDER BY _row_id) = 1)
+SELECT row_number() OVER (ORDER BY _row_id) AS _row_id, {", ".join(sel)} FROM kept"""
+
+
+ORACLE.update({
+    "profile_columns": profile_columns,
+    "profile_table": profile_table,
+    "negatives_abs": negatives_abs,
+    "negatives_zero": negatives_zero,
+    "negatives_null": negatives_null,
+    "duplicate_report": duplicate_report,
+    "dedup_first": dedup_first,
+    "dedup_last": dedup_last,
+    "dedup_none": dedup_none,
+    "dates_standardized": dates_standardized,
+    "manage_columns": manage_columns,
+    "cleanup_plan": cleanup_plan,
+})

@@ -90,3 +90,131 @@ REGISTRY = {
     "reconcile_periods": reconcile_periods,
     "classify_headers": classify_headers,
 }
+
+
+# --- profiling ---------------------------------------------------------------------
+def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-column figures of the raw shipments table."""
+    from wideprep.operators.profile import profile_columns as run
+
+    return run(P.source(spark, sf_dir))
+
+
+def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-table figures and health score."""
+    from wideprep.operators.profile import profile_table as run
+
+    return run(P.source(spark, sf_dir))
+
+
+# --- cleanup -------------------------------------------------------------------------
+DUP_KEYS = ["ORDER_NO", "LINE_NO"]
+
+
+def _negative_columns(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The analyst's pick: every period column (sparse, so the profile's
+    numeric share rule does not flag them, but they hold the negatives)."""
+    return list(P.period_columns(spark, sf_dir))
+
+
+def _negatives(spark: SparkSession, sf_dir: str, action: str) -> DataFrame:
+    from wideprep.operators.cleanup import apply_negative_actions
+
+    return apply_negative_actions(P.source(spark, sf_dir), {c: action for c in _negative_columns(spark, sf_dir)})
+
+
+def negatives_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column with negatives -> absolute values."""
+    return _negatives(spark, sf_dir, "Convert to positive")
+
+
+def negatives_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives -> 0."""
+    return _negatives(spark, sf_dir, "Replace with zero")
+
+
+def negatives_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D3: negatives -> NULL."""
+    return _negatives(spark, sf_dir, "Replace with blank")
+
+
+def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of repeated (ORDER_NO, LINE_NO) keys."""
+    from wideprep.operators.cleanup import duplicate_report as run
+
+    return run(P.source(spark, sf_dir), DUP_KEYS)
+
+
+def _dedup(spark: SparkSession, sf_dir: str, keep: str) -> DataFrame:
+    from wideprep.operators.cleanup import remove_duplicates
+
+    return remove_duplicates(P.source(spark, sf_dir), DUP_KEYS, keep)
+
+
+def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D6."""
+    return _dedup(spark, sf_dir, "Keep first")
+
+
+def dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7."""
+    return _dedup(spark, sf_dir, "Keep last")
+
+
+def dedup_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D8."""
+    return _dedup(spark, sf_dir, "Delete all duplicates")
+
+
+def dates_standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHIP_DATE in every output format, day-first and month-first."""
+    from wideprep.functions.dates import standardize_date
+
+    src = P.source(spark, sf_dir)
+    d = F.col("SHIP_DATE")
+    return src.select(
+        "ORDER_NO", "LINE_NO", "SHIP_DATE",
+        standardize_date(d, "YYYY-MM-DD", True).alias("iso_dayfirst"),
+        standardize_date(d, "YYYY-MM-DD", False).alias("iso_monthfirst"),
+        standardize_date(d, "DD/MM/YYYY", True).alias("dmy"),
+        standardize_date(d, "MM/DD/YYYY", True).alias("mdy"),
+        standardize_date(d, "Long date", True).alias("long_date"),
+        standardize_date(d, "Month text", True).alias("month_text"),
+    )
+
+
+def manage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop, rename, reorder."""
+    from wideprep.operators.cleanup import manage_columns as run
+
+    return run(P.source(spark, sf_dir), delete=["LINE_NO", "NOT_A_COLUMN"], rename={"ORDER_NO": "ORDER_REF"},
+               order=["ITEM_CODE", "ORDER_REF"])
+
+
+def cleanup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives -> dedup -> dates -> columns, rows renumbered densely."""
+    from wideprep.operators.cleanup import CleanupPlan, apply_plan
+
+    plan = CleanupPlan(
+        negatives={c: "Convert to positive" for c in _negative_columns(spark, sf_dir)},
+        duplicate_keys=DUP_KEYS, duplicate_policy="Keep first",
+        date_columns=["SHIP_DATE"], date_format="DD/MM/YYYY", dayfirst=True,
+        delete=["LINE_NO"], rename={"ORDER_NO": "ORDER_REF"},
+    )
+    return apply_plan(P.source(spark, sf_dir), plan, renumber=True)
+
+
+REGISTRY.update({
+    "profile_columns": profile_columns,
+    "profile_table": profile_table,
+    "negatives_abs": negatives_abs,
+    "negatives_zero": negatives_zero,
+    "negatives_null": negatives_null,
+    "duplicate_report": duplicate_report,
+    "dedup_first": dedup_first,
+    "dedup_last": dedup_last,
+    "dedup_none": dedup_none,
+    "dates_standardized": dates_standardized,
+    "manage_columns": manage_columns,
+    "cleanup_plan": cleanup_plan,
+})

@@ -110,3 +110,26 @@ JOIN nation ON c_nationkey = n_nationkey
 JOIN region ON n_regionkey = r_regionkey
 JOIN part ON l_partkey = p_partkey
 """
+
+
+_ISO = r"^\d{4}-\d{1,2}(-\d{1,2})?([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?)?$"
+_TEXT_FORMATS = ["%Y/%m/%d", "%Y/%m/%d %H:%M:%S", "%d %b %Y", "%d %B %Y", "%d-%b-%Y", "%d-%B-%Y",
+                 "%b %d, %Y", "%B %d, %Y", "%b %d %Y", "%B %d %Y", "%b %Y", "%B %Y"]
+_MONTH_FIRST = ["%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y", "%m/%d/%Y %H:%M", "%m/%d/%Y %H:%M:%S"]
+_DAY_FIRST = ["%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%d/%m/%Y %H:%M", "%d/%m/%Y %H:%M:%S"]
+
+
+def parse_date(x: str, dayfirst: bool = False) -> str:
+    """DATE from mixed text: 8 digits, spreadsheet serial, ISO, declared formats."""
+    t = strip_ws(x)
+    fmts = _TEXT_FORMATS + (_DAY_FIRST + _MONTH_FIRST if dayfirst else _MONTH_FIRST + _DAY_FIRST)
+    flist = "[" + ", ".join(q(f) for f in fmts) + "]"
+    return (f"(CASE WHEN regexp_full_match({t}, '\\d{{8}}') THEN CAST(try_strptime({t}, '%Y%m%d') AS DATE) "
+            f"WHEN regexp_full_match({t}, '\\d{{4,5}}(\\.0)?') THEN "
+            f"DATE '1899-12-30' + CAST(regexp_extract({t}, '^(\\d{{4,5}})', 1) AS INTEGER) "
+            f"ELSE CAST(coalesce(CASE WHEN regexp_matches({t}, {q(_ISO)}) THEN try_cast({t} AS TIMESTAMP) END, "
+            f"try_strptime({t}, {flist})) AS DATE) END)")
+
+
+def standardize_date(x: str, pattern: str, dayfirst: bool) -> str:
+    return f"coalesce(strftime({parse_date(x, dayfirst)}, {q(pattern)}), {strip_ws(x)})"
