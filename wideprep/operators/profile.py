@@ -32,17 +32,33 @@ def _data_columns(df: DataFrame, row_id: str) -> list[str]:
 
 
 def _column_counts(df: DataFrame, cols: list[str]) -> dict:
-    """missing / parsed / negative counts for every column, one pass."""
+    """missing / parsed / negative counts for every column in one pass.
+
+    Cells are unpivoted with ``stack`` to (column index, text) and only the
+    non-NULL ones are parsed (wide tables are mostly empty); NULL counts
+    follow from the row count. A four-aggregate hash group by column index
+    combines map-side to one row per column per task, and the expressions
+    stay small however many columns the table has.
+    """
+    if not cols:
+        return {"_rows": df.count()}
     types = {f.name: f.dataType for f in df.schema.fields}
-    aggs = ["count(1) AS _rows"]
+    args = ", ".join(f"{i}, CAST({ref(c)} AS STRING)" for i, c in enumerate(cols))
+    long = df.selectExpr(f"stack({len(cols)}, {args}) AS (i, v)").where("v IS NOT NULL")
+    blank = f"btrim(v, {sql_literal(WS_CHARS)}) RLIKE {sql_literal(_BLANK_SQL)}"
+    num = num_comma_sql("v")
+    agg = long.groupBy("i").agg(F.count(F.lit(1)).alias("nn"), F.expr(f"count_if({blank})").alias("bl"),
+                                F.expr(f"count({num})").alias("p"), F.expr(f"count_if({num} < 0)").alias("n"))
+    rows = df.count()
+    out = {"_rows": rows}
+    got = {r["i"]: r for r in agg.collect()}
     for i, c in enumerate(cols):
-        r = ref(c)
+        r = got.get(i)
+        nn, bl, p, n = (r["nn"], r["bl"], r["p"], r["n"]) if r else (0, 0, 0, 0)
         text = isinstance(types[c], StringType)
-        blank = (f"coalesce(btrim({r}, {sql_literal(WS_CHARS)}) RLIKE {sql_literal(_BLANK_SQL)}, true)"
-                 if text else f"{r} IS NULL")
-        num = f"CAST({r} AS DOUBLE)" if isinstance(types[c], NumericType) else num_comma_sql(r)
-        aggs += [f"count_if({blank}) AS _m{i}", f"count({num}) AS _p{i}", f"count_if({num} < 0) AS _n{i}"]
-    return df.selectExpr(*aggs).first().asDict()
+        out[f"_m{i}"] = rows - nn + (bl if text else 0)
+        out[f"_p{i}"], out[f"_n{i}"] = p, n
+    return out
 
 
 def date_sniff(df: DataFrame, cols: list[str], row_id: str = ROW_ID) -> dict[str, float]:

@@ -411,3 +411,130 @@ ORACLE.update({
     "manage_columns": manage_columns,
     "cleanup_plan": cleanup_plan,
 })
+
+
+# --- samples, overlay ---------------------------------------------------------------------
+def unresolved_samples() -> str:
+    cols = ["SHIP_DATE", "ORDER_NO", "LINE_NO"]
+    return f"""WITH shipments AS ({shipments_cte()}),
+long AS (SELECT _row_id, source_column, raw FROM shipments UNPIVOT (raw FOR source_column IN ({", ".join(cols)}))),
+firsts AS (SELECT source_column, raw, min(_row_id) AS f FROM long WHERE raw IS NOT NULL GROUP BY source_column, raw),
+vals AS (SELECT source_column, trim(raw) AS value, f FROM firsts WHERE trim(raw) <> ''),
+ranked AS (SELECT source_column, value, row_number() OVER (PARTITION BY source_column ORDER BY f) AS sample_rank FROM vals)
+SELECT substr(source_column, 1, 80) AS source_column, CAST(sample_rank AS INTEGER) AS sample_rank,
+       substr(value, 1, 80) AS value
+FROM ranked WHERE sample_rank <= 4"""
+
+
+def overlay_recommendations() -> str:
+    from wideprep.plans.queries import RECOMMENDATION_RULES
+
+    base = classify_headers()
+    fld = "CASE " + " ".join(f"WHEN contains(lower(source_column), {q(w)}) THEN {q(f)}"
+                             for w, f, _, _ in RECOMMENDATION_RULES) + " END"
+    conf = "CASE " + " ".join(f"WHEN contains(lower(source_column), {q(w)}) THEN {q(c)}"
+                              for w, _, c, _ in RECOMMENDATION_RULES) + " ELSE 'n/a' END"
+    targets = ", ".join(q(t) for t in ("Ignore",) + DIMS + ("Time Period",))
+    lenient = ("(CASE WHEN regexp_full_match(trim(replace(rc, '%', '')), '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') "
+               "THEN CAST(trim(replace(rc, '%', '')) AS DOUBLE) ELSE 0.85 END)")
+    scaled = f"(CASE WHEN {lenient} > 1.0 AND {lenient} <= 100.0 THEN {lenient} / 100.0 ELSE {lenient} END)"
+    clamp = f"least(1.0, greatest(0.0, {scaled}))"
+    return f"""WITH m AS ({base}),
+r AS (
+  SELECT dataset, source_column, coalesce({fld}, 'Ignore') AS rf, {conf} AS rc FROM m
+  WHERE NOT user_confirmed AND (confidence < 0.85 OR target_field = 'Ignore')
+),
+j AS (SELECT m.*, r.rf, {clamp} AS rconf, r.source_column IS NOT NULL AND r.rf IN ({targets}) AS hit
+      FROM m LEFT JOIN r ON m.dataset = r.dataset AND m.source_column = r.source_column)
+SELECT dataset, col_ordinal, source_column,
+  CASE WHEN hit THEN rf ELSE target_field END AS target_field,
+  CASE WHEN hit THEN rconf ELSE confidence END AS confidence,
+  CASE WHEN hit THEN 'Azure AI Luna' ELSE method END AS method,
+  CASE WHEN hit THEN rconf >= 0.9 ELSE user_confirmed END AS user_confirmed
+FROM j"""
+
+
+# --- review / audit ----------------------------------------------------------------------------
+def _edits_cte() -> str:
+    return """edits AS (
+  SELECT record_id, 'status' AS field, 'Rejected' AS value FROM output WHERE status = 'Incomplete'
+  UNION ALL SELECT record_id, 'analyst_comment', 'required fields missing' FROM output WHERE status = 'Incomplete'
+  UNION ALL SELECT record_id, 'region', 'Unknown' FROM output WHERE region = ''
+  UNION ALL SELECT record_id, 'city_state', split_part(city_state, ' ', 1) FROM output
+            WHERE status = 'Approved' AND contains(city_state, ' ')
+  UNION ALL SELECT record_id, 'fact', ' Value ' FROM output WHERE fact = 'Value'
+),
+ed AS (SELECT record_id AS ek,
+  max(CASE WHEN field = 'status' THEN value END) AS e_status,
+  max(CASE WHEN field = 'analyst_comment' THEN value END) AS e_comment,
+  max(CASE WHEN field = 'region' THEN value END) AS e_region,
+  max(CASE WHEN field = 'city_state' THEN value END) AS e_city,
+  max(CASE WHEN field = 'fact' THEN value END) AS e_fact
+  FROM edits GROUP BY record_id),
+edited AS (
+  SELECT o.record_id, o.country, coalesce(e_region, o.region) AS region, o.channel,
+         coalesce(e_city, o.city_state) AS city_state, o.category, o.brand, o.sku, coalesce(e_fact, o.fact) AS fact,
+         """ + ", ".join(f"o.{p}" for p in PERIOD_COLUMNS) + """, o.confidence,
+         coalesce(e_status, o.status) AS status, o.recommendation_source,
+         coalesce(e_comment, o.analyst_comment) AS analyst_comment
+  FROM output o LEFT JOIN ed ON o.record_id = ed.ek
+)"""
+
+
+def apply_edits() -> str:
+    return f"WITH {output_cte()},\n{_edits_cte()}\nSELECT * FROM edited"
+
+
+def audit_log() -> str:
+    cols = [DIM_COLUMNS[d] for d in DIMS] + list(PERIOD_COLUMNS) + ["confidence", "status", "recommendation_source",
+                                                                     "analyst_comment"]
+    parts = []
+    for c in cols:
+        b, a = f"CAST(b.{c} AS VARCHAR)", f"CAST(a.{c} AS VARCHAR)"
+        parts.append(f"SELECT a.record_id, {q(c)} AS field, {b} AS original_value, {a} AS final_value "
+                     f"FROM output b JOIN edited a ON b.record_id = a.record_id "
+                     f"WHERE b.{c} IS DISTINCT FROM a.{c} AND {clean_text(b)} <> {clean_text(a)}")
+    return f"WITH {output_cte()},\n{_edits_cte()}\n" + "\nUNION ALL ".join(parts)
+
+
+# --- delivery ---------------------------------------------------------------------------------
+_PY_FLOAT = ("^\\s*[+-]?(((\\d(_?\\d)*)?\\.\\d(_?\\d)*|\\d(_?\\d)*\\.?)([eE][+-]?\\d(_?\\d)*)?"
+             "|(?i:nan|inf|infinity))\\s*$")
+
+
+def formula_guard() -> str:
+    def g(c: str) -> str:
+        return (f"CASE WHEN regexp_matches({c}, '^[=+\\-@\\t\\r]') AND NOT regexp_matches(replace({c}, ',', ''), "
+                f"{q(_PY_FLOAT)}) THEN '''' || {c} ELSE {c} END AS {c}")
+
+    return f"WITH shipments AS ({shipments_cte()})\nSELECT _row_id, {', '.join(g(h) for h in HEADERS)} FROM shipments"
+
+
+def delivery_manifest() -> str:
+    return f"""WITH {output_cte()}
+SELECT {q("Intelligent Client Data Preparation for Coverage Analysis")} AS application, 'shipments' AS source,
+       count(*) AS rows, {len(DIMS) + len(PERIOD_COLUMNS) + 5} AS columns,
+       count(*) <= 1048576 AS excel_allowed, true AS time_periods_preserved_as_columns
+FROM output"""
+
+
+def redact_text() -> str:
+    slot = 'token = "([0-9a-f]{40})"'
+    msg = (f"CASE WHEN doc_id % 2 = 1 THEN regexp_replace(text, {q(slot)}, 'Authorization: Bearer \\1', 'g') "
+           f"ELSE regexp_replace(text, {q(slot)}, 'api_key=\\1', 'g') END")
+    red = f"replace(replace({msg}, 'sk-test-51HqLyjWDarjtT1zdp7dc', '[REDACTED_KEY]'), 'Bearer sk-test-51HqLyjWDarjtT1zdp7dc', '[REDACTED_KEY]')"
+    red = f"regexp_replace({red}, '(?i)(Bearer\\s+)[A-Za-z0-9_\\-.]{{8,}}', '\\1[REDACTED_TOKEN]', 'g')"
+    red = f"regexp_replace({red}, '(?i)(api[-_]key[:=]\\s*)[A-Za-z0-9_\\-.]{{8,}}', '\\1[REDACTED_KEY]', 'g')"
+    return f"""SELECT doc_id, t AS text, CAST((length(t) - length(replace(t, '[REDACTED_', ''))) / 10 AS INTEGER) AS redactions
+FROM (SELECT doc_id, {red} AS t FROM documents)"""
+
+
+ORACLE.update({
+    "unresolved_samples": unresolved_samples,
+    "overlay_recommendations": overlay_recommendations,
+    "apply_edits": apply_edits,
+    "audit_log": audit_log,
+    "formula_guard": formula_guard,
+    "delivery_manifest": delivery_manifest,
+    "redact_text": redact_text,
+})

@@ -20,7 +20,7 @@ from wideprep.sources.fixtures import HEADERS, shipments
 
 DATASET = "shipments"
 _CACHE: dict[tuple, object] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
 def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
@@ -53,6 +53,22 @@ def output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cached
 
 
+def output_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical output written once as Parquet under the shared storage
+    folder and read back: later steps (quality, reconciliation, review,
+    delivery) scan it with column pruning instead of re-running the
+    standardisation, and a lost executor re-reads files, not lineage."""
+    k = _key(spark, sf_dir, "output_stored")
+    with _LOCK:
+        if k not in _CACHE:
+            from wideprep.session import new_table_path
+
+            path = new_table_path(spark, "output")
+            output(spark, sf_dir).write.parquet(path)
+            _CACHE[k] = spark.read.parquet(path)
+        return _CACHE[k]
+
+
 def period_columns(spark: SparkSession, sf_dir: str) -> list[str]:
     out = output(spark, sf_dir)
     return [c for c in HEADERS if c in out.columns]

@@ -26,6 +26,7 @@ def shipments_by_channel_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: canonical output grouped by channel x brand."""
     out = P.output(spark, sf_dir)
     periods = P.period_columns(spark, sf_dir)
+    # the flagship runs the whole chain: standardise + aggregate in one plan
     return out.groupBy("channel", "brand").agg(
         F.count(F.lit(1)).alias("records"),
         F.count(F.when(F.col("status") == "Approved", 1)).alias("approved"),
@@ -35,36 +36,37 @@ def shipments_by_channel_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense sequential ids in declared row order, tied to the source keys."""
+    from wideprep.operators.standardize import record_id
+
     src = P.source(spark, sf_dir)
-    out = P.output(spark, sf_dir)
-    return src.select(ROW_ID, "ORDER_NO", "LINE_NO").join(out.select(ROW_ID, "record_id"), ROW_ID).drop(ROW_ID)
+    return src.select("ORDER_NO", "LINE_NO", record_id(F.col(ROW_ID)).alias("record_id"))
 
 
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1-Q3: exception rows."""
-    return Q.quality_report(P.output(spark, sf_dir))
+    return Q.quality_report(P.output_stored(spark, sf_dir))
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q5."""
-    return Q.status_counts(P.output(spark, sf_dir))
+    return Q.status_counts(P.output_stored(spark, sf_dir))
 
 
 def reconcile_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global totals of one measure pair (the analyst's pick: JAN_1998)."""
-    src, out = P.source(spark, sf_dir), P.output(spark, sf_dir)
+    src, out = P.source(spark, sf_dir), P.output_stored(spark, sf_dir)
     return R.reconcile_total(src, out, "JAN_1998", "JAN_1998")
 
 
 def reconcile_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JAN_1998 by channel x brand, source groups by lineage."""
-    src, out = P.source(spark, sf_dir), P.output(spark, sf_dir)
+    src, out = P.source(spark, sf_dir), P.output_stored(spark, sf_dir)
     return R.reconcile_groups(src, out, "JAN_1998", "JAN_1998", ["channel", "brand"], label=True)
 
 
 def reconcile_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All period columns at once, by region."""
-    src, out = P.source(spark, sf_dir), P.output(spark, sf_dir)
+    src, out = P.source(spark, sf_dir), P.output_stored(spark, sf_dir)
     return R.reconcile_periods(src, out, P.period_columns(spark, sf_dir), groups=["region"])
 
 
@@ -218,3 +220,131 @@ REGISTRY.update({
     "manage_columns": manage_columns,
     "cleanup_plan": cleanup_plan,
 })
+
+
+# --- classification: samples and recommendation overlay --------------------------------
+def unresolved_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First 4 distinct values of every column the rules left open."""
+    from wideprep.operators.classify import unresolved_samples as run
+
+    return run(P.source(spark, sf_dir), P.mapping(spark, sf_dir), dataset=P.DATASET)
+
+
+# --- FIXED VALUES: stand-in recommendation rules by header word -------------------------
+# (the external recommender is not part of this engine; its JSON reply is
+# produced from the catalogue by these rules so that parsing, lenient
+# confidence and the overlay run on data of the right shape)
+RECOMMENDATION_RULES = (
+    ("date", "Ignore", "95%", "transaction date"),
+    ("price", "Fact", "88", "money amount"),
+    ("name", "Brand", "0.6", "free text name"),
+    ("key", "Unknown Field", "0.99", "identifier"),
+)
+
+
+def recommendation_payload(mapping: DataFrame) -> DataFrame:
+    """One fenced JSON reply per dataset for its unresolved columns."""
+    from wideprep.operators.classify import unresolved
+
+    u = unresolved(mapping)
+    lower = F.lower(F.col("source_column"))
+    field, conf, reason = F.lit(None), F.lit("n/a"), F.lit("no rule")
+    for word, f, c, r in reversed(RECOMMENDATION_RULES):
+        hit = lower.contains(word)
+        field, conf, reason = (F.when(hit, F.lit(f)).otherwise(field), F.when(hit, F.lit(c)).otherwise(conf),
+                               F.when(hit, F.lit(r)).otherwise(reason))
+    rec = F.struct(field.alias("field"), conf.alias("confidence"), reason.alias("reason"))
+    per_ds = u.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("source_column", rec))).alias("m"))
+    return per_ds.select("dataset", F.concat(F.lit("```json\n"), F.to_json("m"), F.lit("\n```")).alias("payload"))
+
+
+def overlay_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parse the replies, read confidences leniently, overlay the
+    allowed fields on the mapping of every catalogue table."""
+    from wideprep.operators.classify import overlay_recommendations as overlay
+    from wideprep.operators.classify import parse_recommendations
+
+    mapping = classify_headers(spark, sf_dir)
+    recs = parse_recommendations(recommendation_payload(mapping), "payload", keep=("dataset",))
+    return overlay(mapping, recs)
+
+
+# --- review / audit -------------------------------------------------------------------
+def analyst_edits(out: DataFrame) -> DataFrame:
+    """Edits derived from the output as an analyst would make them: reject
+    incomplete records with a comment, fill a missing region, cut an
+    approved record's city to its first word, and one no-op edit (same text
+    up to spacing) that must not reach the log. One pass over the output."""
+    def edit(cond, field, value):
+        return F.when(cond, F.struct(F.lit(field).alias("field"), value.alias("value")))
+
+    inc = F.col("status") == "Incomplete"
+    cells = F.array(
+        edit(inc, "status", F.lit("Rejected")),
+        edit(inc, "analyst_comment", F.lit("required fields missing")),
+        edit(F.col("region") == "", "region", F.lit("Unknown")),
+        edit((F.col("status") == "Approved") & F.col("city_state").contains(" "), "city_state",
+             F.substring_index(F.col("city_state"), " ", 1)),
+        edit(F.col("fact") == "Value", "fact", F.lit(" Value ")),
+    )
+    return out.select("record_id", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x")).select(
+        "record_id", "x.field", "x.value")
+
+
+def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: the edited output."""
+    from wideprep.operators.audit import apply_edits as run
+
+    out = P.output_stored(spark, sf_dir).drop(ROW_ID)
+    return run(out, analyst_edits(out))
+
+
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1-A3: cell-level change log of the analyst's edits."""
+    from wideprep.operators.audit import edit_log
+
+    out = P.output_stored(spark, sf_dir).drop(ROW_ID)
+    return edit_log(out, analyst_edits(out))
+
+
+# --- delivery ---------------------------------------------------------------------------
+def formula_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the raw shipments table guarded for spreadsheet export."""
+    from wideprep.operators.deliver import sanitize
+
+    return sanitize(P.source(spark, sf_dir))
+
+
+def delivery_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2/K4: run manifest of the standardised output (time stamp left out)."""
+    from wideprep.operators.deliver import manifest
+
+    return manifest(P.output_stored(spark, sf_dir), f"{sf_dir}/shipments", stamp=False)
+
+
+# --- redaction ------------------------------------------------------------------------------
+def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T-R1..3: secrets in whole document texts. The documents' ``token =
+    "<hex>"`` lines are rewritten into header form first (bearer for odd ids,
+    api-key for even ids), so every rule has something to find."""
+    from wideprep.functions.redact import redact
+    from wideprep.sources.tables import read_table
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    slot = r'token = "([0-9a-f]{40})"'
+    msg = F.when(F.col("doc_id") % 2 == 1, F.regexp_replace("text", slot, "Authorization: Bearer $1")).otherwise(
+        F.regexp_replace("text", slot, "api_key=$1"))
+    red = redact(msg, secrets=("sk-test-51HqLyjWDarjtT1zdp7dc",))
+    marks = (F.length(red) - F.length(F.replace(red, F.lit("[REDACTED_"), F.lit("")))) / len("[REDACTED_")
+    return docs.select("doc_id", red.alias("text"), marks.cast("int").alias("redactions"))
+
+
+REGISTRY.update({
+    "unresolved_samples": unresolved_samples,
+    "overlay_recommendations": overlay_recommendations,
+    "apply_edits": apply_edits,
+    "audit_log": audit_log,
+    "formula_guard": formula_guard,
+    "delivery_manifest": delivery_manifest,
+    "redact_text": redact_text,
+})

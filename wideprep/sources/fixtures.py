@@ -121,7 +121,7 @@ def shipments_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CACHE: dict[tuple, DataFrame] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
