@@ -538,3 +538,23 @@ ORACLE.update({
     "delivery_manifest": delivery_manifest,
     "redact_text": redact_text,
 })
+
+
+# --- scans ----------------------------------------------------------------------------------
+def scan_union_lineage() -> str:
+    return """SELECT 'customer' AS "Source Sheet", CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
+       CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment,
+       NULL::VARCHAR AS s_suppkey, NULL::VARCHAR AS s_name, NULL::VARCHAR AS s_nationkey, NULL::VARCHAR AS s_acctbal
+FROM customer
+UNION ALL
+SELECT 'supplier', NULL, NULL, NULL, NULL, NULL, CAST(s_suppkey AS VARCHAR), s_name, CAST(s_nationkey AS VARCHAR),
+       CAST(s_acctbal AS VARCHAR)
+FROM supplier"""
+
+
+def largest_table() -> str:
+    parts = [f"SELECT {q(t)} AS table_name, count(*) AS rows, {i} AS table_ordinal FROM {t}" for i, t in enumerate(TABLES)]
+    return "\nUNION ALL ".join(parts)
+
+
+ORACLE.update({"scan_union_lineage": scan_union_lineage, "largest_table": largest_table})

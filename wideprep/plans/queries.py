@@ -348,3 +348,26 @@ REGISTRY.update({
     "delivery_manifest": delivery_manifest,
     "redact_text": redact_text,
 })
+
+
+# --- scans ----------------------------------------------------------------------------
+def scan_union_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer and supplier read as text, appended by column name
+    with the source name first; all-NULL columns and rows dropped."""
+    from wideprep.sources.tables import append_tables, as_text_table, drop_empty, read_table
+
+    tables = {t: as_text_table(read_table(spark, sf_dir, t)) for t in ("customer", "supplier")}
+    return drop_empty(append_tables(tables), keep=())
+
+
+def largest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every driver table with its row count, largest first."""
+    from wideprep.sources.tables import TABLES, largest_table as run, read_table
+
+    return run({t: read_table(spark, sf_dir, t) for t in TABLES})
+
+
+REGISTRY.update({
+    "scan_union_lineage": scan_union_lineage,
+    "largest_table": largest_table,
+})
