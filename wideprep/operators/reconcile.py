@@ -131,16 +131,19 @@ def slice_label(groups: list[str]) -> Column:
 
 def _cells(df: DataFrame, periods: list[str], keep: list[Column]) -> DataFrame:
     """Sparse long form: (keep..., period, _v) for the parseable cells only.
-    Wide tables are mostly empty per row, so this emits about one row per
-    filled cell instead of one per (row, period)."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def value(p: str) -> str:
-        v = f"CAST({ref(p)} AS DOUBLE)" if isinstance(types[p], NumericType) else num_comma_sql(ref(p))
-        return f"named_struct('period', {sql_literal(p)}, '_v', CAST({v} AS {EXACT}))"
 
-    cells = f"inline(filter(array({', '.join(value(p) for p in periods)}), x -> x._v IS NOT NULL))"
-    return df.select(*keep, F.expr(cells))
+    Raw cells are unpivoted with ``stack`` and the empty ones dropped before
+    any parsing, so the number reader runs once per filled cell on one long
+    column instead of once per (row, period) in a wide expression.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    numeric = all(isinstance(types[p], NumericType) for p in periods)
+    cast = "DOUBLE" if numeric else "STRING"
+    args = ", ".join(f"{sql_literal(p)}, CAST({ref(p)} AS {cast})" for p in periods)
+    long = df.select(*keep, F.expr(f"stack({len(periods)}, {args}) AS (period, _raw)")).where("_raw IS NOT NULL")
+    value = "_raw" if numeric else num_comma_sql("_raw")
+    names = [c for c in long.columns if c not in ("period", "_raw")]
+    return long.select(*names, "period", F.expr(f"CAST({value} AS {EXACT})").alias("_v")).where("_v IS NOT NULL")
 
 
 def reconcile_periods(source: DataFrame, output: DataFrame, periods: list[str] | None = None,
