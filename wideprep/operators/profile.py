@@ -1,7 +1,8 @@
 """Profiling: per-column and whole-table quality figures in few passes.
 
-* per-column counts (missing, parsed as number, negative) - one wide
-  aggregate whose expressions are parsed SQL text;
+* per-column counts (missing, parsed as number, negative) - cells
+  unpivoted with ``stack``, empty ones dropped, one small hash aggregate
+  by column index;
 * exact duplicate rows - one aggregate over whole rows (map-side combine
   collapses repeats before the shuffle, so a row repeated a billion times
   costs one row per map task);

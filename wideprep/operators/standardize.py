@@ -3,9 +3,9 @@
 One projection over the source: the mapping (bounded by the number of
 columns) is read on the driver to decide which source column feeds which
 dimension; dictionary lookups are literal maps inside the projection, so no
-join and no shuffle happen. Larger dictionaries given as a DataFrame are
-joined: broadcast when their row count is under a checked bound, a shuffle
-join beyond it.
+join and no shuffle happen. A dictionary given as a DataFrame is read into
+that map after a row-count check (up to ``MAX_LITERAL_DICTIONARY`` rows;
+larger ones are refused rather than gathered on the driver).
 """
 
 from __future__ import annotations
