@@ -21,7 +21,10 @@ def test_profile(spark, sample):
     assert [c for c in SAMPLE_HEADER if cols[c].is_numeric] == ["JAN_2026", "FEB_2026", "MAR_2026"]
     assert [c for c in SAMPLE_HEADER if cols[c].is_date] == ["SHIP_DATE"]
     assert {c: r.negatives for c, r in cols.items() if r.negatives} == {"JAN_2026": 2}
-    assert suggested_keys(SAMPLE_HEADER) == ["COUNTRY_NAME", "ITEM_CODE", "SHIP_DATE"]
+    from wideprep.operators.classify import header_catalogue
+
+    keys = suggested_keys(header_catalogue(spark, {"sample": list(SAMPLE_HEADER)})).orderBy("key_rank").collect()
+    assert [r["source_column"] for r in keys] == ["COUNTRY_NAME", "ITEM_CODE", "SHIP_DATE"]
 
 
 def test_duplicates(sample):

@@ -114,7 +114,6 @@ HISTORY_FROM = 70
 TOLERANCE = 0.01
 DEFAULT_REC_CONFIDENCE = 0.85
 SAMPLE_VALUES = 4
-SAMPLE_CHARS = 80
 
 # --- FIXED VALUES: labels --------------------------------------------------------
 TIME_FIELD = "Time Period"
@@ -123,7 +122,7 @@ METHOD_TIME = "Time rule"
 METHOD_RULE = "Rule/Dictionary"
 METHOD_CANDIDATE = "AI candidate"
 METHOD_REVIEW = "AI review"
-METHOD_MODEL = "Azure AI Luna"
+METHOD_MODEL = "Model recommendation"
 SOURCE_RULES = "Rules and Standards"
 SOURCE_HISTORY = "Rules and History"
 SOURCE_MANUAL = "Unresolved / Manual"
@@ -137,7 +136,7 @@ SOURCE_COLUMN = "Source Sheet"
 REDACTED_KEY = "[REDACTED_KEY]"
 REDACTED_TOKEN = "[REDACTED_TOKEN]"
 
-# quality report texts
+# --- FIXED VALUES: quality report texts (part of the report the user reads) ---
 ISSUE_REQUIRED = "Required value missing"
 ISSUE_REGION = "Region unavailable"
 RECOMMEND_REGION = "Derive from City/State or review."

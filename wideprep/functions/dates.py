@@ -62,10 +62,6 @@ def parse_date(c, dayfirst: bool = False) -> Column:
     )
 
 
-def is_date_text(c, dayfirst: bool = False) -> Column:
-    return parse_date(c, dayfirst).isNotNull()
-
-
 def format_date(d: Column, fmt: str) -> Column:
     """Render with one of the named output formats; unknown names -> ISO."""
     pattern = DATE_OUTPUT_FORMATS.get(fmt, DATE_OUTPUT_FORMATS["YYYY-MM-DD"])

@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import NumericType
 
 from wideprep.constants import LOCKED_COLUMNS, STATUSES
 from wideprep.functions.numbers import ref
@@ -19,8 +19,6 @@ from wideprep.functions.text import clean_text
 
 AUDIT_SCHEMA = "record_id string, field string, original_value string, final_value string"
 KEY = "record_id"
-# edits up to this many rows are broadcast to the output; more are shuffled
-MAX_BROADCAST_EDITS = 2_000_000
 
 
 def _text(c: Column) -> Column:
@@ -29,21 +27,40 @@ def _text(c: Column) -> Column:
 
 def _edit_join(out: DataFrame, edits: DataFrame, key: str, allow_locked: bool):
     """out LEFT JOIN pivoted edits; returns (joined, editable columns)."""
-    allowed = [c for c in out.columns if c != key and (allow_locked or c not in LOCKED_COLUMNS) and c != "_row_id"]
-    e = edits.where(F.col("field").isin(*allowed))
-    # one small aggregate: which fields were edited, and how many edits
-    stats = {r["field"]: r["n"] for r in e.groupBy("field").agg(F.count(F.lit(1)).alias("n")).collect()}
-    editable = [c for c in allowed if c in stats]
+    allowed = _allowed(out, key, allow_locked)
+    e = edits.where(_accepted(out, allowed))
+    edited = {r["field"] for r in e.select("field").distinct().collect()}  # column names
+    editable = [c for c in allowed if c in edited]
     if not editable:
         return None, []
-    wide = e.groupBy(F.col(key).alias("_ek")).pivot("field", editable).agg(F.max("value"))
+    # of several edits of a cell the last (edit_no) wins; a struct keeps an edit to NULL apart from no edit
+    number = F.col("edit_no") if "edit_no" in edits.columns else F.lit(0)
+    last = F.max(F.struct(number.alias("n"), F.col("value").alias("v")))
+    wide = e.groupBy(F.col(key).alias("_ek")).pivot("field", editable).agg(last)
     wide = wide.select("_ek", *[F.col(ref(c)).alias(f"_e_{i}") for i, c in enumerate(editable)])
-    side = F.broadcast(wide) if sum(stats.values()) <= MAX_BROADCAST_EDITS else wide
-    return out.join(side, out[key] == F.col("_ek"), "left"), editable
+    return out.join(wide, out[key] == F.col("_ek"), "left"), editable
+
+
+def _allowed(out: DataFrame, key: str, allow_locked: bool) -> list[str]:
+    return [c for c in out.columns if c != key and (allow_locked or c not in LOCKED_COLUMNS) and c != "_row_id"]
+
+
+def _accepted(out: DataFrame, allowed: list[str]) -> Column:
+    """An edit of a field that may change, to a value of its kind and, for the status, an allowed one."""
+    numeric = [f.name for f in out.schema.fields if f.name in allowed and isinstance(f.dataType, NumericType)]
+    field, value = F.col("field"), F.col("value")
+    fits = F.when(field.isin(*numeric), value.isNull() | value.try_cast("double").isNotNull()).when(
+        field == "status", F.coalesce(value.isin(*STATUSES), F.lit(False))).otherwise(True)
+    return F.coalesce(field.isin(*allowed), F.lit(False)) & fits
+
+
+def rejected_edits(out: DataFrame, edits: DataFrame, key: str = KEY, allow_locked: bool = False) -> DataFrame:
+    """Edits that :func:`apply_edits` does not take."""
+    return edits.where(~_accepted(out, _allowed(out, key, allow_locked)))
 
 
 def _edited_value(out: DataFrame, c: str, i: int) -> Column:
-    new = F.col(f"_e_{i}").cast(dict(out.dtypes)[c])
+    new = F.col(f"_e_{i}.v").try_cast(dict(out.dtypes)[c])
     return F.when(F.col(f"_e_{i}").isNotNull(), new).otherwise(F.col(ref(c)))
 
 
@@ -51,8 +68,10 @@ def apply_edits(out: DataFrame, edits: DataFrame, key: str = KEY, allow_locked:
     """Overlay long edits ``(record_id, field, value)`` on an output.
 
     Edits are pivoted over the fields that were edited (explicit value list)
-    and left-joined on the record id, broadcast when their count is within
-    a checked bound. Locked columns cannot be edited.
+    and left-joined on the record id. A NULL value clears a cell; of several
+    edits of a cell the one with the largest ``edit_no`` wins. Edits of locked
+    columns, of other kinds than the column's, and to unknown statuses are not
+    applied (see :func:`rejected_edits`).
     """
     j, editable = _edit_join(out, edits, key, allow_locked)
     if j is None:
@@ -117,6 +136,3 @@ def append_log(log: DataFrame, path: str) -> None:
     """Append-only audit trail (Parquet, one directory)."""
     log.write.mode("append").parquet(path)
 
-
-def text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]

@@ -171,5 +171,8 @@ def apply_plan(df: DataFrame, plan: CleanupPlan, row_id: str = ROW_ID, renumber:
     if plan.delete or plan.rename or plan.order:
         out = manage_columns(out, plan.delete, plan.rename, plan.order, row_id)
     if renumber and removed:
-        out = with_ordinal(out.withColumnRenamed(row_id, "_old_row_id"), ["_old_row_id"], row_id).drop("_old_row_id")
+        # only the kept ordinals are sorted and stored; the wide rows meet their new number by the old one
+        ids = with_ordinal(out.select(F.col(row_id).alias("_old_row_id")), ["_old_row_id"], row_id)
+        rest = [F.col(ref(c)) for c in out.columns if c != row_id]
+        out = out.withColumnRenamed(row_id, "_old_row_id").join(ids, "_old_row_id").select(row_id, *rest)
     return out

@@ -9,7 +9,6 @@ written as JSON.
 from __future__ import annotations
 
 import os
-import re
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +20,7 @@ from wideprep.functions.numbers import is_float_text, ref
 
 # --- FIXED VALUES: characters that start a spreadsheet formula ------------------
 FORMULA_START = r"^[=+\-@\t\r]"
-APPLICATION = "Intelligent Client Data Preparation for Coverage Analysis"
+APPLICATION = "wideprep"
 
 
 def guard_cell(c: Column) -> Column:
@@ -37,16 +36,11 @@ def sanitize(df: DataFrame) -> DataFrame:
 
 
 def size_gate(df: DataFrame) -> DataFrame:
-    """One row: rows (counted only up to the limit + 1), columns, allowed."""
-    rows = df.limit(EXCEL_ROWS + 1).count()
+    """One row: all rows, columns, allowed."""
     cols = len([c for c in df.columns if c != "_row_id"])
-    spark = df.sparkSession
-    return spark.createDataFrame([(rows, cols, rows <= EXCEL_ROWS and cols <= EXCEL_COLS)],
-                                 "rows_checked long, columns int, excel_allowed boolean")
-
-
-def safe_name(name: str | None) -> str:
-    return re.sub(r"[^A-Za-z0-9_.-]", "_", os.path.basename(str(name))) if name else "source_data"
+    return df.agg(F.count(F.lit(1)).alias("rows_checked")).select(
+        "rows_checked", F.lit(cols).alias("columns"),
+        ((F.col("rows_checked") <= EXCEL_ROWS) & F.lit(cols <= EXCEL_COLS)).alias("excel_allowed"))
 
 
 def manifest(output: DataFrame, source_name: str | None, stamp: bool = True) -> DataFrame:
@@ -55,7 +49,7 @@ def manifest(output: DataFrame, source_name: str | None, stamp: bool = True) ->
     agg = output.agg(F.count(F.lit(1)).alias("rows"))
     m = agg.select(
         F.lit(APPLICATION).alias("application"),
-        F.lit(safe_name(source_name)).alias("source"),
+        F.lit(source_name).alias("source"),
         F.col("rows"),
         F.lit(len(cols)).alias("columns"),
         ((F.col("rows") <= EXCEL_ROWS) & F.lit(len(cols) <= EXCEL_COLS)).alias("excel_allowed"),

@@ -29,8 +29,6 @@ from wideprep.session import new_table_path
 ROW_ID = "_row_id"
 _MID = "_mid"
 _POS_MASK = (1 << 33) - 1
-# partitions of one sort; the offsets table has one row per partition
-MAX_PARTITIONS_FOR_BROADCAST = 1_000_000
 
 
 def _partition_of(mid: Column) -> Column:

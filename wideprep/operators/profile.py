@@ -140,7 +140,8 @@ def health_score():
     return F.greatest(F.lit(20), F.least(F.lit(100), raw.cast("int")))
 
 
-def suggested_keys(columns: list[str]) -> list[str]:
-    """Default duplicate keys: the first columns whose name hints at an
-    identity (metadata only)."""
-    return [c for c in columns if any(h in str(c).lower() for h in DUP_KEY_HINTS)][:DUP_KEY_MAX]
+def suggested_keys(catalogue: DataFrame) -> DataFrame:
+    """Default duplicate keys of every dataset of a header catalogue: its first columns whose name hints at an identity."""
+    hinted = catalogue.filter(F.col("source_column").rlike("(?i)" + "|".join(DUP_KEY_HINTS)))
+    rank = F.row_number().over(Window.partitionBy("dataset").orderBy("col_ordinal"))
+    return hinted.select("dataset", "col_ordinal", "source_column", rank.alias("key_rank")).filter(F.col("key_rank") <= DUP_KEY_MAX)

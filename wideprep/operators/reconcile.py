@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from wideprep.constants import TOLERANCE
 from pyspark.sql.types import NumericType
 
-from wideprep.functions.numbers import num_comma, num_comma_sql, ref, sql_literal
+from wideprep.functions.numbers import PANDAS_NUMBER, num_comma, num_comma_sql, ref, sql_literal
+from wideprep.functions.text import WS_CHARS
 from wideprep.operators.ordinal import ROW_ID
 
 EXACT = "decimal(38,6)"
@@ -202,11 +203,12 @@ def output_measures(output: DataFrame, share: float = 0.7) -> list[str]:
     cols = output.columns
     if not cols:
         return []
-    plain = lambda c: F.col(f"`{c}`").cast("string").try_cast("double")
+
+
+    def plain(c):
+        text = F.btrim(F.col(f"`{c}`").cast("string"), F.lit(WS_CHARS))
+        return F.when(text.rlike(PANDAS_NUMBER), text.try_cast("double"))
+
     row = output.agg(F.count(F.lit(1)).alias("_n"), *[F.count(plain(c)).alias(f"_{i}") for i, c in enumerate(cols)]).first()
     n = row["_n"] or 0
     return [c for i, c in enumerate(cols) if n and row[f"_{i}"] / n > share]
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

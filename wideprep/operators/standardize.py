@@ -161,8 +161,3 @@ def _period_value(df: DataFrame, name: str) -> Column:
 def record_id(ordinal: Column) -> Column:
     """``REC-`` + ordinal zero-padded to at least 7 digits (never truncated)."""
     return F.format_string("REC-%07d", ordinal)
-
-
-def output_columns(out: DataFrame) -> list[str]:
-    """Columns of a canonical output without the internal ordinal."""
-    return [c for c in out.columns if c != ROW_ID]

@@ -421,8 +421,7 @@ long AS (SELECT _row_id, source_column, raw FROM shipments UNPIVOT (raw FOR sour
 firsts AS (SELECT source_column, raw, min(_row_id) AS f FROM long WHERE raw IS NOT NULL GROUP BY source_column, raw),
 vals AS (SELECT source_column, trim(raw) AS value, f FROM firsts WHERE trim(raw) <> ''),
 ranked AS (SELECT source_column, value, row_number() OVER (PARTITION BY source_column ORDER BY f) AS sample_rank FROM vals)
-SELECT substr(source_column, 1, 80) AS source_column, CAST(sample_rank AS INTEGER) AS sample_rank,
-       substr(value, 1, 80) AS value
+SELECT source_column, CAST(sample_rank AS INTEGER) AS sample_rank, value
 FROM ranked WHERE sample_rank <= 4"""
 
 
@@ -449,7 +448,7 @@ j AS (SELECT m.*, r.rf, {clamp} AS rconf, r.source_column IS NOT NULL AND r.rf I
 SELECT dataset, col_ordinal, source_column,
   CASE WHEN hit THEN rf ELSE target_field END AS target_field,
   CASE WHEN hit THEN rconf ELSE confidence END AS confidence,
-  CASE WHEN hit THEN 'Azure AI Luna' ELSE method END AS method,
+  CASE WHEN hit THEN 'Model recommendation' ELSE method END AS method,
   CASE WHEN hit THEN rconf >= 0.9 ELSE user_confirmed END AS user_confirmed
 FROM j"""
 
@@ -512,7 +511,7 @@ def formula_guard() -> str:
 
 def delivery_manifest() -> str:
     return f"""WITH {output_cte()}
-SELECT {q("Intelligent Client Data Preparation for Coverage Analysis")} AS application, 'shipments' AS source,
+SELECT 'wideprep' AS application, 'shipments' AS source,
        count(*) AS rows, {len(DIMS) + len(PERIOD_COLUMNS) + 5} AS columns,
        count(*) <= 1048576 AS excel_allowed, true AS time_periods_preserved_as_columns
 FROM output"""
@@ -522,7 +521,8 @@ def redact_text() -> str:
     slot = 'token = "([0-9a-f]{40})"'
     msg = (f"CASE WHEN doc_id % 2 = 1 THEN regexp_replace(text, {q(slot)}, 'Authorization: Bearer \\1', 'g') "
            f"ELSE regexp_replace(text, {q(slot)}, 'api_key=\\1', 'g') END")
-    red = f"replace(replace({msg}, 'sk-test-51HqLyjWDarjtT1zdp7dc', '[REDACTED_KEY]'), 'Bearer sk-test-51HqLyjWDarjtT1zdp7dc', '[REDACTED_KEY]')"
+    secret = f"(SELECT coalesce(min(nullif(regexp_extract(text, {q(slot)}, 1), '')), '(none)') FROM documents)"
+    red = f"replace({msg}, {secret}, '[REDACTED_KEY]')"
     red = f"regexp_replace({red}, '(?i)(Bearer\\s+)[A-Za-z0-9_\\-.]{{8,}}', '\\1[REDACTED_TOKEN]', 'g')"
     red = f"regexp_replace({red}, '(?i)(api[-_]key[:=]\\s*)[A-Za-z0-9_\\-.]{{8,}}', '\\1[REDACTED_KEY]', 'g')"
     return f"""SELECT doc_id, t AS text, CAST((length(t) - length(replace(t, '[REDACTED_', ''))) / 10 AS INTEGER) AS redactions
@@ -558,3 +558,18 @@ def largest_table() -> str:
 
 
 ORACLE.update({"scan_union_lineage": scan_union_lineage, "largest_table": largest_table})
+
+
+def scan_messy_files() -> str:
+    return """SELECT CAST(c_custkey AS VARCHAR) AS "KEY",
+       'é "' || c_name || '", a;b' || CASE WHEN c_custkey % 7 = 0 THEN chr(10) || 'next' ELSE '' END AS "NAME",
+       CASE WHEN c_custkey % 5 = 0 OR c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS "SEGMENT",
+       CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(c_acctbal AS VARCHAR) END AS "BALANCE"
+FROM customer WHERE c_custkey % 13 <> 0"""
+
+
+def scan_rejects() -> str:
+    return "SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey % 13 = 0"
+
+
+ORACLE.update({"scan_messy_files": scan_messy_files, "scan_rejects": scan_rejects})

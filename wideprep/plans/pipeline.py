@@ -72,9 +72,3 @@ def output_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def period_columns(spark: SparkSession, sf_dir: str) -> list[str]:
     out = output(spark, sf_dir)
     return [c for c in HEADERS if c in out.columns]
-
-
-def row_total(df: DataFrame, periods: list[str]) -> F.Column:
-    """Sum of a row's period values (NULL -> 0), exact."""
-    terms = " + ".join(f"CAST(coalesce({ref(p)}, 0D) AS DECIMAL(38,6))" for p in periods)
-    return F.expr(f"CAST({terms or '0'} AS DECIMAL(38,6))")

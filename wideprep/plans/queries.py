@@ -330,7 +330,7 @@ def delivery_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2/K4: run manifest of the standardised output (time stamp left out)."""
     from wideprep.operators.deliver import manifest
 
-    return manifest(P.output_stored(spark, sf_dir), f"{sf_dir}/shipments", stamp=False)
+    return manifest(P.output_stored(spark, sf_dir), "shipments", stamp=False)
 
 
 # --- redaction ------------------------------------------------------------------------------
@@ -345,7 +345,8 @@ def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = r'token = "([0-9a-f]{40})"'
     msg = F.when(F.col("doc_id") % 2 == 1, F.regexp_replace("text", slot, "Authorization: Bearer $1")).otherwise(
         F.regexp_replace("text", slot, "api_key=$1"))
-    red = redact(msg, secrets=("sk-test-51HqLyjWDarjtT1zdp7dc",))
+    found = docs.agg(F.min(F.nullif(F.regexp_extract("text", slot, 1), F.lit(""))).alias("secret")).first()["secret"]
+    red = redact(msg, secrets=[found] if found else [])
     marks = (F.length(red) - F.length(F.replace(red, F.lit("[REDACTED_"), F.lit("")))) / len("[REDACTED_")
     return docs.select("doc_id", red.alias("text"), marks.cast("int").alias("redactions"))
 
@@ -367,8 +368,8 @@ def scan_union_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     with the source name first; all-NULL columns and rows dropped."""
     from wideprep.sources.tables import append_tables, as_text_table, drop_empty, read_table
 
-    tables = {t: as_text_table(read_table(spark, sf_dir, t)) for t in ("customer", "supplier")}
-    return drop_empty(append_tables(tables), keep=())
+    tables = {t: drop_empty(as_text_table(read_table(spark, sf_dir, t)), keep=()) for t in ("customer", "supplier")}
+    return append_tables(tables)
 
 
 def largest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,7 +379,54 @@ def largest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run({t: read_table(spark, sf_dir, t) for t in TABLES})
 
 
+def messy_files(spark: SparkSession, sf_dir: str) -> str:
+    """``customer`` written as one untidy upload a nation; returns the folder. A title stands above the header, header cells
+    are quoted, names hold quotes, delimiters and (every 7th) a line end, every 5th segment is spelled NA, every 11th record
+    is short, every 13th is too long; odd nations use ``;`` and Windows-1252."""
+    from wideprep.session import new_table_path
+    from wideprep.sources.tables import read_table
+
+    odd = F.col("c_nationkey") % 2 == 1
+    d = F.when(odd, ";").otherwise(",")
+    k = F.col("c_custkey")
+    name = F.concat(F.lit('"é ""'), "c_name", F.lit('"", a;b'), F.when(k % 7 == 0, "\nnext").otherwise(""), F.lit('"'))
+    segment = F.when(k % 5 == 0, "NA").otherwise(F.col("c_mktsegment"))
+    full = F.concat_ws(d, k.cast("string"), name, segment, F.col("c_acctbal").cast("string"))
+    line = F.when(k % 13 == 0, F.concat(full, d, F.lit("more"))).when(k % 11 == 0, F.concat_ws(d, k.cast("string"), name)).otherwise(full)
+    rows = read_table(spark, sf_dir, "customer").select("c_nationkey", k.alias("n"), line.alias("line"))
+    tops = rows.select("c_nationkey").distinct().select("c_nationkey", F.explode(F.array(
+        F.struct(F.lit(-2).cast("long").alias("n"), F.lit("Customer report").alias("line")),
+        F.struct(F.lit(-1).cast("long").alias("n"), F.concat_ws(d, *[F.lit(f'"{c}"') for c in MESSY_COLUMNS]).alias("line")))).alias("x"))
+    lines = rows.unionAll(tops.select("c_nationkey", "x.n", "x.line"))
+    written = F.when(odd, F.encode("line", "ISO-8859-1").cast("string")).otherwise(F.col("line")).alias("value")
+    lines = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "n").select("c_nationkey", written)
+    path = new_table_path(spark, "messy-files")
+    lines.write.partitionBy("c_nationkey").text(path)
+    return path
+
+
+MESSY_COLUMNS = ("KEY", "NAME", "SEGMENT", "BALANCE")
+
+
+def scan_messy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The untidy uploads scanned back."""
+    from wideprep.sources.delimited import scan_delimited
+    from wideprep.sources.tables import drop_empty
+
+    return drop_empty(scan_delimited(spark, messy_files(spark, sf_dir) + "/*/*"), keep=())
+
+
+def scan_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records with too many fields, by their key."""
+    from wideprep.sources.delimited import rejected_records
+
+    found = rejected_records(spark, messy_files(spark, sf_dir) + "/*/*")
+    return found.select(F.regexp_extract("record", "^[0-9]+", 0).alias("key"))
+
+
 REGISTRY.update({
+    "scan_messy_files": scan_messy_files,
+    "scan_rejects": scan_rejects,
     "scan_union_lineage": scan_union_lineage,
     "largest_table": largest_table,
 })
