@@ -382,21 +382,25 @@ def largest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messy_files(spark: SparkSession, sf_dir: str) -> str:
     """``customer`` written as one untidy upload a nation; returns the folder. A title stands above the header, header cells
     are quoted, names hold quotes, delimiters and (every 7th) a line end, every 5th segment is spelled NA, every 11th record
-    is short, every 13th is too long; odd nations use ``;`` and Windows-1252."""
+    is short, every 13th has a blank cell too many; odd nations use ``;`` and Windows-1252."""
     from wideprep.session import new_table_path
     from wideprep.sources.tables import read_table
 
     odd = F.col("c_nationkey") % 2 == 1
     d = F.when(odd, ";").otherwise(",")
+
+    def joined(*cells):
+        return F.concat(cells[0], *[x for c in cells[1:] for x in (d, c)])
+
     k = F.col("c_custkey")
     name = F.concat(F.lit('"é ""'), "c_name", F.lit('"", a;b'), F.when(k % 7 == 0, "\nnext").otherwise(""), F.lit('"'))
     segment = F.when(k % 5 == 0, "NA").otherwise(F.col("c_mktsegment"))
-    full = F.concat_ws(d, k.cast("string"), name, segment, F.col("c_acctbal").cast("string"))
-    line = F.when(k % 13 == 0, F.concat(full, d, F.lit("more"))).when(k % 11 == 0, F.concat_ws(d, k.cast("string"), name)).otherwise(full)
+    full = joined(k.cast("string"), name, segment, F.col("c_acctbal").cast("string"))
+    line = F.when(k % 13 == 0, joined(full, F.lit(""))).when(k % 11 == 0, joined(k.cast("string"), name)).otherwise(full)
     rows = read_table(spark, sf_dir, "customer").select("c_nationkey", k.alias("n"), line.alias("line"))
     tops = rows.select("c_nationkey").distinct().select("c_nationkey", F.explode(F.array(
         F.struct(F.lit(-2).cast("long").alias("n"), F.lit("Customer report").alias("line")),
-        F.struct(F.lit(-1).cast("long").alias("n"), F.concat_ws(d, *[F.lit(f'"{c}"') for c in MESSY_COLUMNS]).alias("line")))).alias("x"))
+        F.struct(F.lit(-1).cast("long").alias("n"), joined(*[F.lit(f'"{c}"') for c in MESSY_COLUMNS]).alias("line")))).alias("x"))
     lines = rows.unionAll(tops.select("c_nationkey", "x.n", "x.line"))
     written = F.when(odd, F.encode("line", "ISO-8859-1").cast("string")).otherwise(F.col("line")).alias("value")
     lines = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "n").select("c_nationkey", written)
