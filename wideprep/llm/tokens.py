@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_map, file_bytes
+from .common import arrow_map, file_bytes, store
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation rule this vocabulary was made with
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lengths in one run of the suffix sums' inner step.
-SPAN = 4096
+SPAN = 256
 
 
 def encoder(raw: bytes):
@@ -59,6 +59,7 @@ def limits_table(histogram: DataFrame) -> DataFrame:
     """For every length that occurs, taken as a context limit: documents of that length, documents longer, tokens in
     documents no longer, tokens kept if longer documents are cut, tokens lost, all tokens, and the share of documents
     that fit. Sums run inside spans of ``SPAN`` lengths; spans meet as one row each."""
+    histogram = store(histogram, "histogram")  # it is read for the spans and for the lengths; texts are encoded once
     h = histogram.select("length", "documents", (F.col("length") * F.col("documents")).alias("tokens"),
                          F.floor(F.col("length") / SPAN).alias("span"))
     up = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
