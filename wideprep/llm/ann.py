@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from .common import arrow_map, store
 
 TABLES = 16
-PROBES = 320
+PROBES = 480
 WIDTH = 2.0
 PART_ROWS = 16_384
 SEED = 20_240
