@@ -104,3 +104,24 @@ def test_indel_ratio(spark, a, b):
     got = df.select(indel_ratio(F.col("a"), F.col("b"))).first()[0]
     want = 1.0 if not a and not b else 2.0 * _lcs(a, b) / (len(a) + len(b))
     assert abs(got - want) < 1e-12
+
+
+def test_dates_by_shape(spark):
+    """Spellings of one day, and near misses that are no date."""
+    from wideprep.functions.dates import standardize_date
+
+    same = ["05/01/26", "5-Jan-26", "05/01/2026 3:04 PM", "2026.01.05", "20260105 10:00", "2026-01-05T10:00:00Z",
+            "2026-01-05 23:59:59.123+05:30", "5 January 2026", "Jan 5, 2026", "january 5 2026", "5.1.2026", "2026/1/5"]
+    assert _eval(spark, same, lambda c: standardize_date(c, "YYYY-MM-DD", True)) == ["2026-01-05"] * len(same)
+    assert _eval(spark, ["01/05/70", "5-Jan-69", "Feb 2026", "2026-02", "31/12/2026"], lambda c: standardize_date(c)) == [
+        "1970-01-05", "1969-01-05", "2026-02-01", "2026-02-01", "2026-12-31"]
+    other = ["2026-13-01", "32/13/2026", "5 Foo 2026", "Jan 26", "5 Jan 5 2026", "2026-01-05 25:00", "1/2-2026", "31/02/2026", "May", ""]
+    assert _eval(spark, other, lambda c: standardize_date(c)) == other
+
+
+def test_number_reader_over_array(spark):
+    from wideprep.functions.numbers import num_comma, num_comma_array_sql
+
+    vals = ["12,450", "-64", "$1,234", "1e400", "-inf", " 7 ", "1d", "nan", None, ""]
+    cells = spark.createDataFrame([(vals,)], "x array<string>")
+    assert cells.select(F.expr(num_comma_array_sql("x"))).first()[0] == _eval(spark, vals, num_comma)

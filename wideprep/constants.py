@@ -99,8 +99,7 @@ STANDARDS = {
 # --- FIXED VALUES: thresholds ---------------------------------------------------
 NUMERIC_SHARE = 0.7          # profile: parsed share of all rows (>=)
 OUTPUT_NUMERIC_SHARE = 0.7   # reconcile: output measure share (>, strict)
-DATE_SHARE = 0.7             # profile: parsed share of the first 100 non-null values
-DATE_SAMPLE = 100
+DATE_SHARE = 0.7             # profile: parsed share of the non-null values (>=)
 DATE_NAME_HINTS = ("date", "period", "month", "week", "year")
 DUP_KEY_HINTS = ("sku", "item", "product", "country", "date", "period", "channel")
 DUP_KEY_MAX = 4

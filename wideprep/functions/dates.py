@@ -1,16 +1,18 @@
 """Date parsing and formatting for mixed spellings.
 
-Order of rules for one trimmed text cell:
+A cell is read by its shape, and parsed once:
 
-1. exactly 8 digits            -> ``yyyyMMdd``
-2. 4-5 digits, optional ``.0`` -> spreadsheet serial day from 1899-12-30
-3. otherwise the first declared format that parses (ISO first, then
-   month-name forms, then numeric day/month forms whose order follows the
-   ``dayfirst`` flag; the other order is the fallback, so ``13/01/2026``
-   parses either way).
+1. 4-5 digits, optional ``.0`` -> spreadsheet serial day from 1899-12-30;
+2. a time of day at the end (24-hour or AM/PM, optional zone) is cut: the
+   date is the one written, whatever the zone;
+3. day, month name and year in either order, or month name and year;
+4. otherwise a chain of rewrites brings year-first, eight-digit and numeric
+   day/month spellings to ``y-m-d``. Numeric order follows ``dayfirst``; a
+   month above 12 means the other order, so ``13/01/2026`` parses either
+   way. Two-digit years 69-99 are 19xx, others 20xx.
 
-A declared list replaces a heuristic "mixed" parser: every accepted spelling
-is visible here, and the same list is used for profiling and cleanup.
+Each step reads its input once, so the expression stays linear, and what is
+no date fails one cast without an exception per tried format.
 """
 
 from __future__ import annotations
@@ -21,45 +23,50 @@ from pyspark.sql import functions as F
 from wideprep.constants import DATE_OUTPUT_FORMATS, EXCEL_EPOCH
 from wideprep.functions.text import _col, strip_ws
 
-_TEXT_FORMATS = (
-    "yyyy/M/d",
-    "yyyy/M/d H:m:s",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "d-MMM-yyyy",
-    "d-MMMM-yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "MMM d yyyy",
-    "MMMM d yyyy",
-    "MMM yyyy",
-    "MMMM yyyy",
-)
-_ISO = r"^\d{4}-\d{1,2}(?:-\d{1,2})?(?:[ T]\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?)?$"
-_MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s")
-_DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s")
-
-
-def _declared(t: Column, dayfirst: bool) -> Column:
-    numeric = _DAY_FIRST + _MONTH_FIRST if dayfirst else _MONTH_FIRST + _DAY_FIRST
-    # ISO date / date-time (Spark's own cast grammar, only on ISO-shaped
-    # text: the cast also takes bare years and signs), then the declared list
-    tries = [F.when(t.rlike(_ISO), F.try_to_timestamp(t))]
-    tries += [F.try_to_timestamp(t, F.lit(f)) for f in _TEXT_FORMATS + numeric]
-    return F.coalesce(*tries)
+_TIME = (r"[ T]\s*(?:[01]?\d|2[0-3]):[0-5]?\d(?::[0-5]?\d(?:\.\d+)?)?(?:\s*[AaPp][Mm])?"
+         r"(?:\s*(?:Z|UTC|[+-]\d{2}:?\d{2}))?$")
+_SERIAL = r"^(\d{4,5})(?:\.0)?$"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_NAME = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:tember)?"
+         r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
+# groups: day, separator, name, day, year; the day stands on one side, a two-digit year only after day and name
+_NAMED = rf"(?i)^(?:(\d{{1,2}})([ -])(?=[a-z]+[ -]\d+$)|(?=[a-z]+ (?:\d{{1,2}},? )?\d{{4}}$)){_NAME}(?: (\d{{1,2}}),?)?[ -](\d{{4}}|\d{{2}})$"
+_CENTURY = ((r"^(\d{1,2}[/.-]\d{1,2}[/.-])(?=(?:69|[7-9]\d)$)", "$119"),
+            (r"^(\d{1,2}[/.-]\d{1,2}[/.-])(?=\d{2}$)", "$120"))
+_YMD = r"^\d{4}-\d{1,2}(?:-\d{1,2})?$"
+
+
+def _numeric(d: Column, dayfirst: bool) -> Column:
+    """Year-first, eight-digit and numeric day/month text -> ``y-m-d`` text."""
+    d = F.regexp_replace(d, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    d = F.regexp_replace(d, r"^(\d{4})([/.])(\d{1,2})\2(\d{1,2})$", "$1-$3-$4")
+    for shape, full in _CENTURY:
+        d = F.regexp_replace(d, shape, full)
+    d = F.regexp_replace(d, r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$", "$4/$3/$1" if dayfirst else "$4/$1/$3")
+    # slashes mark the rewritten ones: only those may change their order
+    d = F.regexp_replace(d, r"^(\d{4})/(1[3-9]|[2-9]\d)/(\d{1,2})$", "$1/$3/$2")
+    return F.regexp_replace(d, r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3")
+
+
+def _named(d: Column) -> Column:
+    """Text with a month name -> ``y-m-d`` text (the first of the month where no day is given)."""
+    def part(i):
+        return F.regexp_extract(d, _NAMED, i)
+
+    month = (F.instr(F.lit(_MONTHS), F.lower(F.left(part(3), F.lit(3)))) + 2) / 3
+    day = F.coalesce(F.nullif(F.concat(part(1), part(4)), F.lit("")), F.lit("1"))
+    year = part(5)
+    century = F.when(F.length(year) == 4, "").when(year.rlike("^(?:69|[7-9])"), "19").otherwise("20")
+    return F.concat(century, year, F.lit("-"), month.cast("int").cast("string"), F.lit("-"), day)
 
 
 def parse_date(c, dayfirst: bool = False) -> Column:
     """Text cell -> DATE (NULL when nothing parses)."""
     t = strip_ws(_col(c).cast("string"))
-    ymd = t.rlike(r"^\d{8}$")
-    serial = t.rlike(r"^\d{4,5}(?:\.0)?$")
-    days = F.regexp_extract(t, r"^(\d{4,5})", 1).try_cast("int")
-    return (
-        F.when(ymd, F.to_date(F.try_to_timestamp(t, F.lit("yyyyMMdd"))))
-        .when(serial, F.date_add(F.lit(EXCEL_EPOCH).cast("date"), days))
-        .otherwise(F.to_date(_declared(t, dayfirst)))
-    )
+    d = F.regexp_replace(t, _TIME, "")
+    text = F.when(d.rlike(_NAMED), _named(d)).otherwise(_numeric(d, dayfirst))
+    serial = F.date_add(F.lit(EXCEL_EPOCH).cast("date"), F.regexp_extract(t, _SERIAL, 1).try_cast("int"))
+    return F.when(t.rlike(_SERIAL), serial).otherwise(F.regexp_extract(text, _YMD, 0).try_cast("date"))
 
 
 def format_date(d: Column, fmt: str) -> Column:

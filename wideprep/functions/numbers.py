@@ -91,5 +91,15 @@ def num_comma_sql(col_sql: str) -> str:
             f"ELSE {v} END)")
 
 
+def num_comma_array_sql(cells_sql: str) -> str:
+    """:func:`num_comma_sql` over an array of text cells: text, then value,
+    one reader for all cells, so the plan does not grow with the table's
+    width."""
+    text = f"transform({cells_sql}, x -> btrim(replace(x, ',', ''), {sql_literal(WS_CHARS)}))"
+    value = (f"CASE WHEN t RLIKE {sql_literal(f'^(?:{_NUM})$')} THEN if(abs(try_cast(t AS DOUBLE)) = double('infinity'), "
+             f"NULL, try_cast(t AS DOUBLE)) WHEN t RLIKE {sql_literal(f'^(?:{_INF})$')} THEN try_cast(t AS DOUBLE) END")
+    return f"transform({text}, t -> {value})"
+
+
 def num_filter_sql(col_sql: str) -> str:
     return f"try_cast(regexp_replace(CAST({col_sql} AS STRING), '[^0-9.-]', '') AS DOUBLE)"

@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from wideprep.functions.dates import standardize_date
-from wideprep.functions.numbers import num_comma, num_comma_sql, ref
+from wideprep.functions.numbers import num_comma, num_comma_array_sql, ref
 from wideprep.operators.ordinal import ROW_ID, with_ordinal
 
 # --- FIXED VALUES: action labels as offered to the analyst -----------------------
@@ -27,6 +28,9 @@ NEGATIVE_ACTIONS = {
 }
 KEEP_POLICIES = {"Keep first": "first", "Keep last": "last", "Delete all duplicates": "none"}
 
+# parts a hot key is split into by rows_with
+SALTS = 16
+
 
 def negative_value(c: Column, action: str, dtype=None) -> Column:
     """The numeric reading of a cell after a negative-value action."""
@@ -52,32 +56,41 @@ def apply_negative_action(df: DataFrame, column: str, action: str) -> DataFrame:
     return df.withColumn(column, negative_value(F.col(ref(column)), action, dtype))
 
 
-def negative_sql(col_sql: str, action: str, numeric: bool = False) -> str:
-    """SQL-text form of :func:`negative_value` (for many columns at once)."""
+def _action_sql(value: str, action: str) -> str:
+    """SQL-text form of the action on a value that is read once or is cheap."""
     a = NEGATIVE_ACTIONS.get(action, action)
-    v = f"CAST({col_sql} AS DOUBLE)" if numeric else num_comma_sql(col_sql)
-    if a == "abs":
-        return f"abs({v})"
-    if a == "zero":
-        return f"(CASE WHEN {v} < 0 THEN 0D ELSE {v} END)"
-    if a == "null":
-        return f"(CASE WHEN {v} < 0 THEN CAST(NULL AS DOUBLE) ELSE {v} END)"
-    if a == "none":
-        return v
-    raise ValueError(f"unknown negative action {action!r}")
+    if a not in ("abs", "zero", "null", "none"):
+        raise ValueError(f"unknown negative action {action!r}")
+    return {"abs": f"abs({value})", "zero": f"if({value} < 0, 0D, {value})",
+            "null": f"if({value} < 0, CAST(NULL AS DOUBLE), {value})", "none": value}[a]
 
 
 def apply_negative_actions(df: DataFrame, actions: dict[str, str]) -> DataFrame:
-    """Several columns at once, one projection; absent columns are ignored."""
-    from pyspark.sql.types import NumericType
-
+    """Several columns at once; absent columns are ignored. The text columns
+    are read as one array by one reader, so neither plan nor generated code
+    grows with the number of columns."""
     types = {f.name: f.dataType for f in df.schema.fields}
     todo = {c: a for c, a in actions.items() if c in types}
+    for a in todo.values():
+        _action_sql("v", a)
+    texts = [c for c in todo if not isinstance(types[c], NumericType)]
+    place = {c: i for i, c in enumerate(texts)}
     if not todo:
         return df
-    return df.select(*[
-        F.expr(negative_sql(ref(c), todo[c], isinstance(types[c], NumericType))).alias(c) if c in todo else F.col(ref(c))
-        for c in df.columns])
+    values = "_values"
+    while values in types:
+        values += "_"
+    if texts:
+        cells = ", ".join(f"CAST({ref(c)} AS STRING)" for c in texts)
+        df = df.select("*", F.expr(num_comma_array_sql(f"array({cells})")).alias(values))
+
+    def final(c):
+        if c not in todo:
+            return F.col(ref(c))
+        read = f"{values}[{place[c]}]" if c in place else f"CAST({ref(c)} AS DOUBLE)"
+        return F.expr(_action_sql(read, todo[c])).alias(c)
+
+    return df.select(*[final(c) for c in types])
 
 
 def _keys(df: DataFrame, keys: list[str] | None, row_id: str) -> list[str]:
@@ -96,9 +109,18 @@ def duplicate_report(df: DataFrame, keys: list[str] | None = None, row_id: str =
     the table are ignored; no usable key -> whole-row duplicates."""
     k = _keys(df, keys, row_id)
     dup = _key_stats(df, k, row_id).where(F.col("_n") > 1).select(*[F.col(ref(c)).alias(f"_k{i}") for i, c in enumerate(k)])
-    # null-safe equality: NULL keys form one group, as in the row-wise check
-    cond = [F.col(ref(c)).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(k)]
-    return df.join(dup, cond, "left_semi")
+    return rows_with(df, dup, [(F.col(ref(c)), f"_k{i}") for i, c in enumerate(k)], F.col(ref(row_id)))
+
+
+def rows_with(df: DataFrame, keys: DataFrame, pairs: list[tuple[Column, str]], spread: Column, salts: int = SALTS) -> DataFrame:
+    """Rows of ``df`` whose values equal a row of the distinct ``keys``
+    (NULLs equal). The keys are repeated for every salt and the rows dealt
+    over the salts by ``spread``, so a key that holds a third of the rows is
+    ``salts`` partitions' work, with or without adaptive skew handling."""
+    salted = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    cond = [value.eqNullSafe(F.col(name)) for value, name in pairs]
+    cond.append(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int") == F.col("_salt"))
+    return df.join(salted, cond, "left_semi")
 
 
 def remove_duplicates(df: DataFrame, keys: list[str] | None = None, keep: str = "first",

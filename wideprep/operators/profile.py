@@ -1,14 +1,13 @@
 """Profiling: per-column and whole-table quality figures in few passes.
 
-* per-column counts (missing, parsed as number, negative) - cells
-  unpivoted with ``stack``, empty ones dropped, one small hash aggregate
-  by column index;
-* exact duplicate rows - one aggregate over whole rows (map-side combine
-  collapses repeats before the shuffle, so a row repeated a billion times
-  costs one row per map task);
-* date sniffing - the first 100 non-NULL cells per column in row order,
-  taken with a per-column top-k window that Spark limits before the
-  shuffle, then parsed once in long form.
+* per-column counts (missing, parsed as number, negative, parsed as date) -
+  cells unpivoted with ``stack``, empty ones dropped, each read once, one
+  small hash aggregate by column index;
+* exact duplicate rows - a 64-bit row hash is counted first; only rows whose
+  hash occurs twice are compared whole, so distinct rows never shuffle
+  their cells.
+
+Everything is one lazy plan; nothing is read on the driver.
 """
 
 from __future__ import annotations
@@ -17,117 +16,112 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from wideprep.constants import DATE_NAME_HINTS, DATE_SAMPLE, DATE_SHARE, DUP_KEY_HINTS, DUP_KEY_MAX, NUMERIC_SHARE
+from wideprep.constants import DATE_NAME_HINTS, DATE_SHARE, DUP_KEY_HINTS, DUP_KEY_MAX, NUMERIC_SHARE
 from wideprep.functions.dates import parse_date
-from wideprep.functions.numbers import num_comma_sql, ref, sql_literal
-from wideprep.functions.text import WS_CHARS
+from wideprep.functions.numbers import num_comma, ref
+from wideprep.functions.text import is_blank
+from wideprep.operators.cleanup import rows_with
 from wideprep.operators.ordinal import ROW_ID
 
-_BLANK_SQL = "(?i)^(?:nan|none|null|n/a|na|-)?$"
-COLUMN_PROFILE_SCHEMA = ("column_name string, col_ordinal int, missing bigint, parsed bigint, is_numeric boolean, "
-                         "negatives bigint, is_date boolean")
+COLUMN_FIGURES = ("column_name", "col_ordinal", "missing", "parsed", "is_numeric", "negatives", "is_date")
 
 
 def _data_columns(df: DataFrame, row_id: str) -> list[str]:
     return [c for c in df.columns if c != row_id]
 
 
-def _column_counts(df: DataFrame, cols: list[str]) -> dict:
-    """missing / parsed / negative counts for every column in one pass.
+def _column_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: ``found``, a map from column index to its counts (index -1
+    counts the rows).
 
-    Cells are unpivoted with ``stack`` to (column index, text) and only the
-    non-NULL ones are parsed (wide tables are mostly empty); NULL counts
-    follow from the row count. A four-aggregate hash group by column index
-    combines map-side to one row per column per task, and the expressions
-    stay small however many columns the table has.
+    Cells are unpivoted to (column index, text); a marker cell stands for the
+    row itself. Only non-NULL cells are read (wide tables are mostly empty),
+    number and date once each. The hash group by column index combines
+    map-side to one row per column per task, so the map has at most one
+    entry per column.
     """
-    if not cols:
-        return {"_rows": df.count()}
+    args = ", ".join(["-1, ''"] + [f"{i}, CAST({ref(c)} AS STRING)" for i, c in enumerate(cols)])
+    long = df.selectExpr(f"stack({len(cols) + 1}, {args}) AS (i, v)").where("v IS NOT NULL")
+    cell = F.col("i") >= 0
+    read = long.select("i", (cell & is_blank(F.col("v"))).alias("blank"), F.when(cell, num_comma(F.col("v"))).alias("num"),
+                       F.when(cell, parse_date(F.col("v"))).alias("day"))
+    groups = read.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count_if("blank").alias("blank"),
+                                   F.count("num").alias("parsed"), F.count_if(F.col("num") < 0).alias("negative"),
+                                   F.count("day").alias("days"))
+    counts = F.struct("n", "blank", "parsed", "negative", "days")
+    return groups.agg(F.map_from_entries(F.collect_list(F.struct("i", counts))).alias("found"))
+
+
+def _figures(df: DataFrame, row_id: str) -> DataFrame:
+    """COLUMN_FIGURES and ``rows`` for every data column."""
+    cols = _data_columns(df, row_id)
     types = {f.name: f.dataType for f in df.schema.fields}
-    args = ", ".join(f"{i}, CAST({ref(c)} AS STRING)" for i, c in enumerate(cols))
-    long = df.selectExpr(f"stack({len(cols)}, {args}) AS (i, v)").where("v IS NOT NULL")
-    blank = f"btrim(v, {sql_literal(WS_CHARS)}) RLIKE {sql_literal(_BLANK_SQL)}"
-    num = num_comma_sql("v")
-    agg = long.groupBy("i").agg(F.count(F.lit(1)).alias("nn"), F.expr(f"count_if({blank})").alias("bl"),
-                                F.expr(f"count({num})").alias("p"), F.expr(f"count_if({num} < 0)").alias("n"))
-    rows = df.count()
-    out = {"_rows": rows}
-    got = {r["i"]: r for r in agg.collect()}
-    for i, c in enumerate(cols):
-        r = got.get(i)
-        nn, bl, p, n = (r["nn"], r["bl"], r["p"], r["n"]) if r else (0, 0, 0, 0)
-        text = isinstance(types[c], StringType)
-        out[f"_m{i}"] = rows - nn + (bl if text else 0)
-        out[f"_p{i}"], out[f"_n{i}"] = p, n
-    return out
 
+    def known(c):
+        text = isinstance(types[c], StringType)
+        dated = isinstance(types[c], (DateType, TimestampType, TimestampNTZType)) or any(h in c.lower() for h in DATE_NAME_HINTS)
+        return F.struct(F.lit(c).alias("column_name"), F.lit(cols.index(c) + 1).alias("col_ordinal"),
+                        F.lit(text).alias("text"), F.lit(dated).alias("dated"))
 
-def date_sniff(df: DataFrame, cols: list[str], row_id: str = ROW_ID) -> dict[str, float]:
-    """Share of the first 100 non-NULL values (row order) that parse as a date."""
+    counts = _column_counts(df, cols)
     if not cols:
-        return {}
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(ref(c)).cast("string").alias("v")) for c in cols]))
-    long = df.select(F.col(row_id), cells.alias("x")).select(row_id, "x.c", "x.v").where(F.col("v").isNotNull())
-    w = Window.partitionBy("c").orderBy(row_id)
-    first = long.select("c", "v", F.row_number().over(w).alias("_rk")).where(F.col("_rk") <= DATE_SAMPLE)
-    shares = first.groupBy("c").agg(F.avg(parse_date(F.col("v")).isNotNull().cast("double")).alias("share"))
-    return {r["c"]: r["share"] for r in shares.collect()}
-
-
-def date_candidates(df: DataFrame, row_id: str = ROW_ID) -> list[str]:
-    """Date-typed columns, columns whose name hints at a period, and text
-    columns whose first 100 values mostly parse (numeric columns never)."""
-    cols = _data_columns(df, row_id)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    by_type = {c for c in cols if isinstance(types[c], (DateType, TimestampType, TimestampNTZType))}
-    by_name = {c for c in cols if any(h in str(c).lower() for h in DATE_NAME_HINTS)}
-    sniff = [c for c in cols if c not in by_type and c not in by_name and isinstance(types[c], StringType)]
-    shares = date_sniff(df, sniff, row_id) if row_id in df.columns else {}
-    return [c for c in cols if c in by_type or c in by_name or shares.get(c, 0.0) >= DATE_SHARE]
+        return counts.where("false").selectExpr("'' AS column_name", "0 AS col_ordinal", "0L AS missing", "0L AS parsed",
+                                                "false AS is_numeric", "0L AS negatives", "false AS is_date", "0L AS rows")
+    listed = counts.select("found", F.explode(F.array(*[known(c) for c in cols])).alias("c")).select(
+        "c.*", F.coalesce(F.expr("try_element_at(found, -1).n"), F.lit(0)).alias("rows"),
+        F.expr("try_element_at(found, c.col_ordinal - 1)").alias("x"))
+    n, blank, parsed, negative, days = (F.coalesce(F.col(f"x.{f}"), F.lit(0)) for f in ("n", "blank", "parsed", "negative", "days"))
+    numeric = F.coalesce(F.try_divide(parsed, "rows") >= NUMERIC_SHARE, F.lit(False))
+    # the share is over all filled cells of the column; numeric-typed columns are never sniffed
+    dates = F.col("dated") | (F.col("text") & F.coalesce(F.try_divide(days, n) >= DATE_SHARE, F.lit(False)))
+    return listed.select(
+        "column_name", "col_ordinal", (F.col("rows") - n + F.when(F.col("text"), blank).otherwise(0)).alias("missing"),
+        parsed.alias("parsed"), numeric.alias("is_numeric"), F.when(numeric, negative).otherwise(F.lit(0)).alias("negatives"),
+        dates.alias("is_date"), "rows")
 
 
 def profile_columns(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """One row per column: missing cells, parsed numbers, numeric flag
-    (parsed share of all rows >= 0.7), negatives (numeric columns only),
-    date flag."""
-    spark = df.sparkSession
-    cols = _data_columns(df, row_id)
-    counts = _column_counts(df, cols)
-    rows = counts["_rows"]
-    dates = set(date_candidates(df, row_id))
-    out = []
-    for i, c in enumerate(cols):
-        numeric = rows > 0 and counts[f"_p{i}"] / rows >= NUMERIC_SHARE
-        out.append((c, i + 1, counts[f"_m{i}"], counts[f"_p{i}"], bool(numeric),
-                    counts[f"_n{i}"] if numeric else 0, c in dates))
-    return spark.createDataFrame(out, COLUMN_PROFILE_SCHEMA)
+    (parsed share of all rows >= 0.7), negatives (numeric columns only), date
+    flag (date type, name hint, or a text column whose filled cells mostly
+    parse). An empty table gives zeros."""
+    return _figures(df, row_id).select(*COLUMN_FIGURES)
+
+
+def date_candidates(df: DataFrame, row_id: str = ROW_ID) -> list[str]:
+    """Names of the columns flagged as dates, in table order."""
+    found = profile_columns(df, row_id).where("is_date").orderBy("col_ordinal")
+    return [r["column_name"] for r in found.select("column_name").collect()]
 
 
 def exact_duplicates(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """One row: rows beyond the first of each group of identical rows
-    (NULLs equal), over the data columns."""
+    (NULLs equal), over the data columns; 0 without data columns."""
     cols = [F.col(ref(c)) for c in _data_columns(df, row_id)]
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    if not cols:
+        return df.agg(F.lit(0).cast("bigint").alias("exact_duplicates"))
+    # position and NULLs count: a value moved to the next column is another row
+    hashed = df.select(*cols, F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in cols]).alias("_hash"),
+                       (F.col(ref(row_id)) if row_id in df.columns else F.monotonically_increasing_id()).alias("_spread"))
+    twice = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_hash").alias("_twice"))
+    groups = rows_with(hashed, twice, [(F.col("_hash"), "_twice")], F.col("_spread")).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("exact_duplicates"))
 
 
 def profile_table(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     """One row: rows, columns, exact_duplicates, missing_cells,
     numeric_columns, negative_values, date_columns, health_score."""
-    cols = profile_columns(df, row_id)
-    n_rows = df.count()
-    dups = exact_duplicates(df, row_id).first()["exact_duplicates"]
-    summary = cols.agg(
+    summary = _figures(df, row_id).agg(
+        F.coalesce(F.max("rows"), F.lit(0)).alias("rows"),
         F.count(F.lit(1)).cast("int").alias("columns"),
         F.coalesce(F.sum("missing"), F.lit(0)).cast("bigint").alias("missing_cells"),
         F.count(F.when(F.col("is_numeric"), 1)).cast("int").alias("numeric_columns"),
         F.coalesce(F.sum("negatives"), F.lit(0)).cast("bigint").alias("negative_values"),
         F.count(F.when(F.col("is_date"), 1)).cast("int").alias("date_columns"),
     )
-    base = summary.select("*", F.lit(n_rows).cast("bigint").alias("rows"),
-                          F.lit(dups).cast("bigint").alias("exact_duplicates"))
-    return base.select("rows", "columns", "exact_duplicates", "missing_cells", "numeric_columns", "negative_values",
-                       "date_columns", health_score().alias("health_score"))
+    both = summary.unionByName(exact_duplicates(df, row_id), allowMissingColumns=True)  # two rows
+    figures = ("rows", "columns", "exact_duplicates", "missing_cells", "numeric_columns", "negative_values", "date_columns")
+    return both.agg(*[F.max(c).alias(c) for c in figures]).select(*figures, health_score().alias("health_score"))
 
 
 def health_score():

@@ -259,13 +259,9 @@ agg AS (
          count({num_comma('v')}) AS parsed, count_if({num_comma('v')} < 0) AS neg
   FROM long GROUP BY column_name
 ),
-firsts AS (
-  SELECT column_name, v, row_number() OVER (PARTITION BY column_name ORDER BY _row_id) AS rk
-  FROM long WHERE v IS NOT NULL
-),
 dates AS (
   SELECT column_name, avg(CASE WHEN {parse_date('v')} IS NOT NULL THEN 1.0 ELSE 0.0 END) AS share
-  FROM firsts WHERE rk <= 100 GROUP BY column_name
+  FROM long WHERE v IS NOT NULL GROUP BY column_name
 ),
 ords AS (SELECT * FROM (VALUES {ords}) o(column_name, col_ordinal)),
 prof AS (
