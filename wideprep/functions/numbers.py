@@ -84,15 +84,8 @@ def ref(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def num_comma_sql(col_sql: str) -> str:
-    t = f"btrim(replace(CAST({col_sql} AS STRING), ',', ''), {sql_literal(WS_CHARS)})"
-    v = f"(CASE WHEN {t} RLIKE {sql_literal(PANDAS_NUMBER)} THEN try_cast({t} AS DOUBLE) END)"
-    return (f"(CASE WHEN abs({v}) = double('infinity') AND NOT contains(lower({t}), 'inf') THEN CAST(NULL AS DOUBLE) "
-            f"ELSE {v} END)")
-
-
 def num_comma_array_sql(cells_sql: str) -> str:
-    """:func:`num_comma_sql` over an array of text cells: text, then value,
+    """:func:`num_comma` over an array of text cells: text, then value,
     one reader for all cells, so the plan does not grow with the table's
     width."""
     text = f"transform({cells_sql}, x -> btrim(replace(x, ',', ''), {sql_literal(WS_CHARS)}))"

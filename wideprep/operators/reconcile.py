@@ -1,8 +1,9 @@
 """Reconciliation: do source and output carry the same totals?
 
-Totals are summed as ``decimal(38,6)`` so that they do not depend on the
-order in which partitions are added (a double sum does), then reported as
-double. Every form is one aggregate over a tagged union or over a lineage
+Cells below ``EXACT_BELOW`` are summed as ``decimal(38,18)``, so totals do not
+depend on the order in which partitions are added (a double sum does);
+larger and infinite cells, and totals beyond that type, are summed as
+double. An infinite side never matches. Every form is one aggregate over a tagged union or over a lineage
 join on the row ordinal; no per-group loops, no driver-side arithmetic.
 
 Group values for the source side come from the output row with the same
@@ -14,26 +15,51 @@ changed then show up as differences).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wideprep.constants import TOLERANCE
+from wideprep.constants import DIM_COLUMNS, OUTPUT_NUMERIC_SHARE, TOLERANCE
 from pyspark.sql.types import NumericType
 
-from wideprep.functions.numbers import PANDAS_NUMBER, num_comma, num_comma_sql, ref, sql_literal
+from wideprep.functions.numbers import PANDAS_NUMBER, num_comma, ref, sql_literal
 from wideprep.functions.text import WS_CHARS
 from wideprep.operators.ordinal import ROW_ID
 
-EXACT = "decimal(38,6)"
+EXACT = "decimal(38,18)"
+EXACT_BELOW = 1e15
 SUMMARY_SCHEMA = ("source_measure string, output_measure string, input_total double, output_total double, "
                   "difference double, tolerance double, match boolean")
 
 
 def measure_value(df: DataFrame, name: str) -> Column:
-    """Comma-tolerant numeric value of a measure column, unparseable -> 0."""
-    return F.coalesce(num_comma(F.col(f"`{name}`"), df.schema[name].dataType), F.lit(0.0)).cast(EXACT)
+    """Comma-tolerant numeric value of a measure column; NULL (adds nothing) where unparseable or NaN."""
+    v = num_comma(F.col(ref(name)), df.schema[name].dataType)
+    return F.when(~F.isnan(v), v)
+
+
+def _sums(cell: str, side: str) -> list[Column]:
+    """Partial sums of the cells of one side, read back by :func:`_result`."""
+    v = F.col(cell)
+    small = F.abs(v) < EXACT_BELOW
+    return [F.try_sum(F.when(small, v).cast(EXACT)).alias(f"_{side}_exact"), F.count_if(small).alias(f"_{side}_n"),
+            F.sum(F.when(~small, v)).alias(f"_{side}_rough"), F.sum(v).alias(f"_{side}_all")]
+
+
+def _result(tolerance: float) -> list[Column]:
+    """input_total, output_total, difference, match of aggregated :func:`_sums`."""
+    def exact(s):
+        return F.when(F.col(f"_{s}_n") == 0, F.lit(0).cast(EXACT)).otherwise(F.col(f"_{s}_exact"))
+
+    def rough(s):
+        return F.coalesce(F.col(f"_{s}_rough"), F.lit(0.0))
+
+    def total(s):
+        return F.coalesce(exact(s).cast("double") + rough(s), F.col(f"_{s}_all"))
+
+    diff = F.coalesce(F.try_subtract(exact("out"), exact("in")).cast("double") + (rough("out") - rough("in")),
+                      total("out") - total("in"))
+    return [total("in").alias("input_total"), total("out").alias("output_total"), diff.alias("difference"),
+            (F.abs(diff) <= F.lit(float(tolerance))).alias("match")]
 
 
 def reconcile_total(source: DataFrame, output: DataFrame, source_measure: str, output_measure: str,
@@ -47,20 +73,11 @@ def reconcile_total(source: DataFrame, output: DataFrame, source_measure: str, o
                                      SUMMARY_SCHEMA)
     tagged = source.select(F.lit(0).alias("_side"), measure_value(source, source_measure).alias("_v")).unionByName(
         output.select(F.lit(1).alias("_side"), measure_value(output, output_measure).alias("_v")))
-    totals = tagged.agg(
-        F.coalesce(F.sum(F.when(F.col("_side") == 0, F.col("_v"))), F.lit(0).cast(EXACT)).alias("_in"),
-        F.coalesce(F.sum(F.when(F.col("_side") == 1, F.col("_v"))), F.lit(0).cast(EXACT)).alias("_out"),
-    )
-    diff = F.col("_out") - F.col("_in")
-    return totals.select(
-        F.lit(source_measure).alias("source_measure"),
-        F.lit(output_measure).alias("output_measure"),
-        F.col("_in").cast("double").alias("input_total"),
-        F.col("_out").cast("double").alias("output_total"),
-        diff.cast("double").alias("difference"),
-        F.lit(float(tolerance)).alias("tolerance"),
-        (F.abs(diff) <= F.lit(tolerance).cast(EXACT)).alias("match"),
-    )
+    sides = tagged.select(F.when(F.col("_side") == 0, F.col("_v")).alias("_i"), F.when(F.col("_side") == 1, F.col("_v")).alias("_o"))
+    totals = sides.agg(*_sums("_i", "in"), *_sums("_o", "out"))
+    total_in, total_out, difference, match = _result(tolerance)
+    return totals.select(F.lit(source_measure).alias("source_measure"), F.lit(output_measure).alias("output_measure"),
+                         total_in, total_out, difference, F.lit(float(tolerance)).alias("tolerance"), match)
 
 
 def valid_groups(output: DataFrame, groups: list[str] | None) -> list[str]:
@@ -73,7 +90,7 @@ def _paired(source: DataFrame, output: DataFrame, groups: list[str], src_vals: l
     """Rows with (groups..., _in_i..., _out_i...) for aggregation."""
     n = len(src_vals)
     raw_ok = source_groups == "raw" and all(g in source.columns for g in groups)
-    zero = F.lit(None).cast(EXACT)
+    zero = F.lit(None).cast("double")
     if raw_ok or not groups:
         # no lineage needed: tagged union, one aggregate, no join
         s = source.select(*[F.col(f"`{g}`").cast("string").alias(g) for g in groups],
@@ -112,18 +129,9 @@ def reconcile_groups(source: DataFrame, output: DataFrame, source_measure: str,
         return spark.createDataFrame([], "input_total double, output_total double, difference double, match boolean")
     rows = _paired(source, output, g, [measure_value(source, source_measure)], [measure_value(output, output_measure)],
                    row_id, source_groups)
-    zero = F.lit(0).cast(EXACT)
-    agg = rows.groupBy(*g).agg(F.coalesce(F.sum("_in0"), zero).alias("_in"),
-                               F.coalesce(F.sum("_out0"), zero).alias("_out"))
-    diff = F.col("_out") - F.col("_in")
+    agg = rows.groupBy(*g).agg(*_sums("_in0", "in"), *_sums("_out0", "out"))
     extra = [slice_label(g).alias("slice")] if label else []
-    return agg.select(
-        *g, *extra,
-        F.col("_in").cast("double").alias("input_total"),
-        F.col("_out").cast("double").alias("output_total"),
-        diff.cast("double").alias("difference"),
-        (F.abs(diff) <= F.lit(tolerance).cast(EXACT)).alias("match"),
-    )
+    return agg.select(*g, *extra, *_result(tolerance))
 
 
 def slice_label(groups: list[str]) -> Column:
@@ -142,23 +150,22 @@ def _cells(df: DataFrame, periods: list[str], keep: list[Column]) -> DataFrame:
     cast = "DOUBLE" if numeric else "STRING"
     args = ", ".join(f"{sql_literal(p)}, CAST({ref(p)} AS {cast})" for p in periods)
     long = df.select(*keep, F.expr(f"stack({len(periods)}, {args}) AS (period, _raw)")).where("_raw IS NOT NULL")
-    value = "_raw" if numeric else num_comma_sql("_raw")
+    value = F.expr("nullif(_raw, double('nan'))") if numeric else num_comma(F.col("_raw"))
     names = [c for c in long.columns if c not in ("period", "_raw")]
-    return long.select(*names, "period", F.expr(f"CAST({value} AS {EXACT})").alias("_v")).where("_v IS NOT NULL")
+    return long.select(*names, "period", value.alias("_v"))
 
 
 def reconcile_periods(source: DataFrame, output: DataFrame, periods: list[str] | None = None,
                       groups: list[str] | None = None, tolerance: float = TOLERANCE, row_id: str = ROW_ID,
-                      source_groups: str = "lineage") -> DataFrame:
+                      source_groups: str = "lineage", zeros: bool = False) -> DataFrame:
     """Every period column at once: (groups..., period, input_total,
     output_total, difference, match).
 
     Both sides are unpivoted to sparse cells and summed by (groups, period)
-    in one hash aggregate (partial aggregation before the shuffle). Source
-    cells get their group from the output row with the same ``_row_id``: a
-    join of the sparse cells with a narrow (_row_id, groups) projection.
-    Every (group, period) pair of the output appears, with zeros where no
-    cell exists, by adding one zero row per distinct group and period.
+    in one hash aggregate (partial aggregation before the shuffle). A source
+    row gets its group from the output row with the same ``_row_id``: one
+    join of rows with a narrow (_row_id, groups) projection, before the
+    unpivot. ``zeros`` adds the (group, period) pairs without any cell.
     """
     if periods is None:
         periods = [c for c in source.columns if c in output.columns and c != row_id]
@@ -168,7 +175,7 @@ def reconcile_periods(source: DataFrame, output: DataFrame, periods: list[str] |
     if not periods:
         return spark.createDataFrame([], "period string, input_total double, output_total double, "
                                          "difference double, match boolean")
-    none = F.lit(None).cast(EXACT)
+    none = F.lit(None).cast("double")
     gcols = [F.col(f"`{c}`").cast("string").alias(c) for c in g]
     raw = source_groups == "raw" and all(c in source.columns for c in g)
     if not g or raw:
@@ -176,39 +183,44 @@ def reconcile_periods(source: DataFrame, output: DataFrame, periods: list[str] |
     else:
         if row_id not in source.columns or row_id not in output.columns:
             raise ValueError(f"lineage reconciliation needs {row_id} on both sides")
-        sc = _cells(source, periods, [F.col(row_id).alias("_sid")])
-        og = output.select(F.col(row_id).alias("_oid"), *gcols)
-        s = sc.join(og, F.col("_sid") == F.col("_oid"), "left").select(
-            *g, "period", F.col("_v").alias("_in"), none.alias("_out"))
+        og = output.select(F.col(row_id).alias("_oid"), *[F.col(f"`{c}`").cast("string").alias(f"_g{i}") for i, c in enumerate(g)])
+        rows = source.select(F.col(row_id).alias("_sid"), *[F.col(ref(p)) for p in periods]).join(og, F.col("_sid") == F.col("_oid"), "left")
+        named = [F.col(f"_g{i}").alias(c) for i, c in enumerate(g)]
+        s = _cells(rows, periods, named).select(*g, "period", F.col("_v").alias("_in"), none.alias("_out"))
     o = _cells(output, periods, gcols).select(*g, "period", none.alias("_in"), F.col("_v").alias("_out"))
-    grid_src = output.select(*gcols).distinct() if g else spark.range(1).select()
-    plist = F.array(*[F.lit(p) for p in periods])
-    z = grid_src.select(*g, F.explode(plist).alias("period"), none.alias("_in"), none.alias("_out"))
-    zero = F.lit(0).cast(EXACT)
-    agg = s.unionByName(o).unionByName(z).groupBy(*g, "period").agg(
-        F.coalesce(F.sum("_in"), zero).alias("_in"), F.coalesce(F.sum("_out"), zero).alias("_out"))
-    diff = F.col("_out") - F.col("_in")
-    return agg.select(
-        *g, "period",
-        F.col("_in").cast("double").alias("input_total"),
-        F.col("_out").cast("double").alias("output_total"),
-        diff.cast("double").alias("difference"),
-        (F.abs(diff) <= F.lit(tolerance).cast(EXACT)).alias("match"),
-    )
-
-
-def output_measures(output: DataFrame, share: float = 0.7) -> list[str]:
-    """Output columns whose strict numeric share is above ``share`` (one
-    aggregate pass over all columns)."""
-    cols = output.columns
-    if not cols:
-        return []
+    both = s.unionByName(o)
+    if zeros:
+        grid = output.select(*gcols).distinct() if g else spark.range(1).select()
+        both = both.unionByName(grid.select(*g, F.explode(F.array(*[F.lit(p) for p in periods])).alias("period"),
+                                            none.alias("_in"), none.alias("_out")))
+    agg = both.groupBy(*g, "period").agg(*_sums("_in", "in"), *_sums("_out", "out"))
+    return agg.select(*g, "period", *_result(tolerance))
 
 
-    def plain(c):
-        text = F.btrim(F.col(f"`{c}`").cast("string"), F.lit(WS_CHARS))
-        return F.when(text.rlike(PANDAS_NUMBER), text.try_cast("double"))
+def slice_candidates(source: DataFrame, output: DataFrame, row_id: str = ROW_ID) -> list[str]:
+    """Columns a reconciliation may be sliced by: the output's dimensions, then other columns both sides have."""
+    dims = [c for c in DIM_COLUMNS.values() if c in output.columns]
+    return dims + [c for c in source.columns if c in output.columns and c not in dims and c != row_id]
 
-    row = output.agg(F.count(F.lit(1)).alias("_n"), *[F.count(plain(c)).alias(f"_{i}") for i, c in enumerate(cols)]).first()
-    n = row["_n"] or 0
-    return [c for i, c in enumerate(cols) if n and row[f"_{i}"] / n > share]
+
+def measure_shares(output: DataFrame) -> DataFrame:
+    """column_name, parsed, is_measure for every column: cells that are plain numbers (no commas), and whether their share
+    of all rows is above ``OUTPUT_NUMERIC_SHARE``. Cells are unpivoted, empty ones dropped, each read once."""
+    cols = output.columns
+    args = ", ".join(["-1, '0'"] + [f"{i}, CAST({ref(c)} AS STRING)" for i, c in enumerate(cols)])
+    long = output.selectExpr(f"stack({len(cols) + 1}, {args}) AS (i, v)").where("v IS NOT NULL")
+    text = F.btrim("v", F.lit(WS_CHARS))
+    groups = long.select("i", F.when(text.rlike(PANDAS_NUMBER), text.try_cast("double")).alias("num")).groupBy("i").agg(
+        F.count("num").alias("n"))
+    found = groups.agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("found"))  # one entry a column
+    listed = found.select(F.posexplode(F.array(*[F.lit(c) for c in cols])).alias("i", "column_name"),
+                          F.coalesce(F.try_element_at("found", F.lit(-1)), F.lit(0)).alias("rows"), "found")
+    parsed = F.coalesce(F.try_element_at("found", F.col("i")), F.lit(0))
+    return listed.select("column_name", parsed.alias("parsed"),
+                         F.coalesce(F.try_divide(parsed, "rows") > OUTPUT_NUMERIC_SHARE, F.lit(False)).alias("is_measure"))
+
+
+def output_measures(output: DataFrame) -> list[str]:
+    """Names of the output's measure columns."""
+    names = {r["column_name"] for r in measure_shares(output).where("is_measure").collect()}
+    return [c for c in output.columns if c in names]

@@ -112,13 +112,17 @@ SELECT ORDER_NO, LINE_NO, printf('REC-%07d', _row_id) AS record_id FROM shipment
 
 
 def quality_report() -> str:
+    return f"WITH {output_cte()}\n{_report('output')}"
+
+
+def _report(table: str) -> str:
     checks = []
     for d in REQUIRED_DIMS:
         checks.append(f"SELECT record_id, 'Error' AS severity, {q(d)} AS field, 'Required value missing' AS issue, "
-                      f"{q(f'Provide or approve {d}.')} AS recommendation FROM output WHERE {is_blank(DIM_COLUMNS[d])}")
+                      f"{q(f'Provide or approve {d}.')} AS recommendation FROM {table} WHERE {is_blank(DIM_COLUMNS[d])}")
     checks.append("SELECT record_id, 'Warning', 'Region', 'Region unavailable', 'Derive from City/State or review.' "
-                  f"FROM output WHERE {is_blank('region')}")
-    return f"WITH {output_cte()}\n" + "\nUNION ALL\n".join(checks)
+                  f"FROM {table} WHERE {is_blank('region')}")
+    return "\nUNION ALL\n".join(checks)
 
 
 def status_counts() -> str:
@@ -189,34 +193,33 @@ def _lcs(a: str, b: str) -> str:
 
 
 def classify_headers() -> str:
-    alias_rows = ", ".join(f"({q(f)}, {q(a)})" for f, al in ALIASES.items() for a in al)
-    time_re = "|".join(f"(?:{p})" for p in TIME_PATTERNS)
     tables = ", ".join(q(t) for t in TABLES)
     ship = ", ".join(f"('shipments', {i + 1}, {q(h)})" for i, h in enumerate(HEADERS))
-    ratio = f"(2.0 * {_lcs('c.n', 'a.alias')} / (length(c.n) + length(a.alias)))"
-    return f"""WITH cat AS (
-  SELECT DISTINCT table_name AS dataset, CAST(ordinal_position AS INTEGER) AS col_ordinal, column_name AS source_column
+    return _classified(f"""SELECT DISTINCT table_name AS dataset, CAST(ordinal_position AS INTEGER) AS col_ordinal, column_name AS source_column
   FROM information_schema.columns WHERE table_name IN ({tables})
-  UNION ALL SELECT * FROM (VALUES {ship}) v(dataset, col_ordinal, source_column)
-),
-c AS (
+  UNION ALL SELECT * FROM (VALUES {ship}) v(dataset, col_ordinal, source_column)""")
+
+
+def _classified(catalogue: str) -> str:
+    alias_rows = ", ".join(f"({q(f)}, {q(a)})" for f, al in ALIASES.items() for a in al)
+    time_re = "|".join(f"(?:{p})" for p in TIME_PATTERNS)
+    ratio = f"(2.0 * {_lcs('c.n', 'a.alias')} / (length(c.n) + length(a.alias)))"
+    return f"""WITH cat AS ({catalogue}),
+h AS (
   SELECT *, trim(regexp_replace(regexp_replace(lower(trim(source_column)), '[_/\\\\|\\-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS n
   FROM cat
 ),
+c AS (SELECT DISTINCT n FROM h),
 a AS (SELECT * FROM (VALUES {alias_rows}) v(field, alias)),
 s AS (
-  SELECT c.dataset, c.col_ordinal, c.source_column, c.n, a.field,
+  SELECT c.n, a.field,
     CASE WHEN c.n = a.alias THEN 1.0
          WHEN list_has_all(string_split(c.n, ' '), string_split(a.alias, ' ')) THEN 0.95
          WHEN {ratio} >= 0.70 THEN {ratio}
          ELSE 0.0 END AS score
   FROM c, a
 ),
-b AS (
-  SELECT dataset, col_ordinal, source_column, n, max(score) AS score,
-         arg_max(field, struct_pack(s := score, f := field)) AS field
-  FROM s GROUP BY dataset, col_ordinal, source_column, n
-)
+b AS (SELECT n, max(score) AS score, arg_max(field, struct_pack(s := score, f := field)) AS field FROM s GROUP BY n)
 SELECT dataset, col_ordinal, source_column,
   CASE WHEN regexp_matches(n, {q(time_re)}, 'i') THEN 'Time Period'
        WHEN score < 0.45 THEN 'Ignore' ELSE field END AS target_field,
@@ -224,7 +227,7 @@ SELECT dataset, col_ordinal, source_column,
   CASE WHEN regexp_matches(n, {q(time_re)}, 'i') THEN 'Time rule'
        WHEN score < 0.45 THEN 'AI review' WHEN score >= 0.85 THEN 'Rule/Dictionary' ELSE 'AI candidate' END AS method,
   (regexp_matches(n, {q(time_re)}, 'i') OR score >= 0.9) AS user_confirmed
-FROM b"""
+FROM h JOIN b USING (n)"""
 
 
 ORACLE = {
@@ -422,9 +425,12 @@ FROM ranked WHERE sample_rank <= 4"""
 
 
 def overlay_recommendations() -> str:
+    return _overlaid(classify_headers())
+
+
+def _overlaid(base: str) -> str:
     from wideprep.plans.queries import RECOMMENDATION_RULES
 
-    base = classify_headers()
     fld = "CASE " + " ".join(f"WHEN contains(lower(source_column), {q(w)}) THEN {q(f)}"
                              for w, f, _, _ in RECOMMENDATION_RULES) + " END"
     conf = "CASE " + " ".join(f"WHEN contains(lower(source_column), {q(w)}) THEN {q(c)}"
@@ -569,3 +575,148 @@ def scan_rejects() -> str:
 
 
 ORACLE.update({"scan_messy_files": scan_messy_files, "scan_rejects": scan_rejects})
+
+
+# --- many uploads -------------------------------------------------------------------------------
+def _uploads() -> str:
+    from wideprep.plans.queries import UPLOAD_HEADERS
+
+    values = ", ".join(f"({i}, {q(h)})" for i, h in enumerate(UPLOAD_HEADERS))
+    return f"""SELECT 'upload_' || c_custkey AS dataset, CAST(i + 1 AS INTEGER) AS col_ordinal,
+       CASE (c_custkey + i) % 5 WHEN 0 THEN upper(h) WHEN 1 THEN lower(replace(h, ' ', '_'))
+            WHEN 2 THEN h || ' ' || (c_custkey % 10) WHEN 3 THEN replace(h, ' ', '-') ELSE h END AS source_column
+  FROM customer, (VALUES {values}) v(i, h)"""
+
+
+def classify_uploads() -> str:
+    return _classified(_uploads())
+
+
+def overlay_uploads() -> str:
+    return _overlaid(_classified(_uploads()))
+
+
+def override_uploads() -> str:
+    edit = "(col_ordinal = 10 AND CAST(substr(dataset, 8) AS BIGINT) % 3 = 0)"
+    return f"""WITH m AS ({_classified(_uploads())})
+SELECT dataset, col_ordinal, source_column, CASE WHEN {edit} THEN 'SKU' ELSE target_field END AS target_field, confidence, method,
+       {edit} OR user_confirmed AS user_confirmed
+FROM m"""
+
+
+def overlaid_sources() -> str:
+    return f"""WITH {output_cte()}
+SELECT record_id, confidence,
+       CASE WHEN recommendation_source = 'Rules and Standards' THEN 'Model recommendation' ELSE recommendation_source END AS recommendation_source
+FROM output"""
+
+
+# --- reconciliation that finds differences --------------------------------------------------------
+_PLAIN_CELL = "(CASE WHEN CAST(s.ORDER_NO AS BIGINT) % 7 = 0 THEN NULL ELSE s.JAN_1998 END)"
+
+
+def _difference_cells() -> str:
+    """j: one row a record with what either number reader makes of its JAN_1998 cell."""
+    return f"""{output_cte()},
+j AS (SELECT o.channel, o.region, {_exact(num_comma(_PLAIN_CELL))} AS vin, {_exact(num_comma('CAST(o.JAN_1998 AS VARCHAR)'))} AS vout
+  FROM shipments s FULL OUTER JOIN output o ON s._row_id = o._row_id)"""
+
+
+def reconcile_differences() -> str:
+    return f"""WITH {_difference_cells()}
+SELECT 'JAN_1998' AS source_measure, 'JAN_1998' AS output_measure, CAST(sum(vin) AS DOUBLE) AS input_total,
+       CAST(sum(vout) AS DOUBLE) AS output_total, CAST(sum(vout) - sum(vin) AS DOUBLE) AS difference, 0.01::DOUBLE AS tolerance,
+       abs(sum(vout) - sum(vin)) <= 0.01 AS match
+FROM j
+UNION ALL SELECT 'NO_MEASURE', 'JAN_1998', 0, 0, 0, 0.01, false"""
+
+
+def reconcile_slice_differences() -> str:
+    return f"""WITH {_difference_cells()}
+SELECT channel, region, CAST(sum(vin) AS DOUBLE) AS input_total, CAST(sum(vout) AS DOUBLE) AS output_total,
+       CAST(sum(vout) - sum(vin) AS DOUBLE) AS difference, abs(sum(vout) - sum(vin)) <= 0.01 AS match
+FROM j GROUP BY channel, region"""
+
+
+def _output_columns() -> list[str]:
+    return ["record_id", *[DIM_COLUMNS[d] for d in DIMS], *PERIOD_COLUMNS, "confidence", "status", "recommendation_source",
+            "analyst_comment"]
+
+
+def output_measures() -> str:
+    plain = "'\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*'"
+    rows = " UNION ALL ".join(
+        f"SELECT {q(c)} AS column_name, coalesce(count_if(regexp_full_match(CAST({c} AS VARCHAR), {plain})), 0) AS parsed, count(*) AS n FROM output"
+        for c in _output_columns())
+    return f"""WITH {output_cte()}
+SELECT column_name, CAST(parsed AS BIGINT) AS parsed, n > 0 AND parsed / n > 0.7 AS is_measure FROM ({rows})"""
+
+
+# --- review of stored versions --------------------------------------------------------------------
+def locked_column_changes() -> str:
+    return f"""WITH {output_cte()}
+SELECT record_id, 'confidence' AS field, CAST(confidence AS VARCHAR) AS original_value,
+       CAST(confidence + 1 AS VARCHAR) AS final_value
+FROM output WHERE status = 'Incomplete'"""
+
+
+def rejected_edits() -> str:
+    return f"""WITH {output_cte()}
+SELECT record_id, field, value FROM output,
+  (VALUES ('status', 'Done'), ('confidence', '100'), ('JAN_1998', 'abc')) v(field, value)
+WHERE status = 'Incomplete'"""
+
+
+def quality_after_edits() -> str:
+    return f"WITH {output_cte()},\n{_edits_cte()}\n{_report('edited')}"
+
+
+# --- delivery read back -----------------------------------------------------------------------------
+def quality_preview() -> str:
+    order = ", ".join(f"WHEN {q(d)} THEN {i}" for i, d in enumerate(REQUIRED_DIMS)).replace(", ", " ")
+    return f"""WITH {output_cte()}, r AS ({_report('output')})
+SELECT CAST(row_number() OVER (ORDER BY record_id, severity, CASE field {order} ELSE 99 END) AS INTEGER) AS place, record_id, severity, field
+FROM r QUALIFY place <= 100"""
+
+
+def delivered_csv() -> str:
+    from wideprep.sources.fixtures import DIM_HEADERS
+
+    def cell(c: str) -> str:
+        return (f"nullif(CASE WHEN regexp_matches({c}, '^[=+\\-@\\t\\r]') AND NOT regexp_matches(replace({c}, ',', ''), "
+                f"{q(_PY_FLOAT)}) THEN chr(39) || {c} ELSE {c} END, '') AS {c}")
+
+    return f"WITH shipments AS ({shipments_cte()})\nSELECT {', '.join(map(cell, DIM_HEADERS))} FROM shipments"
+
+
+def delivered_bundle() -> str:
+    return f"""SELECT 'data_quality_report' AS member, field, count(*) AS rows FROM ({quality_report()}) GROUP BY field
+UNION ALL SELECT 'user_change_audit', field, count(*) FROM ({audit_log()}) GROUP BY field
+UNION ALL SELECT 'run_manifest', 'shipments', count(*) FROM ({record_ids()})"""
+
+
+def profile_dense() -> str:
+    return """WITH t AS (
+  SELECT CAST(c_custkey - CASE WHEN c_custkey % 20 = 1 THEN 1 ELSE 0 END AS VARCHAR) AS account,
+         CASE WHEN c_custkey % 20 <= 1 THEN 'n/a' ELSE c_mktsegment END AS segment,
+         CASE WHEN c_custkey % 20 <= 1 THEN '0' ELSE CAST(c_acctbal AS VARCHAR) END AS balance, 'x' AS kind
+  FROM customer
+),
+f AS (
+  SELECT count(*) AS rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)) AS dups,
+         count_if(segment = 'n/a') AS missing, count_if(CAST(balance AS DOUBLE) < 0) AS negatives,
+         count_if(regexp_full_match(account, '\\d{4,5}')) * 1.0 / count(*) AS serials
+  FROM t
+)
+SELECT rows, 4 AS columns, dups AS exact_duplicates, missing AS missing_cells, 2 AS numeric_columns, negatives AS negative_values,
+       CASE WHEN serials >= 0.7 THEN 1 ELSE 0 END AS date_columns,
+       greatest(20, least(100, CAST(trunc(100 - (missing * 100.0 / (rows * 4) * 2 + dups * 100.0 / rows * 1.5
+         + CASE WHEN negatives > 0 THEN 5 ELSE 0 END)) AS INTEGER))) AS health_score
+FROM f"""
+
+
+ORACLE.update({f.__name__: f for f in (
+    classify_uploads, overlay_uploads, override_uploads, overlaid_sources, reconcile_differences, reconcile_slice_differences,
+    output_measures, locked_column_changes, rejected_edits, quality_after_edits, quality_preview, delivered_csv, delivered_bundle,
+    profile_dense)})
+ORACLE.update({"version_changes": audit_log, "appended_log": audit_log})

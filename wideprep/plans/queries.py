@@ -78,7 +78,7 @@ def reconcile_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconcile_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All period columns at once, by region."""
     src, out = P.source(spark, sf_dir), P.output_stored(spark, sf_dir)
-    return R.reconcile_periods(src, out, P.period_columns(spark, sf_dir), groups=["region"])
+    return R.reconcile_periods(src, out, P.period_columns(spark, sf_dir), groups=["region"], zeros=True)
 
 
 def classify_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,3 +434,194 @@ REGISTRY.update({
     "scan_union_lineage": scan_union_lineage,
     "largest_table": largest_table,
 })
+
+
+# --- classification of many uploads ---------------------------------------------------------
+UPLOAD_HEADERS = ("Country Name", "Sales Zone", "Trade Type", "Ship To City", "Prod Group", "Brand Desc", "Item Code",
+                  "Measure", "Invoice Date", "Unit Price", "Jan 2026", "Contact Name")
+
+
+def uploads_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of one upload a ``customer`` row, spelled in five ways by its key."""
+    from wideprep.sources.tables import read_table
+
+    headers = F.posexplode(F.array(*[F.lit(h) for h in UPLOAD_HEADERS])).alias("i", "h")
+    rows = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), headers)
+    style, h = (F.col("k") + F.col("i")) % 5, F.col("h")
+    spelled = (F.when(style == 0, F.upper(h)).when(style == 1, F.lower(F.replace(h, F.lit(" "), F.lit("_"))))
+               .when(style == 2, F.concat(h, F.lit(" "), (F.col("k") % 10).cast("string")))
+               .when(style == 3, F.replace(h, F.lit(" "), F.lit("-"))).otherwise(h))
+    return rows.select(F.concat(F.lit("upload_"), F.col("k").cast("string")).alias("dataset"),
+                       (F.col("i") + 1).cast("int").alias("col_ordinal"), spelled.alias("source_column"))
+
+
+def classify_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1-C4 over the headers of one upload a customer."""
+    from wideprep.operators.classify import classify_columns
+
+    return classify_columns(uploads_catalogue(spark, sf_dir))
+
+
+def overlay_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reply an upload, laid over its mapping."""
+    from wideprep.operators.classify import overlay_recommendations as overlay
+    from wideprep.operators.classify import parse_recommendations
+
+    mapping = classify_uploads(spark, sf_dir)
+    return overlay(mapping, parse_recommendations(recommendation_payload(mapping), "payload", keep=("dataset",)))
+
+
+def override_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analyst takes the tenth column of every third upload for its SKU."""
+    from wideprep.operators.classify import override_mapping
+
+    mapping = classify_uploads(spark, sf_dir)
+    third = F.regexp_extract("dataset", "[0-9]+$", 0).cast("long") % 3 == 0
+    edits = uploads_catalogue(spark, sf_dir).filter(third & (F.col("col_ordinal") == 10)).select(
+        "dataset", "source_column", F.lit("SKU").alias("target_field"), F.lit(True).alias("user_confirmed"))
+    return override_mapping(mapping, edits)
+
+
+def overlaid_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11: recommendation sources of the output when the mapping carries a recommendation."""
+    from wideprep.constants import STANDARDS
+    from wideprep.operators.classify import overlay_recommendations as overlay
+    from wideprep.operators.classify import parse_recommendations
+    from wideprep.operators.standardize import standardize
+
+    mapping = P.mapping(spark, sf_dir)
+    mapping = overlay(mapping, parse_recommendations(recommendation_payload(mapping), "payload", keep=("dataset",)))
+    out = standardize(P.source(spark, sf_dir), mapping, STANDARDS, dataset=P.DATASET)
+    return out.select("record_id", "confidence", "recommendation_source")
+
+
+# --- reconciliation that finds differences ----------------------------------------------------
+def _marked_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shipments`` with a currency sign on every 7th order's cell, which the two number readers read differently."""
+    marked = F.when(F.col("ORDER_NO").cast("long") % 7 == 0, F.concat(F.lit("$"), F.col("JAN_1998"))).otherwise(F.col("JAN_1998"))
+    return P.source(spark, sf_dir).withColumn("JAN_1998", marked)
+
+
+def reconcile_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals that differ, and a measure that is not there."""
+    src, out = _marked_source(spark, sf_dir), P.output_stored(spark, sf_dir)
+    return R.reconcile_total(src, out, "JAN_1998", "JAN_1998").unionByName(R.reconcile_total(src, out, "NO_MEASURE", "JAN_1998"))
+
+
+def reconcile_slice_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices that differ; a group that is no output column is left out."""
+    return R.reconcile_groups(_marked_source(spark, sf_dir), P.output_stored(spark, sf_dir), "JAN_1998", "JAN_1998",
+                              ["channel", "no_group", "region", "channel"])
+
+
+def output_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P11 over the whole standardised output."""
+    return R.measure_shares(P.output_stored(spark, sf_dir).drop(ROW_ID))
+
+
+# --- review of stored versions -----------------------------------------------------------------
+def _edited_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wideprep.session import new_table_path
+
+    path = new_table_path(spark, "edited")
+    apply_edits(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: the cells in which two stored versions differ."""
+    from wideprep.operators.audit import change_log
+
+    return change_log(P.output_stored(spark, sf_dir).drop(ROW_ID), _edited_version(spark, sf_dir))
+
+
+def locked_column_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: a version in which somebody changed the confidence of incomplete records."""
+    from wideprep.operators.audit import locked_changes
+
+    out = P.output_stored(spark, sf_dir).drop(ROW_ID)
+    touched = F.when(F.col("status") == "Incomplete", F.col("confidence") + 1).otherwise(F.col("confidence"))
+    return locked_changes(out, out.withColumn("confidence", touched))
+
+
+def rejected_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2-A4: of the analyst's edits and three misfits a record, those that are not taken."""
+    from wideprep.operators.audit import rejected_edits as run
+
+    out = P.output_stored(spark, sf_dir).drop(ROW_ID)
+    misfits = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(v).alias("value")) for f, v in (
+        ("status", "Done"), ("confidence", "100"), ("JAN_1998", "abc"))])
+    wrong = out.filter(F.col("status") == "Incomplete").select("record_id", F.explode(misfits).alias("x")).select("record_id", "x.*")
+    return run(out, analyst_edits(out).unionByName(wrong))
+
+
+def quality_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, Q1-Q3: the exception report of the edited output."""
+    return Q.quality_report(apply_edits(spark, sf_dir))
+
+
+def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: the log of two saves, read back from its folder."""
+    from wideprep.operators.audit import append_log
+    from wideprep.session import new_table_path
+
+    path = new_table_path(spark, "audit-trail")
+    log = audit_log(spark, sf_dir)
+    append_log(log.filter("field = 'region'"), path)
+    append_log(log.filter("field <> 'region'"), path)
+    return spark.read.parquet(path)
+
+
+# --- delivery read back ---------------------------------------------------------------------------
+def quality_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 rows of the ordered report with their place (a top-k)."""
+    from pyspark.sql import Window
+
+    report = Q.quality_report(P.output_stored(spark, sf_dir), keep_order_columns=True)
+    order = [ROW_ID, "severity", "field_ordinal"]
+    first = report.orderBy(*order).limit(100)
+    return first.select(F.row_number().over(Window.orderBy(*order)).alias("place"), "record_id", "severity", "field")
+
+
+def delivered_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K5: the raw dimension columns written as guarded CSV and read back."""
+    from wideprep.operators.deliver import read_csv_member, write_csv
+    from wideprep.session import new_table_path
+    from wideprep.sources.fixtures import DIM_HEADERS
+
+    path = new_table_path(spark, "csv")
+    write_csv(P.source(spark, sf_dir).select(*DIM_HEADERS), path)
+    return read_csv_member(spark, path)
+
+
+def delivered_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: a bundle of report, log and manifest written, and the figures of its members read back."""
+    from wideprep.operators.deliver import read_csv_member, write_bundle
+    from wideprep.session import new_table_path
+
+    path = new_table_path(spark, "bundle")
+    names = write_bundle(path, {"data_quality_report": quality_report(spark, sf_dir), "user_change_audit": audit_log(spark, sf_dir),
+                                "duplicate_report": None}, {"run_manifest": delivery_manifest(spark, sf_dir)})
+    tables = [read_csv_member(spark, f"{path}/{n}").groupBy("field").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(n).alias("member"), "field", "rows") for n in names if n != "run_manifest"]
+    manifest = spark.read.json(f"{path}/run_manifest").select(F.lit("run_manifest").alias("member"), F.col("source").alias("field"), "rows")
+    return tables[0].unionByName(tables[1]).unionByName(manifest)
+
+
+def profile_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4-P9 over ``customer`` as text, with gaps: a dense table with negatives, repeated rows and a score inside its range."""
+    from wideprep.operators.profile import profile_table as run
+    from wideprep.sources.tables import read_table
+
+    k = F.col("c_custkey")
+    segment = F.when(k % 20 <= 1, "n/a").otherwise(F.col("c_mktsegment")).alias("segment")
+    rows = read_table(spark, sf_dir, "customer").select(
+        (k - F.when(k % 20 == 1, 1).otherwise(0)).cast("string").alias("account"), segment,
+        F.when(k % 20 <= 1, "0").otherwise(F.col("c_acctbal").cast("string")).alias("balance"), F.lit("x").alias("kind"))
+    return run(rows)
+
+
+REGISTRY.update({f.__name__: f for f in (
+    classify_uploads, overlay_uploads, override_uploads, overlaid_sources, reconcile_differences, reconcile_slice_differences,
+    output_measures, version_changes, locked_column_changes, rejected_edits, quality_after_edits, appended_log, quality_preview,
+    delivered_csv, delivered_bundle, profile_dense)})
