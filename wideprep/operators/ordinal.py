@@ -12,8 +12,9 @@ ordinal. Building it scales without a single-partition window:
    get column pruning and filter pushdown, and a lost executor re-reads
    the files instead of re-sorting;
 4. per-partition row counts (one row per partition, a bounded table) are
-   turned into start offsets with a window over that tiny table and
-   broadcast back: ``_row_id = offset + position + 1``.
+   turned into start offsets with a window over that tiny table, stored
+   beside the rows once, and broadcast back: ``_row_id = offset +
+   position + 1``. A read of the rows never counts them again.
 
 The order key must be unique, otherwise equal keys may come back in any
 order; ``with_ordinal`` can check that (one extra aggregate).
@@ -50,10 +51,15 @@ def store_sorted(df: DataFrame, order_cols: list, name: str = "ordinal", drop=()
 
 
 def attach_ordinal(stored: DataFrame, name: str = ROW_ID) -> DataFrame:
-    """Turn the stored ``_mid`` into a dense 1-based ordinal."""
+    """Turn the stored ``_mid`` into a dense 1-based ordinal. One scan of
+    ``_mid`` alone finds the offsets, which are stored."""
+    spark = stored.sparkSession
     counts = stored.groupBy(_partition_of(F.col(_MID)).alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    path = new_table_path(spark, "offsets")
+    offsets.coalesce(1).write.parquet(path)  # one row a partition
+    offsets = spark.read.parquet(path)
     joined = stored.join(F.broadcast(offsets), _partition_of(F.col(_MID)) == F.col("_pid"))
     rid = (F.col("_off") + _position_in(F.col(_MID)) + 1).alias(name)
     keep = [c for c in stored.columns if c != _MID]

@@ -2,15 +2,15 @@
 
 One projection over the source: the mapping (bounded by the number of
 columns) is read on the driver to decide which source column feeds which
-dimension; dictionary lookups are literal maps inside the projection, so no
-join and no shuffle happen. A dictionary given as a DataFrame is read into
-that map after a row-count check (up to ``MAX_LITERAL_DICTIONARY`` rows;
-larger ones are refused rather than gathered on the driver).
+dimension. A dictionary given as a nested dict becomes literal maps inside
+the projection, so no join and no shuffle happen. One given as a DataFrame
+(dimension, alias, canonical) may have any size: it is joined, salted, and
+Spark broadcasts it only where its size allows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wideprep.constants import (
@@ -33,13 +33,12 @@ from pyspark.sql.types import NumericType
 
 from wideprep.functions.numbers import num_filter_sql, ref
 from wideprep.functions.text import clean_text, py_title
+from wideprep.operators.cleanup import SALTS
 from wideprep.operators.ordinal import ROW_ID
 
 DICTIONARY_DIMS = (("Country", "country"), ("Region", "region"), ("Channel", "channel"))
 TITLE_DIMS = ("City/State", "Category", "Brand", "Fact")
 OUTPUT_TAIL = ("confidence", "status", "recommendation_source", "analyst_comment")
-# dictionaries up to this many entries become literal maps in the projection
-MAX_LITERAL_DICTIONARY = 50_000
 
 
 def resolve_mapping(mapping: DataFrame, dataset: str | None = None) -> tuple[dict[str, str], list[str], bool]:
@@ -81,19 +80,39 @@ def standardize_with(c: Column, dictionary: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(m, F.lower(c)), fallback)
 
 
-def standards_to_dict(standards) -> dict[str, dict[str, str]]:
-    """Accept the nested dict, or a DataFrame (dimension, alias, canonical)
-    whose size is checked before it is read on the driver."""
-    if standards is None:
-        return {}
-    if isinstance(standards, dict):
-        return standards
-    n = standards.count()
-    if n > MAX_LITERAL_DICTIONARY:
-        raise ValueError(f"standards dictionary has {n} rows; use standardize_joined for large dictionaries")
-    out: dict[str, dict[str, str]] = {}
-    for r in standards.collect():
-        out.setdefault(r["dimension"], {})[str(r["alias"]).lower()] = r["canonical"]
+def read_standards(spark: SparkSession, path: str) -> DataFrame:
+    """(dimension, alias, canonical) of text files that hold one block a dimension: its name and a colon, then indented lines
+    ``alias: canonical``, either side in quotes or not. Comment lines and other lines give no rows."""
+    def pairs(text: str, pattern: str):
+        found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2)]
+        return F.explode(F.arrays_zip(found[0].alias("a"), found[1].alias("b")))
+
+    def plain(c: str) -> Column:
+        return F.regexp_replace(F.trim(c), "^(['\"])(.*)\\1$", "$2")
+
+    blocks = spark.read.text(path, wholetext=True).select(
+        F.regexp_replace("value", "\r\n?", "\n").alias("value")).select(
+        pairs("value", r"(?m)^([^\s#:][^:\n]*):[ \t]*\n((?:[ \t]+[^\n]*(?:\n|$)|[ \t]*\n)*)").alias("x"))
+    entries = blocks.select(plain("x.a").alias("dimension"), F.col("x.b").alias("body")).select(
+        "dimension", pairs("body", r"(?m)^[ \t]+([^\s#][^\n]*?)[ \t]*:[ \t]+([^\n]*?)[ \t]*$").alias("x"))
+    return entries.select("dimension", plain("x.a").alias("alias"), plain("x.b").alias("canonical"))
+
+
+def _looked_up(cleaned: DataFrame, standards: DataFrame, spread: Column, salts: int = SALTS) -> DataFrame:
+    """``cleaned`` plus ``_s{i}``: the canonical spelling of dictionary dimension i, NULL if it has none.
+
+    Of several spellings of one alias the smallest counts. A value may fill
+    a third of the rows, so rows are dealt over ``salts`` and the dictionary,
+    one row an alias, is repeated for each.
+    """
+    out = cleaned.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    for dim, key in DICTIONARY_DIMS:
+        i = DIMS.index(dim)
+        entries = standards.where((F.col("dimension") == key) & F.col("alias").isNotNull()).groupBy(
+            F.lower("alias").alias("_alias")).agg(F.min("canonical").alias(f"_s{i}"))
+        entries = entries.select("_alias", f"_s{i}", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_at"))
+        out = out.join(entries, (F.lower(F.col(f"_c{i}")) == F.col("_alias")) & (F.col("_salt") == F.col("_at")), "left").drop(
+            "_alias", "_at")
     return out
 
 
@@ -101,9 +120,10 @@ def standardize(source: DataFrame, mapping: DataFrame, standards=STANDARDS, data
                 row_id: str = ROW_ID, keep_row_id: bool = True) -> DataFrame:
     """Canonical output: record_id, 8 dimensions, period columns (double),
     confidence, status, recommendation_source, analyst_comment (+ ``_row_id``).
+    ``standards``: nested dict, DataFrame (dimension, alias, canonical) or None.
     """
     lookup, times, has_model = resolve_mapping(mapping, dataset)
-    std = standards_to_dict(standards)
+    joined = isinstance(standards, DataFrame)
     cols = set(source.columns)
 
     def src(dim: str) -> Column:
@@ -119,10 +139,15 @@ def standardize(source: DataFrame, mapping: DataFrame, standards=STANDARDS, data
         *[_period_value(source, c).alias(c) for c in period_names],
     )
     c = {d: F.col(f"_c{i}") for i, d in enumerate(DIMS)}
+    if joined:
+        cleaned = _looked_up(cleaned, standards, rid[0] if rid else F.struct(*c.values()))
     # stage 2: dictionary lookups, title case, SKU form (each reads a column)
     dims: dict[str, Column] = {}
     for dim, key in DICTIONARY_DIMS:
-        dims[dim] = standardize_with(c[dim], std.get(key, {}))
+        if joined:
+            dims[dim] = F.coalesce(F.col(f"_s{DIMS.index(dim)}"), py_title(c[dim]))
+        else:
+            dims[dim] = standardize_with(c[dim], (standards or {}).get(key, {}))
     for dim in TITLE_DIMS:
         dims[dim] = py_title(c[dim])
     dims["SKU"] = F.upper(F.regexp_replace(c["SKU"], r"[^A-Za-z0-9_\-]", ""))

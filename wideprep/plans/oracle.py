@@ -611,6 +611,27 @@ SELECT record_id, confidence,
 FROM output"""
 
 
+def dictionary_joined() -> str:
+    country, region, channel = (clean_text(SHIPMENT_MAPPING[d]) for d in ("Country", "Region", "Channel"))
+    return f"""WITH shipments AS ({shipments_cte()}),
+names AS (SELECT lower(n_name) AS alias, min(n_name || ' #' || n_nationkey) AS said FROM nation GROUP BY 1),
+zones AS (SELECT lower(r_name) AS alias, min(r_name[1:3]) AS said FROM region GROUP BY 1),
+segments AS (SELECT lower(c_mktsegment) AS alias, min('seg ' || c_mktsegment) AS said FROM customer GROUP BY 1),
+dims AS (SELECT _row_id, {country} AS a, {region} AS b, {channel} AS c, {clean_text(SHIPMENT_MAPPING["City/State"])} AS d,
+  {clean_text(SHIPMENT_MAPPING["Category"])} AS e, {clean_text(SHIPMENT_MAPPING["Brand"])} AS f,
+  {sku_text(SHIPMENT_MAPPING["SKU"])} AS g, {clean_text(SHIPMENT_MAPPING["Fact"])} AS h FROM shipments),
+said AS (SELECT dims.*, coalesce(names.said, {py_title("a")}) AS country, coalesce(zones.said, {py_title("b")}) AS region,
+  coalesce(segments.said, {py_title("c")}) AS channel
+  FROM dims LEFT JOIN names ON lower(a) = names.alias LEFT JOIN zones ON lower(b) = zones.alias
+  LEFT JOIN segments ON lower(c) = segments.alias),
+scored AS (SELECT *, CAST(round_even(100.0 * len(list_filter([country, region, channel, d, e, f, g, h], lambda x: x <> '')) / 8, 0)
+  AS INTEGER) AS confidence FROM said)
+SELECT printf('REC-%07d', _row_id) AS record_id, country, region, channel, confidence,
+  CASE WHEN {" OR ".join(f"{x} = ''" for x in ("country", "channel", "e", "f", "g", "h"))} THEN 'Incomplete' WHEN confidence >= 90 THEN 'Approved'
+       ELSE 'Needs Review' END AS status
+FROM scored"""
+
+
 # --- reconciliation that finds differences --------------------------------------------------------
 _PLAIN_CELL = "(CASE WHEN CAST(s.ORDER_NO AS BIGINT) % 7 = 0 THEN NULL ELSE s.JAN_1998 END)"
 
@@ -716,7 +737,7 @@ FROM f"""
 
 
 ORACLE.update({f.__name__: f for f in (
-    classify_uploads, overlay_uploads, override_uploads, overlaid_sources, reconcile_differences, reconcile_slice_differences,
+    classify_uploads, overlay_uploads, override_uploads, overlaid_sources, dictionary_joined, reconcile_differences, reconcile_slice_differences,
     output_measures, locked_column_changes, rejected_edits, quality_after_edits, quality_preview, delivered_csv, delivered_bundle,
     profile_dense)})
 ORACLE.update({"version_changes": audit_log, "appended_log": audit_log})

@@ -495,6 +495,27 @@ def overlaid_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", "confidence", "recommendation_source")
 
 
+def table_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary from rows: every country by its name, regions in short, and a customer segment for the channel."""
+    from wideprep.sources.tables import read_table
+
+    def entries(dimension, table, alias, canonical):
+        return read_table(spark, sf_dir, table).select(F.lit(dimension).alias("dimension"), alias.alias("alias"), canonical.alias("canonical"))
+
+    nation = entries("country", "nation", F.col("n_name"), F.concat("n_name", F.lit(" #"), F.col("n_nationkey").cast("string")))
+    region = entries("region", "region", F.col("r_name"), F.substring("r_name", 1, 3))
+    segment = entries("channel", "customer", F.col("c_mktsegment"), F.concat(F.lit("seg "), F.col("c_mktsegment")))
+    return nation.unionAll(region).unionAll(segment)
+
+
+def dictionary_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standardised with a dictionary that is a table, joined whatever its size."""
+    from wideprep.operators.standardize import standardize
+
+    out = standardize(P.source(spark, sf_dir), P.mapping(spark, sf_dir), table_standards(spark, sf_dir), dataset=P.DATASET)
+    return out.select("record_id", "country", "region", "channel", "confidence", "status")
+
+
 # --- reconciliation that finds differences ----------------------------------------------------
 def _marked_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``shipments`` with a currency sign on every 7th order's cell, which the two number readers read differently."""
@@ -622,6 +643,6 @@ def profile_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY.update({f.__name__: f for f in (
-    classify_uploads, overlay_uploads, override_uploads, overlaid_sources, reconcile_differences, reconcile_slice_differences,
+    classify_uploads, overlay_uploads, override_uploads, overlaid_sources, dictionary_joined, reconcile_differences, reconcile_slice_differences,
     output_measures, version_changes, locked_column_changes, rejected_edits, quality_after_edits, appended_log, quality_preview,
     delivered_csv, delivered_bundle, profile_dense)})

@@ -99,6 +99,15 @@ def period_columns() -> list[Column]:
     return [F.expr(f"CASE WHEN _y = {y} AND _m = {m} THEN _amount END AS {name}") for name, y, m in PERIODS]
 
 
+def check_months(lineitem: DataFrame) -> None:
+    """No line may fall outside the period columns, where its amount would be lost (minimum and maximum come from
+    the file footers)."""
+    span = lineitem.agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last")).first()
+    for day in (span["first"], span["last"]):
+        if day is not None and day.year not in YEARS:
+            raise ValueError(f"lines shipped on {day} have no period column; extend YEARS")
+
+
 def shipments_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joined, dirty, wide table plus the lineitem order keys (not yet ordinalled).
 
@@ -129,6 +138,7 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
         if key not in _CACHE:
+            check_months(read_table(spark, sf_dir, "lineitem"))
             raw = shipments_unordered(spark, sf_dir)
             stored = store_sorted(raw, [F.col(k) for k in ORDER_KEYS], name="shipments", drop=ORDER_KEYS)
             _CACHE[key] = attach_ordinal(stored)
