@@ -8,8 +8,9 @@ end every sequence shrinks to the smallest permitted length that holds its conte
 ``C + C * C / quadratic`` (linear layers and attention).
 
 Pieces are dealt to packing groups of about ``group_pieces`` by a hash of id, piece and length, each sorted by length; one group
-is packed by one task that reads its rows as a stream and keeps only sequences that still have room. The waste of a
-group is a few open sequences, so many groups cost little. Only lengths are shuffled, never texts.
+is packed by one task that reads its rows as a stream and keeps only sequences that still have room; a task packs several groups
+in turn, so the shuffle has far fewer partitions than there are groups. The waste of a group is a few open sequences, so
+many groups cost little. Only lengths are shuffled, never texts.
 
 Defined cases: null and empty texts have no tokens and take no part (no row); lengths are what ``lengths`` holds, so ties
 are broken by id and piece; repeated rows are packed each; an empty table gives an empty result.
@@ -29,6 +30,8 @@ from .common import store
 CAPACITIES = (2048, 4096, 8192, 16384)
 QUADRATIC = 65_536
 GROUP_PIECES = 4096
+#: Groups one task may pack in turn; more tasks than ``spark.sql.shuffle.partitions`` run only beyond it.
+TASK_GROUPS = 64
 SCHEMA = ("doc_id long, piece int, token_start long, token_end long, pack_group int, bin long, bin_capacity int, "
           "bin_offset int, bin_fill int")
 
@@ -112,7 +115,8 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, quadratic
     length = (F.col("token_end") - F.col("token_start")).cast("int")
     dealt = pieces.withColumn("length", length).withColumn(
         "pack_group", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)).cast("int"))
-    dealt = dealt.repartition(groups, "pack_group").sortWithinPartitions(
+    tasks = min(groups, max(int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // TASK_GROUPS)))
+    dealt = dealt.repartition(tasks, "pack_group").sortWithinPartitions(
         "pack_group", F.col("length").desc(), "doc_id", "piece")
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
