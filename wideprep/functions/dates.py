@@ -11,7 +11,8 @@ A cell is read by its shape, and parsed once:
    month above 12 means the other order, so ``13/01/2026`` parses either
    way. Two-digit years 69-99 are 19xx, others 20xx.
 
-Each step reads its input once, so the expression stays linear, and what is
+A cell that begins like none of these is settled by one look at its
+beginning. Each step reads its input once, so the expression stays linear, and what is
 no date fails one cast without an exception per tried format.
 """
 
@@ -33,6 +34,10 @@ _NAME = (r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug
 _NAMED = rf"(?i)^(?:(\d{{1,2}})([ -])(?=[a-z]+[ -]\d+$)|(?=[a-z]+ (?:\d{{1,2}},? )?\d{{4}}$)){_NAME}(?: (\d{{1,2}}),?)?[ -](\d{{4}}|\d{{2}})$"
 _CENTURY = ((r"^(\d{1,2}[/.-]\d{1,2}[/.-])(?=(?:69|[7-9]\d)$)", "$119"),
             (r"^(\d{1,2}[/.-]\d{1,2}[/.-])(?=\d{2}$)", "$120"))
+_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+# the first characters that every spelling below shares with no other text: most cells of a table stop here
+_BEGINS = (rf"(?i)^(?:\d{{4,5}}(?:\.0)?$|\d{{8}}(?!\d)|\d{{4}}-\d{{1,2}}(?!\d)|\d{{4}}[/.]\d{{1,2}}[/.]\d"
+           rf"|\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d|(?:\d{{1,2}}[ -])?{_MONTH})")
 _YMD = r"^\d{4}-\d{1,2}(?:-\d{1,2})?$"
 
 
@@ -66,7 +71,8 @@ def parse_date(c, dayfirst: bool = False) -> Column:
     d = F.regexp_replace(t, _TIME, "")
     text = F.when(d.rlike(_NAMED), _named(d)).otherwise(_numeric(d, dayfirst))
     serial = F.date_add(F.lit(EXCEL_EPOCH).cast("date"), F.regexp_extract(t, _SERIAL, 1).try_cast("int"))
-    return F.when(t.rlike(_SERIAL), serial).otherwise(F.regexp_extract(text, _YMD, 0).try_cast("date"))
+    found = F.when(t.rlike(_SERIAL), serial).otherwise(F.regexp_extract(text, _YMD, 0).try_cast("date"))
+    return F.when(t.rlike(_BEGINS), found)
 
 
 def format_date(d: Column, fmt: str) -> Column:

@@ -4,10 +4,11 @@
   cells unpivoted with ``stack``, empty ones dropped, each read once, one
   small hash aggregate by column index;
 * exact duplicate rows - a 64-bit row hash is counted first; only rows whose
-  hash occurs twice are compared whole, so distinct rows never shuffle
-  their cells.
+  hash occurs twice are compared whole. The hashes that occur twice are
+  stored first (the one eager job), so the join with the wide rows is
+  planned by their true size.
 
-Everything is one lazy plan; nothing is read on the driver.
+Nothing is read on the driver.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from wideprep.functions.numbers import num_comma, ref
 from wideprep.functions.text import is_blank
 from wideprep.operators.cleanup import rows_with
 from wideprep.operators.ordinal import ROW_ID
+from wideprep.session import new_table_path
 
 COLUMN_FIGURES = ("column_name", "col_ordinal", "missing", "parsed", "is_numeric", "negatives", "is_date")
 
@@ -104,6 +106,9 @@ def exact_duplicates(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     hashed = df.select(*cols, F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in cols]).alias("_hash"),
                        (F.col(ref(row_id)) if row_id in df.columns else F.monotonically_increasing_id()).alias("_spread"))
     twice = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_hash").alias("_twice"))
+    path = new_table_path(df.sparkSession, "row-hashes")
+    twice.write.parquet(path)  # its size is known from here on: a short list is broadcast, and wide rows stay where they are
+    twice = df.sparkSession.read.parquet(path)
     groups = rows_with(hashed, twice, [(F.col("_hash"), "_twice")], F.col("_spread")).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("exact_duplicates"))
 
