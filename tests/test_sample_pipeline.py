@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SAMPLE_HEADER
+from sample_table import SAMPLE_HEADER
 
 
 def _mapping(spark, cols, name="sample"):

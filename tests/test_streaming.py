@@ -3,7 +3,7 @@
 import os
 import tempfile
 
-from conftest import SAMPLE_HEADER, SAMPLE_ROWS
+from sample_table import SAMPLE_HEADER, SAMPLE_ROWS
 
 
 def test_uploads_stream(spark):
