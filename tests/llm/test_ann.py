@@ -53,3 +53,25 @@ def test_probes_come_in_order_of_estimated_success():
     x = family.project(0, np.array([[0.5, 0.1, -0.2, 0.3]]))[0]
     few, many = set(family.probes(0, x, 4)), set(family.probes(0, x, 12))
     assert few < many and int(family.keys(0, np.floor(x))) in few
+
+
+def test_recall_holds_when_fixed_probes_visit_a_small_share(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(6000, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    want = brute(rows)
+    is_query = F.col("id") % 50 == 0
+    for tables, probes in ((2, 20), (1, 1)):  # the second ends in an exact search
+        got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, is_query, tables=tables, probes=probes).collect()}
+        assert sum((q, v) in got for q in want for v, _ in want[q]) >= 0.9 * 5 * len(want)
+
+
+def test_sample_neighbours_are_exact(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(500, 64)))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    got = ann.sample_neighbours(df, F.col("id") == 100, 5).first()
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = unit(np.array([rows[v][1] for v, _ in brute(rows)[100]]))
+    near = unit(np.array([np.frombuffer(b, "<f8") for b in got["near"]]))
+    assert np.allclose(sorted(near.tolist()), sorted(want.tolist()))
