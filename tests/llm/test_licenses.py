@@ -1,4 +1,7 @@
-from wideprep.llm import licenses
+import textwrap
+from pathlib import Path
+
+from wideprep.llm import license_texts, licenses
 
 
 def test_canonical_forms_meet(spark):
@@ -18,3 +21,24 @@ def test_own_table_and_cases(messy, empty, spark):
     assert sorted((r["doc_id"], r["unit"]) for r in licenses.scan(messy, known).collect()) == [
         (1, "line"), (1, "line"), (1, "text"), (1, "text"), (7, "line"), (7, "text")]
     assert licenses.scan(empty).count() == 0 and licenses.scan(messy, known.limit(0)).count() == 0
+
+
+def test_whole_texts_and_headers(spark):
+    short = {spdx: (titles, body) for spdx, titles, body in license_texts._short() if titles}
+    mit = "\n\n".join(textwrap.fill(p, 72) for p in short["MIT"][1].split("\n"))
+    bsd = "\n\n".join(short["BSD-3-Clause"][1].split("\n"))
+    folder = Path(license_texts.__file__).parent
+    apache, gpl = (folder.joinpath(f"{n}.txt").read_text() for n in ("Apache-2.0", "GPL-3.0"))
+    header = license_texts._APACHE_HEADER.replace("License", "Licence").replace("http:", "https:")
+    texts = [f"The MIT Licence\n\nCopyright (c) 1999-2024 Somebody Else\n\n{mit.replace('sublicense', 'sub-licence')}\n",
+             mit, f"Copyright 2011 X\nAll rights reserved.\n\n{bsd}", apache.replace("[yyyy] [name of copyright owner]", "2020 Y"),
+             f"/*\n * Copyright 2020 Y\n *\n * {header.replace(chr(10), chr(10) + ' * ')}\n */", gpl,
+             mit.replace("free of charge", "for a charge"), *("\n".join([t, short["ISC"][1]]) for t in short["ISC"][0])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(df).filter("unit = 'text'").collect()}
+    assert got == {0: "MIT", 1: "MIT", 2: "BSD-3-Clause", 3: "Apache-2.0", 4: "Apache-2.0", 5: "GPL-3.0", 7: "ISC", 8: "ISC", 9: "ISC"}
+
+
+def test_known_texts_have_each_form_once(spark):
+    known = spark.createDataFrame(licenses.known_texts(), "license string, permissive boolean, notice string")
+    assert known.select(licenses.digest(known.notice)).na.drop().distinct().count() == known.count() < licenses.MAX_KNOWN

@@ -3,7 +3,8 @@ licence notices.
 
 The canonical form lowers case, drops copyright lines, brings equivalent spellings together, and turns punctuation and
 white space into single spaces. Units are the whole text and each of its lines, every one hashed entire. Known notices are
-built from licence names and the phrasings in which notices come; full licence texts can be added to ``known`` as rows.
+built from licence names and the phrasings in which notices come, and from the whole texts and standard headers of
+``license_texts``; others can be given in ``known`` as rows. Whole texts of AGPL-3.0 and the CC-BY family are not included.
 
 Defined cases: null and empty texts, and units whose canonical form is empty, match nothing; repeated rows match
 each; a text of one line that is a notice matches both as a text and as a line; the known table must stay below
@@ -12,9 +13,14 @@ each; a text of one line that is a notice matches both as a text and as a line;
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_texts
+
 MAX_KNOWN = 100_000
 
 # Identifier, whether it permits free reuse, names in notices (each also after "the")
@@ -65,9 +71,22 @@ def digest(text: Column) -> Column:
 
 
 def known_notices() -> list[tuple[str, bool, str]]:
-    """(identifier, permissive, notice) for every name in every phrasing."""
+    """(identifier, permissive, notice) for every name in every phrasing, and for every licence text."""
     return [(spdx, free, phrase.format(name)) for spdx, free, names in LICENSES for n in names
-            for name in (n, f"the {n}") for phrase in PHRASES]
+            for name in (n, f"the {n}") for phrase in PHRASES] + known_texts()
+
+
+@cache
+def known_texts() -> list[tuple[str, bool, str]]:
+    """(identifier, permissive, text) of the whole texts and headers, one for each canonical form, without apostrophes."""
+    free = {spdx: permissive for spdx, permissive, _ in LICENSES}
+    forms = {}
+    for spdx, text in license_texts.texts():
+        form = re.sub(COPYRIGHT_LINE, " ", text.lower())
+        for a, b in SPELLINGS:
+            form = form.replace(a, b)
+        forms.setdefault(re.sub(r"[\W_]+", " ", form).strip(), (spdx, text))  # the texts are ASCII
+    return [(spdx, free[spdx], text.replace("'", " ")) for spdx, text in forms.values()]
 
 
 def known_table(spark: SparkSession) -> DataFrame:
