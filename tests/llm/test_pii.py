@@ -75,3 +75,11 @@ def test_query_against_brute_force(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(w.startswith(k) for w in want) for k in pii.BASE_KINDS]
         assert not set(want) - set(r["spans"].split(","))
+
+
+@pytest.mark.parametrize("text, value", [
+    ("ES91 2100 0418 4502 0005 1332 BIC CAIXESBB", "ES91 2100 0418 4502 0005 1332"), ("AT61 1904 3002 3457 3201 BIC X", "AT61 1904 3002 3457 3201"),
+    ("to BE68 5390 0754 7034 KBC", "BE68 5390 0754 7034"), ("ES9121000418450200051332 BANK", "ES9121000418450200051332"),
+    ("DE89 3704 0044 0532 0130 00 BIC", "DE89 3704 0044 0532 0130 00"), ("AB12 CDEF GHIJ BE68 5390 0754 7034", "BE68 5390 0754 7034")])
+def test_iban_before_an_upper_case_word(text, value):
+    assert [text[s["start"]:s["end"]] for s in pii.find_spans(text) if s["kind"] == "iban"] == [value]

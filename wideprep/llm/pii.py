@@ -80,6 +80,21 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str):
+    """Proposals that mod-97 confirms. As the pattern may take words that follow, ends are tried from the longest down to each
+    place where the proposal has a space; the search goes on after the end that agrees, or after the first group."""
+    at = 0
+    while m := IBAN.search(text, at):
+        ends = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]
+        at = m.start() + 4
+        for end in ends:
+            plain = text[m.start():end].replace(" ", "")
+            if 15 <= len(plain) <= 34 and mod97(plain):
+                yield m.start(), end
+                at = end
+                break
+
+
 def _proposed(text: str):
     """(kind number, start, end) of each span that its validator confirms."""
     for s, e in _emails(text):
@@ -94,10 +109,7 @@ def _proposed(text: str):
     for m in PHONE.finditer(text):
         if 9 <= len(_digits(m[0])) <= 15:
             yield 3, m.start(), m.end()
-    for m in IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            yield 4, m.start(), m.end()
+    yield from ((4, s, e) for s, e in _ibans(text))
     for m in NATIONAL_PHONE.finditer(text):
         yield 5, m.start(), m.end()
     for m in SSN.finditer(text):
