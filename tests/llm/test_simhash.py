@@ -87,3 +87,11 @@ def test_cases(messy, empty):
     kept = simhash.keep_one(messy)
     assert kept.columns == messy.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "5", "6", "None"]
+
+
+def test_one_id_over_two_texts_keeps_each_component(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine", "red green blue cyan pink grey")
+    rows = [(5, a), (5, b), (3, a), (7, c), (7, c), (None, c + " x"), (None, c + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(docs).collect())
+    assert kept == sorted([(3, a), (5, b), (7, c), (0, c + " x")])

@@ -184,11 +184,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows and columns of ``docs`` with one document of each component: the one with the smallest id; of rows that
-    repeat that id, one. A component whose ids are all null keeps one row."""
+    """The rows and columns of ``docs`` with one document of each component: the one with the smallest id; of rows with that id in
+    the component, one (of the smallest fingerprint). An id that stands over texts of several components stays in each that it
+    represents. A component whose ids are all null keeps one row."""
     prints, classes = _classes(docs, key, text, shingle, max_bits)
-    keep = prints.join(classes, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.join(keep, F.col(key).cast("long") == F.col("__keep"), "left_semi").dropDuplicates([key])
+    members = prints.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = members.groupBy("root").agg(F.min("fp").alias("__fp"), F.first("component_id").alias("__keep")).select("__fp", "__keep")
 
     @F.pandas_udf("long")
     def print_of(texts):
@@ -196,7 +197,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
         return pd.Series([fingerprint(t.encode("utf-8", "surrogatepass") if t else None, shingle) for t in texts], dtype="int64")
 
-    nameless = classes.filter("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-    rest = docs.filter(F.col(key).cast("long").isNull()).withColumn("__fp", print_of(F.col(text).cast("string")))
-    rest = rest.join(nameless, "__fp").dropDuplicates(["__root"]).select(*docs.columns)
-    return named.unionByName(rest)
+    # a fingerprint is in one component, so it names the row to keep; ids first, so that fewer texts are hashed again
+    near = docs.withColumn("__id", F.col(key).cast("long")).join(
+        keep.select(F.col("__keep").alias("__id")).filter("__id is not null").distinct(), "__id", "left_semi").unionByName(
+        docs.withColumn("__id", F.col(key).cast("long")).filter("__id is null"))
+    near = near.withColumn("__fp", print_of(F.col(text).cast("string")))
+    match = near["__fp"].eqNullSafe(keep["__fp"]) & near["__id"].eqNullSafe(keep["__keep"])
+    return near.join(keep, match, "left_semi").dropDuplicates(["__fp"]).select(*docs.columns)
