@@ -1,11 +1,11 @@
-"""Registered queries of the ten operators, and their SQL where SQL can express them."""
+"""Registered queries of the operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, licenses, packing, pii, sharding, simhash, tokens, toxicity
+from . import ann, chat, decontam, langid, licenses, merkle, packing, pii, sharding, simhash, tokens, toxicity, trie
 from .common import held_out, read_table
 
 
@@ -67,8 +67,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_pii, op2_packing, op3_ann, op4_langid, op5_token_counts, op6_sharding, op7_simhash,
-                                    op8_licenses, op9_toxicity, op10_decontamination)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+#: What both rows of conversation -7 say.
+CONFLICT = "\\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT).alias("text"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.format_chats(turns).withColumn("turns", chat.parse(F.col("formatted")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    back = back.withColumn("learned", chat.loss_text(F.col("formatted"), F.col("loss_mask")))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+                       F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
+REGISTRY = {f.__name__: f for f in (op1_pii, op2_packing, op3_ann, op4_langid, op5_token_counts, op6_sharding, op7_simhash, op8_licenses,
+                                    op9_toxicity, op10_decontamination, op11_prefix_trie, op12_chat_format, op13_merkle_manifest)}
 
 
 def _license_sql() -> str:
@@ -107,4 +131,26 @@ SELECT doc_id, item_id, shared, n AS item_shingles, shared / n AS containment
 FROM both_ JOIN sizes ON br = sizes.r WHERE shared >= {decontam.CONTAINMENT} * n
 """
 
-ORACLE = {"op8_licenses": _license_sql(), "op10_decontamination": _DECONTAM_SQL}
+_CHAT_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) t(k)),
+marked AS (
+  SELECT *, contains(role, chr(92)) OR contains(text, chr(92)) AS signs,
+         contains(role, '### ') OR contains(role, '</turn>') OR contains(role, ': ') OR contains(text, '### ') OR contains(text, '</turn>') AS marks,
+         length(role) + length(text) + 14 AS plain,
+         (length(role) - length(replace(role, '### ', ''))) // 4 * 2 + (length(text) - length(replace(text, '### ', ''))) // 4 * 2
+         + (length(role) - length(replace(role, '</turn>', ''))) // 7 * 5 + (length(text) - length(replace(text, '</turn>', ''))) // 7 * 5 AS gone,
+         length(role) - length(replace(role, chr(92), '')) + length(text) - length(replace(text, chr(92), '')) AS added
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(plain) - CASE WHEN bool_or(signs) OR bool_or(marks) THEN sum(gone) ELSE 0 END
+        + CASE WHEN bool_or(signs) THEN sum(added) ELSE 0 END)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+ORACLE = {"op8_licenses": _license_sql(), "op10_decontamination": _DECONTAM_SQL, "op12_chat_format": _CHAT_SQL}
