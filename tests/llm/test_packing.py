@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from wideprep.llm import packing, queries
+from wideprep.llm import packing, queries, tokens
 
 
 def check(rows, lengths, capacities):
@@ -26,9 +26,9 @@ def check(rows, lengths, capacities):
 
 def test_every_token_is_placed_once_and_bins_are_downsized(spark):
     sf = "/root/testdata/sf0.001"
-    lengths = {r["doc_id"]: r["n_tokens"] for r in packing.byte_lengths(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    docs = tokens.token_lengths(spark.read.parquet(f"{sf}/documents.parquet"))
+    lengths = {r["doc_id"]: r["n_tokens"] for r in docs.collect()}
     joint = check(queries.op2_packing(spark, sf).collect(), lengths, packing.CAPACITIES)
-    docs = packing.byte_lengths(spark.read.parquet(f"{sf}/documents.parquet"))
     assert joint <= packing.cost(16384) * len(packing.pack(docs, (16384,)).filter("bin_offset = 0").collect())
 
 
@@ -68,3 +68,9 @@ def test_cases(messy, empty):
     assert packing.pack(packing.byte_lengths(empty)).count() == 0
     total = packing.total_cost(packing.pack(packing.byte_lengths(messy))).first()
     assert total["tokens"] == packing.byte_lengths(messy).agg(F.sum("n_tokens")).first()[0]
+
+
+def test_rows_alike_spread_over_groups(spark):
+    df = spark.range(5000, numPartitions=4).selectExpr("cast(null as long) as doc_id", "70L as n_tokens")
+    sizes = [r["count"] for r in packing.pack(df, (100, 200), group_pieces=100).groupBy("pack_group").count().collect()]
+    assert sum(sizes) == 5000 and len(sizes) == 50 and max(sizes) < 200

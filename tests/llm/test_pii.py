@@ -83,3 +83,8 @@ def test_query_against_brute_force(spark):
     ("DE89 3704 0044 0532 0130 00 BIC", "DE89 3704 0044 0532 0130 00"), ("AB12 CDEF GHIJ BE68 5390 0754 7034", "BE68 5390 0754 7034")])
 def test_iban_before_an_upper_case_word(text, value):
     assert [text[s["start"]:s["end"]] for s in pii.find_spans(text) if s["kind"] == "iban"] == [value]
+
+
+def test_very_long_numbers_are_no_addresses():
+    spans = pii.find_spans("1.1.1." + "0" * 5_000_000 + " and 2.2.2." + "9" * 10_000 + " and 10.0.0." + "0" * 9_000 + "7")
+    assert [s["kind"] for s in spans if s["kind"] == "ip"] == ["ip", "ip"]

@@ -1,9 +1,13 @@
 import base64
 
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from wideprep.llm import queries, tokens
 
+ENCODER = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
+
 
 def test_histogram_and_suffix_sums_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
@@ -32,3 +36,18 @@ def test_quantiles_limits_and_cases(messy, empty):
 def test_special_strings_are_ordinary_text(spark):
     df = spark.createDataFrame([(1, "<|endoftext|>")], "doc_id long, text string")
     assert tokens.token_lengths(df).first()["n_tokens"] > 1
+
+
+@given(st.text(st.sampled_from(" \n\t\u3000\x85ab1é!'s"), max_size=60), st.integers(2, 6))
+@settings(max_examples=300, deadline=None)
+def test_long_white_space_is_cut_where_the_pattern_cuts(text, long_run):
+    assert tokens.encoded_length(ENCODER, text, long_run) == len(ENCODER.encode_ordinary(text))
+
+
+def test_texts_of_white_space_alone(spark):
+    n = 3_000_000
+    rows = [(1, " " * n), (2, "\n" * n + "end"), (3, "a" + "\t" * n + " b" + " " * 100_000), (4, "\u3000" * n)]
+    found = {r["doc_id"]: r["n_tokens"] for r in tokens.token_lengths(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[k] > 0 for k in (1, 2, 3, 4)) and len(found) == 4
+    for text in (" " * 400_000, "x" + "\n" * 400_000 + "y"):  # as far as the engine goes
+        assert tokens.encoded_length(ENCODER, text) == len(ENCODER.encode_ordinary(text))

@@ -25,6 +25,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_name(df: DataFrame, wanted: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"__{wanted}{'_' * i}" for i in range(len(taken) + 1)) if n.lower() not in taken)
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True where crc32 of the id as text falls in fold 0; a null id counts as the empty text, hence as held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

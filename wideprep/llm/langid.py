@@ -2,12 +2,16 @@
 
 Letters of the lower-cased text, words parted by one space, give n-grams of one to three characters, hashed to ``FEATURES`` buckets; a
 bucket's count is damped by log(1 + count), weighted by its inverse document frequency, and the vector scaled to length
-one. Training is follow-the-regularised-leader with per-coordinate rates and elastic-net penalties (the L1 part leaves
+one. Document frequencies are counted over all texts outside the held-out fold, inside the tasks first. Training is
+follow-the-regularised-leader with per-coordinate rates and elastic-net penalties (the L1 part leaves
 most weights exactly zero). It runs on shards of a bounded sample in parallel: each round every shard passes over its rows from the
 common state, and the states are averaged. A temperature, fitted on a part of the sample kept out of training, calibrates the
 probabilities.
 
-Only rows outside the held-out fold with a text and a language teach, at most ``max_train`` of them, in a random order of ids.
+Only rows outside the held-out fold with a text and a language teach. The sample is drawn language by language, by a hash of the id: about
+``per_language`` rows of each (the documented bound; expected number, so a few more or less), and all rows of a language that has no
+more. So every language is learned at any size of the table. Rows of languages with fewer than ``RARE`` rows train on every shard, as the average of the states would lose them else, and none
+calibrates.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; if nothing can be learned every text is ``und``; one
 learned language gets score 1; ties go to the language first in order; repeated rows get a prediction each; prediction reads whole
@@ -17,14 +21,17 @@ texts in pieces of bounded memory; language, source and id are never read by a p
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, held_out, store
 
-MAX_TRAIN = 6_000
+PER_LANGUAGE = 1_500
+RARE = 50
 FEATURES = 1 << 15
 GRAMS = (1, 2, 3)
 ROUNDS = 4
@@ -37,6 +44,8 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Buckets and counts of a text's n-grams; None without letters."""
     plain = NOT_LETTERS.sub(" ", text.lower()) if text else ""
+    if not plain.replace(" ", "").isalpha():  # nothing left, or numerals that count as word characters
+        plain = " ".join("".join(c if c.isalpha() else " " for c in plain).split())
     if not plain.strip():
         return None
     plain = f" {plain.strip()} "
@@ -86,35 +95,58 @@ def _pass(rows, z: np.ndarray, n: np.ndarray) -> None:
         n[at] += g * g
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = MAX_TRAIN) -> dict:
+def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of texts with a letter, and of those that hold each bucket; ``texts``: body. Every task counts its texts and gives a row a bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(FEATURES + 1, np.int64)  # the last counts texts
+        for batch in batches:
+            for t in batch.column("body").to_pylist():
+                counted = counts_of(t)
+                if counted:
+                    held[counted[0]] += 1
+                    held[FEATURES] += 1
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], ["at", "n"])
+
+    df = np.zeros(FEATURES + 1)
+    for r in texts.select("body").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # FEATURES rows
+        df[r["at"]] = r["n"]
+    return int(df[FEATURES]), df[:FEATURES]
+
+
+def draw(rows: DataFrame, per_language: int) -> DataFrame:
+    """lang, shard, body of the sample; ``rows``: id, lang, body. One count a language, then a filter on the hash of the id; no sort."""
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_of"))  # one row a language
+    order = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(1 << 40))
+    shard = F.pmod(order, F.lit(SHARDS + 1)).cast("int")
+    shards = F.when(F.col("rows_of") < RARE, F.sequence(F.lit(0), F.lit(SHARDS - 1))).otherwise(F.array(shard))
+    chosen = order < F.lit(1 << 40) * F.least(F.lit(1.0), per_language / F.col("rows_of"))
+    return rows.join(F.broadcast(sizes), "lang").filter(chosen).select("lang", F.explode(shards).alias("shard"), "body")
+
+
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
     """The model: ``languages``, ``weights`` (buckets x languages), ``idf``, ``temperature``."""
     context = docs.sparkSession.sparkContext
-    rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).filter(~held_out(F.col(key)))
-    order = F.xxhash64(F.col(key).cast("string"), F.lit("langid"))
-    ids = store(rows.select(F.col(key).alias("__id"), F.col(lang).cast("string").alias("lang"), order.alias("__o"))
-                .orderBy("__o", "__id").limit(max_train), "language_ids")  # a documented bound
-    ids = ids.groupBy("__id").agg(F.min("lang").alias("lang"), F.min("__o").alias("__o"))
-    body = docs.select(F.col(key).alias("__id"), F.col(text).cast("string").alias("body"))
+    rows = docs.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("body"))
+    rows = rows.filter(F.col("body").isNotNull()).filter(~held_out(F.col("id")))
 
     def make():
         def work(batch):
             out = {"lang": [], "shard": [], "at": [], "n": []}
-            for o, lang_, t in zip(batch["__o"].to_pylist(), batch["lang"].to_pylist(), batch["body"].to_pylist()):
+            for s, lang_, t in zip(batch["shard"].to_pylist(), batch["lang"].to_pylist(), batch["body"].to_pylist()):
                 counted = counts_of(t)
                 if counted:
-                    for k, v in zip(out, (lang_, (o >> 8) % (SHARDS + 1), counted[0].astype(np.int32), counted[1].astype(np.int32))):
+                    for k, v in zip(out, (lang_, s, counted[0].astype(np.int32), counted[1].astype(np.int32))):
                         out[k].append(v)
             return out
 
         return work
 
-    sample = body.join(F.broadcast(ids), "__id")
-    sample = store(arrow_map(sample, ["__o", "lang", "body"], "lang string, shard int, at array<int>, n array<int>", make), "sample")
+    sample = draw(rows.filter(F.col("lang").isNotNull()), per_language)
+    sample = store(arrow_map(sample, ["shard", "lang", "body"], "lang string, shard int, at array<int>, n array<int>", make), "sample")
     languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
-    total = sample.count()
-    df = np.zeros(FEATURES)
-    for r in sample.select(F.explode("at").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect():
-        df[r["at"]] = r["n"]
+    total, df = document_frequencies(rows)
     idf = np.log((1 + total) / (1 + df)) + 1.0
     k = len(languages)
     z, n = np.zeros((FEATURES, k)), np.zeros((FEATURES, k))
@@ -122,8 +154,6 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     def one_round(state):
         def run(key_, table):
-            import pyarrow as pa
-
             z0, n0 = (a.copy() for a in state.value)
             held = [(*vector((np.array(a), np.array(c)), idf), number[name]) for a, c, name in zip(
                 table.column("at").to_pylist(), table.column("n").to_pylist(), table.column("lang").to_pylist())]

@@ -7,7 +7,8 @@ room is worth the cheapest price a token of any permitted length, discounted by
 end every sequence shrinks to the smallest permitted length that holds its contents. A sequence of length C costs
 ``C + C * C / quadratic`` (linear layers and attention).
 
-Pieces are dealt to packing groups of about ``group_pieces`` by a hash of id, piece and length, each sorted by length; one group
+Pieces are dealt to packing groups of about ``group_pieces`` by a hash of id, piece, length and number of the stored row (so that rows
+alike, or without an id, spread as well), each sorted by length; one group
 is packed by one task that reads its rows as a stream and keeps only sequences that still have room; a task packs several groups
 in turn, so the shuffle has far fewer partitions than there are groups. The waste of a group is a few open sequences, so
 many groups cost little. Only lengths are shuffled, never texts.
@@ -109,12 +110,12 @@ def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, quadratic
         F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"),
         F.explode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / longest).cast("int"))).alias("piece"))
     start = F.col("piece").cast("long") * longest
-    pieces = store(pieces.select("doc_id", "piece", start.alias("token_start"),
-                                 F.least(start + longest, F.col("n_tokens")).alias("token_end")), "pieces")
+    pieces = store(pieces.select("doc_id", "piece", start.alias("token_start"), F.least(start + longest, F.col("n_tokens")).alias("token_end"),
+                                 F.monotonically_increasing_id().alias("row")), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     length = (F.col("token_end") - F.col("token_start")).cast("int")
     dealt = pieces.withColumn("length", length).withColumn(
-        "pack_group", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)).cast("int"))
+        "pack_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "row"), F.lit(groups)).cast("int"))
     tasks = min(groups, max(int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // TASK_GROUPS)))
     dealt = dealt.repartition(tasks, "pack_group").sortWithinPartitions(
         "pack_group", F.col("length").desc(), "doc_id", "piece")

@@ -100,7 +100,7 @@ def _proposed(text: str):
     for s, e in _emails(text):
         yield 0, s, e
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             yield 1, m.start(), m.end()
     for m in CARD.finditer(text):
         digits = _digits(m[0])

@@ -23,7 +23,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.byte_lengths(read_table(spark, sf_dir, "documents")))
+    return packing.pack(tokens.token_lengths(read_table(spark, sf_dir, "documents")))
 
 
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

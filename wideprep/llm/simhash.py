@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, store
+from .common import arrow_map, new_name, store
 from .components import components
 
 SHINGLE = 3
@@ -63,18 +63,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: one row for each document."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, number: str | None = None) -> DataFrame:
+    """doc_id, fp, row: one row for each document; ``row`` is the column ``number``, if given."""
 
     def make():
         def work(batch):
             raw = batch["body"].cast(pa.binary()).to_pylist()
-            return {"doc_id": batch["doc_id"], "fp": [fingerprint(t, shingle) for t in raw]}
+            return {"doc_id": batch["doc_id"], "fp": [fingerprint(t, shingle) for t in raw], "row": batch["row"]}
 
         return work
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
-    return arrow_map(rows, ["doc_id", "body"], "doc_id long, fp long", make)
+    row = (F.col(number) if number else F.lit(None)).cast("long").alias("row")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"), row)
+    return arrow_map(rows, ["doc_id", "body", "row"], "doc_id long, fp long, row long", make)
 
 
 def position_sets(size: int, shared: int) -> list[tuple[int, ...]]:
@@ -164,9 +165,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _classes(docs: DataFrame, key: str, text: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of each document, and (fp, root, component_id) of each fingerprint."""
-    prints = store(fingerprints(docs, key, text, shingle), "fingerprints")
+def _classes(docs: DataFrame, key: str, text: str, shingle: int, max_bits: int, number: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, row) of each document, and (fp, root, component_id) of each fingerprint."""
+    prints = store(fingerprints(docs, key, text, shingle, number), "fingerprints")
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(fingerprint_links(distinct.select("fp"), max_bits))
     member = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select(
@@ -187,20 +188,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """The rows and columns of ``docs`` with one document of each component: the one with the smallest id; of rows with that id in
     the component, one (of the smallest fingerprint). An id that stands over texts of several components stays in each that it
     represents. A component whose ids are all null keeps one row."""
-    prints, classes = _classes(docs, key, text, shingle, max_bits)
+    number = new_name(docs, "row")
+    # numbered and written once, so that the number names a row in every later read; only numbers meet in the aggregate and the choice
+    numbered = store(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    prints, classes = _classes(numbered, key, text, shingle, max_bits, number)
     members = prints.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = members.groupBy("root").agg(F.min("fp").alias("__fp"), F.first("component_id").alias("__keep")).select("__fp", "__keep")
-
-    @F.pandas_udf("long")
-    def print_of(texts):
-        import pandas as pd
-
-        return pd.Series([fingerprint(t.encode("utf-8", "surrogatepass") if t else None, shingle) for t in texts], dtype="int64")
-
-    # a fingerprint is in one component, so it names the row to keep; ids first, so that fewer texts are hashed again
-    near = docs.withColumn("__id", F.col(key).cast("long")).join(
-        keep.select(F.col("__keep").alias("__id")).filter("__id is not null").distinct(), "__id", "left_semi").unionByName(
-        docs.withColumn("__id", F.col(key).cast("long")).filter("__id is null"))
-    near = near.withColumn("__fp", print_of(F.col(text).cast("string")))
-    match = near["__fp"].eqNullSafe(keep["__fp"]) & near["__id"].eqNullSafe(keep["__keep"])
-    return near.join(keep, match, "left_semi").dropDuplicates(["__fp"]).select(*docs.columns)
+    keep = store(members.groupBy("root").agg(F.min(F.struct("fp", "row")).alias("first")).select(F.col("first.row").alias(number)), "kept")
+    return numbered.join(keep, number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

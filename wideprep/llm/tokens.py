@@ -4,13 +4,14 @@ Each document is encoded whole with a given byte-level vocabulary, only its leng
 before anything is shuffled. From the histogram, suffix sums answer for every context limit L: how many documents are
 longer, how many tokens there are in all, how many remain if each document is cut at L, and which quantile L is.
 
-Defined cases: null and empty texts have length 0 and are counted there; an empty table has an empty histogram; texts of
-special tokens are ordinary text; repeated rows count each time; other columns, whatever their names, are not read.
+Defined cases: null and empty texts have length 0 and are counted there; long texts, also of nothing but white space, are encoded
+whole; an empty table has an empty histogram; texts of special tokens are ordinary text; repeated rows count each time; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,10 @@ from .common import arrow_map, file_bytes, store
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation rule this vocabulary was made with
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Fixed value: Unicode white space, as the pattern's engine takes it
+WHITE_SPACE = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space is cut by hand from this length on; the engine fails above some 700,000.
+LONG_RUN = 65_536
 #: Lengths in one run of the suffix sums' inner step.
 SPAN = 256
 
@@ -32,16 +37,29 @@ def encoder(raw: bytes):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encoded_length(vocabulary, text: str, long_run: int = LONG_RUN) -> int:
+    """Tokens of a text. The pattern's engine runs out of stack on very long runs of white space, so such a run is cut out where the pattern
+    cuts: all of it at the end of the text, else all but its last character, which goes with what follows."""
+    if len(text) < long_run:
+        return len(vocabulary.encode_ordinary(text))
+    total = at = 0
+    for run in re.finditer(f"{WHITE_SPACE}{{{long_run},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(vocabulary.encode_ordinary(text[at:run.start()])) + len(vocabulary._encode_single_piece(text[run.start():end]))
+        at = end
+    return total + len(vocabulary.encode_ordinary(text[at:]))
+
+
 def token_lengths(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` columns, and ``n_tokens`` of each whole text."""
     raw = df.sparkSession.sparkContext.broadcast(file_bytes(vocabulary))  # one vocabulary file: about a megabyte
     types = dict(df.dtypes)
 
     def make():
-        encode = encoder(raw.value).encode_ordinary
+        vocabulary_ = encoder(raw.value)
 
         def work(batch):
-            lengths = [len(encode(t)) if t else 0 for t in batch["__text"].to_pylist()]
+            lengths = [encoded_length(vocabulary_, t) if t else 0 for t in batch["__text"].to_pylist()]
             return {**{c: batch[c] for c in keep}, "n_tokens": lengths}
 
         return work
