@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wideprep.llm import decontam, packing, pii, simhash, toxicity
+from wideprep.llm import decontam, packing, pii, simhash, tokens, toxicity
 from wideprep.llm.common import read_table, store
 
 
@@ -35,7 +35,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.byte_lengths(docs))
+    return packing.pack(tokens.token_lengths(docs))
 
 
 STAGES = [
