@@ -563,10 +563,14 @@ ORACLE.update({"scan_union_lineage": scan_union_lineage, "largest_table": larges
 
 
 def scan_messy_files() -> str:
-    return """SELECT CAST(c_custkey AS VARCHAR) AS "KEY",
-       'é "' || c_name || '", a;b' || CASE WHEN c_custkey % 7 = 0 THEN chr(10) || 'next' ELSE '' END AS "NAME",
-       CASE WHEN c_custkey % 5 = 0 OR c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS "SEGMENT",
-       CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(c_acctbal AS VARCHAR) END AS "BALANCE"
+    short, moved = "c_custkey % 11 = 0", "c_nationkey % 3 = 1"
+    return f"""SELECT CAST(c_nationkey AS VARCHAR) AS "Source Sheet", CAST(c_custkey AS VARCHAR) AS "KEY",
+       CASE WHEN NOT ({short} AND {moved}) THEN 'é "' || c_name || '", a;b' || CASE WHEN c_nationkey % 5 > 0 OR c_custkey % 7 > 0 THEN ''
+            WHEN c_custkey % 2 = 0 THEN chr(13) || chr(10) || 'next' ELSE chr(10) || 'next' END END AS "NAME",
+       CASE WHEN NOT (c_custkey % 5 = 0 OR {short}) THEN c_mktsegment END AS "SEGMENT",
+       CASE WHEN NOT {short} THEN CAST(c_acctbal AS VARCHAR) END AS "BALANCE",
+       CASE WHEN NOT {short} OR {moved} THEN (c_custkey % 9) || '" x 3"' END AS "SIZE",
+       CASE WHEN c_nationkey % 3 = 2 AND NOT {short} THEN 'again, ' || c_name END AS "NAME_1"
 FROM customer WHERE c_custkey % 13 <> 0"""
 
 

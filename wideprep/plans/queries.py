@@ -379,28 +379,45 @@ def largest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run({t: read_table(spark, sf_dir, t) for t in TABLES})
 
 
+#: Header cells of the untidy uploads, by nation modulo 3: another order, a repeated and an unnamed column.
+MESSY_LAYOUTS = (("KEY", "NAME", "SEGMENT", "BALANCE", "SIZE"), ("KEY", "SIZE", "NAME", "SEGMENT", "BALANCE"),
+                 ("KEY", "NAME", "SEGMENT", "BALANCE", "SIZE", "NAME", "Unnamed: 6"))
+
+
 def messy_files(spark: SparkSession, sf_dir: str) -> str:
-    """``customer`` written as one untidy upload a nation; returns the folder. A title stands above the header, header cells
-    are quoted, names hold quotes, delimiters and (every 7th) a line end, every 5th segment is spelled NA, every 11th record
-    is short, every 13th has a blank cell too many; odd nations use ``;`` and Windows-1252."""
+    """``customer`` written as one untidy upload a nation, in three layouts; returns the folder. A title stands above the header, header
+    cells are quoted, names hold quotes and delimiters, sizes hold inch marks, every 5th segment is spelled NA, every 11th record
+    has two cells, every 13th a blank cell too many; odd nations use ``;`` and Windows-1252; in every 5th nation names hold line ends."""
     from wideprep.session import new_table_path
     from wideprep.sources.tables import read_table
 
     odd = F.col("c_nationkey") % 2 == 1
     d = F.when(odd, ";").otherwise(",")
 
-    def joined(*cells):
+    def joined(cells):
         return F.concat(cells[0], *[x for c in cells[1:] for x in (d, c)])
 
+    def by_layout(make):
+        lines = [make(columns) for columns in MESSY_LAYOUTS]
+        return F.when(F.col("c_nationkey") % 3 == 0, lines[0]).when(F.col("c_nationkey") % 3 == 1, lines[1]).otherwise(lines[2])
+
     k = F.col("c_custkey")
-    name = F.concat(F.lit('"é ""'), "c_name", F.lit('"", a;b'), F.when(k % 7 == 0, "\nnext").otherwise(""), F.lit('"'))
-    segment = F.when(k % 5 == 0, "NA").otherwise(F.col("c_mktsegment"))
-    full = joined(k.cast("string"), name, segment, F.col("c_acctbal").cast("string"))
-    line = F.when(k % 13 == 0, joined(full, F.lit(""))).when(k % 11 == 0, joined(k.cast("string"), name)).otherwise(full)
-    rows = read_table(spark, sf_dir, "customer").select("c_nationkey", k.alias("n"), line.alias("line"))
+    ends = F.when((F.col("c_nationkey") % 5 > 0) | (k % 7 > 0), "").when(k % 2 == 0, "\r\nnext").otherwise("\nnext")
+    cells = {
+        "KEY": k.cast("string"), "NAME": F.concat(F.lit('"é ""'), "c_name", F.lit('"", a;b'), ends, F.lit('"')),
+        "SEGMENT": F.when(k % 5 == 0, "NA").otherwise(F.col("c_mktsegment")), "BALANCE": F.col("c_acctbal").cast("string"),
+        "SIZE": F.concat((k % 9).cast("string"), F.lit('" x 3"')), "Unnamed: 6": F.lit("n/a"),
+    }
+
+    def record(columns):
+        own = [cells[c] if c not in columns[:i] else F.concat(F.lit('"again, '), "c_name", F.lit('"')) for i, c in enumerate(columns)]
+        return F.when(k % 13 == 0, joined([*own, F.lit("")])).when(k % 11 == 0, joined(own[:2])).otherwise(joined(own))
+
+    rows = read_table(spark, sf_dir, "customer").select("c_nationkey", k.alias("n"), by_layout(record).alias("line"))
+    header = by_layout(lambda columns: joined([F.lit(f'"{c}"') for c in columns]))
     tops = rows.select("c_nationkey").distinct().select("c_nationkey", F.explode(F.array(
         F.struct(F.lit(-2).cast("long").alias("n"), F.lit("Customer report").alias("line")),
-        F.struct(F.lit(-1).cast("long").alias("n"), joined(*[F.lit(f'"{c}"') for c in MESSY_COLUMNS]).alias("line")))).alias("x"))
+        F.struct(F.lit(-1).cast("long").alias("n"), header.alias("line")))).alias("x"))
     lines = rows.unionAll(tops.select("c_nationkey", "x.n", "x.line"))
     written = F.when(odd, F.encode("line", "ISO-8859-1").cast("string")).otherwise(F.col("line")).alias("value")
     lines = lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "n").select("c_nationkey", written)
@@ -409,15 +426,16 @@ def messy_files(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-MESSY_COLUMNS = ("KEY", "NAME", "SEGMENT", "BALANCE")
-
-
 def scan_messy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The untidy uploads scanned back."""
+    """The untidy uploads scanned back, appended by column name, the nation as lineage; all-NULL columns go."""
+    from wideprep.constants import SOURCE_COLUMN
     from wideprep.sources.delimited import scan_delimited
     from wideprep.sources.tables import drop_empty
 
-    return drop_empty(scan_delimited(spark, messy_files(spark, sf_dir) + "/*/*"), keep=())
+    def nation(file):
+        return F.regexp_extract(file, "c_nationkey=([0-9]+)", 1)
+
+    return drop_empty(scan_delimited(spark, messy_files(spark, sf_dir) + "/*/*", source=nation), keep=(SOURCE_COLUMN,))
 
 
 def scan_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
