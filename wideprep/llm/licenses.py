@@ -6,20 +6,26 @@ white space into single spaces. Units are the whole text and each of its lines,
 built from licence names and the phrasings in which notices come, and from the whole texts and standard headers of
 ``license_texts``; others can be given in ``known`` as rows. Whole texts of AGPL-3.0 and the CC-BY family are not included.
 
+Each text is read once and brought to canonical lines once; the text's own form is these lines joined. Only forms as long as some known form
+are hashed, so that no match is lost.
+
 Defined cases: null and empty texts, and units whose canonical form is empty, match nothing; repeated rows match
-each; a text of one line that is a notice matches both as a text and as a line; the known table must stay below
-``MAX_KNOWN`` rows, which bounds what is broadcast; other columns are not read.
+each; a text of one line that is a notice matches both as a text and as a line; a long text is one unit and its lines; an empty table
+gives no row; the known table must stay below ``MAX_KNOWN`` rows, which bounds what is broadcast; other columns are not read, so
+clashing names do no harm.
 """
 
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import license_texts
+from .common import store
 
 MAX_KNOWN = 100_000
 
@@ -54,15 +60,29 @@ PHRASES = ("{}", "Licensed under {}", "Released under {}", "Distributed under {}
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"),
              ("share-alike", "sharealike"), ("per cent", "percent"), ("favour", "favor"), ("organisation", "organization"),
              ("copyright holder", "copyright owner"), ("https:", "http:"))
+COPYRIGHT_WORDS = ("copyright", "(c)", "©", "all rights reserved")
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
+PUNCTUATION_IN_LINE = r"[^\p{L}\p{N}\n]+"
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line. The expression for copyright lines runs only on texts that hold one of its words."""
+    out = F.lower(text)
+    marked = reduce(or_, (out.contains(w) for w in COPYRIGHT_WORDS))
+    out = F.when(marked, F.regexp_replace(out, COPYRIGHT_LINE, " ")).otherwise(out)
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, PUNCTUATION, " "))
+    return F.transform(F.split(F.regexp_replace(out, PUNCTUATION_IN_LINE, " "), "\n"), lambda x: F.trim(x))
+
+
+def joined(lines: Column) -> Column:
+    """The canonical form of the text of these canonical lines."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def canonical(text: Column) -> Column:
+    return joined(canonical_lines(text))
 
 
 def digest(text: Column) -> Column:
@@ -99,12 +119,14 @@ def scan(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", t
     n = known.limit(MAX_KNOWN + 1).count()
     if n > MAX_KNOWN:
         raise ValueError(f"more than {MAX_KNOWN} known notices")
-    digests = known.select(digest(F.col("notice")).alias("digest"), "license", "permissive").filter("digest is not null")
-    digests = digests.groupBy("digest").agg(F.min(F.struct("license", "permissive")).alias("hit"))
-    body = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("body"))
-    lines = body.select("doc_id", F.posexplode(F.split("body", "\n")).alias("pos", "unit_text"))
-    units = body.select("doc_id", F.lit(0).alias("line_no"), F.col("body").alias("unit_text")).unionAll(
-        lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), "unit_text"))
-    hits = units.select("doc_id", "line_no", digest(F.col("unit_text")).alias("digest")).join(F.broadcast(digests), "digest")
+    forms = store(known.select(joined(canonical_lines(F.col("notice"))).alias("form"), "license", "permissive").filter("form <> ''")
+                  .groupBy("form").agg(F.min(F.struct("license", "permissive")).alias("hit")), "licence-forms")
+    digests = forms.select(F.md5("form").alias("digest"), "hit")
+    long_as = [r["n"] for r in forms.select(F.length("form").alias("n")).distinct().collect()]  # at most MAX_KNOWN numbers
+    lines = docs.select(F.col(key).alias("doc_id"), canonical_lines(F.col(text).cast("string")).alias("lines"))
+    units = F.concat(F.array(F.struct(F.lit(0).alias("line_no"), joined(F.col("lines")).alias("form"))),
+                     F.transform("lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("form"))))
+    units = lines.select("doc_id", F.inline(F.filter(units, lambda u: F.length(u.form).isin(long_as))))
+    hits = units.select("doc_id", "line_no", F.md5("form").alias("digest")).join(F.broadcast(digests), "digest")
     return hits.select("doc_id", F.when(F.col("line_no") == 0, "text").otherwise("line").alias("unit"), "line_no",
                        F.col("hit.license").alias("license"), F.col("hit.permissive").alias("permissive"))
