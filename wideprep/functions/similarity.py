@@ -1,9 +1,10 @@
 """Normalised Indel similarity as a native expression.
 
 ratio(a, b) = 2 * LCS(a, b) / (len(a) + len(b)); 1.0 for two empty strings.
-LCS is the classic dynamic programme, one DP row per character of ``a``,
-written with ``aggregate`` over ``sequence`` so it stays inside the JVM.
-Cost is O(len(a) * len(b)) per pair: meant for headers, not for cell text.
+One side is a fixed text (a header alias) of at most ``MAX_FIXED``
+characters: the dynamic programme's row is then one number, a bit for each
+character of the fixed text, and each character of the other side costs a
+few operations on it. No row is copied.
 """
 
 from __future__ import annotations
@@ -13,27 +14,41 @@ from pyspark.sql import functions as F
 
 from wideprep.functions.text import _col
 
+MAX_FIXED = 60  # the sum of two rows still fits a signed 64-bit number
 
-def lcs_length(a, b) -> Column:
-    a, b = _col(a), _col(b)
-    n = F.length(b)
-    first = F.array_repeat(F.lit(0), n + 1)
 
-    def next_row(prev: Column, ch: Column) -> Column:
-        def cell(cur: Column, j: Column) -> Column:
-            same = ch == F.substring(b, j, 1)
-            v = F.when(same, F.element_at(prev, j) + 1).otherwise(
-                F.greatest(F.element_at(prev, j + 1), F.element_at(cur, j))
-            )
-            return F.concat(cur, F.array(v))
+def fixed_text(text: str) -> Column:
+    """Struct of a fixed text: a, its distinct characters d, where each stands as bits m (0 first, for all other characters)."""
+    if len(text) > MAX_FIXED:
+        raise ValueError(f"a fixed text has at most {MAX_FIXED} characters")
+    distinct = "".join(dict.fromkeys(text))
+    bits = [0] + [sum(1 << i for i, c in enumerate(text) if c == d) for d in distinct]
+    return F.struct(F.lit(text).alias("a"), F.lit(distinct).alias("d"), F.array(*[F.lit(b).cast("long") for b in bits]).alias("m"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.array(F.lit(0)), cell)
 
-    rows = F.aggregate(F.split(a, ""), first, next_row)
-    return F.when((F.length(a) == 0) | (n == 0), F.lit(0)).otherwise(F.element_at(rows, -1))
+def lcs_length(chars: Column, fixed: Column) -> Column:
+    """Length of the longest common subsequence of an array of characters and a :func:`fixed_text`."""
+    n = F.length(fixed["a"])
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1
 
+    def step(row: Column, ch: Column) -> Column:
+        common = row.bitwiseAND(F.element_at(fixed["m"], F.instr(fixed["d"], ch) + 1))
+        return (row + common).bitwiseOR(row - common).bitwiseAND(full)
 
-def indel_ratio(a, b) -> Column:
-    a, b = _col(a), _col(b)
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * lcs_length(a, b) / total)
+    return n - F.bit_count(F.aggregate(chars, full, step))
+
+
+def characters(c) -> Column:
+    return F.filter(F.split(_col(c), ""), lambda x: x != "")
+
+
+def ratio_bound(c, fixed: Column) -> Column:
+    """What the ratio cannot exceed, by the lengths alone."""
+    n, k = F.length(_col(c)), F.length(fixed["a"])
+    return F.when(n + k == 0, F.lit(1.0)).otherwise(2.0 * F.least(n, k) / (n + k))
+
+
+def indel_ratio(c, fixed: Column, chars: Column | None = None) -> Column:
+    total = F.length(_col(c)) + F.length(fixed["a"])
+    chars = characters(c) if chars is None else chars
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * lcs_length(chars, fixed) / total)

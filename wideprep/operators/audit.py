@@ -1,24 +1,30 @@
 """Review: apply analyst edits, log cell changes between two versions.
 
-Both are joins on the unique ``record_id`` (evenly spread, no hot key),
-and the per-cell comparison is one array-of-structs projection exploded
-once, never a loop over columns.
+Both are joins on the unique ``record_id`` (evenly spread, no hot key).
+Versions stored by :func:`store_version` are bucketed by it, so two of them
+meet without a shuffle. Whole rows are compared first, as they are typed;
+only rows that differ go on to the per-cell comparison, one array-of-structs
+projection exploded once.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
 from wideprep.constants import LOCKED_COLUMNS, STATUSES
-from wideprep.functions.numbers import ref
-from wideprep.functions.text import clean_text
+from wideprep.functions.numbers import num_comma, ref
+from wideprep.functions.text import WS, WS_CHARS, clean_text
+from wideprep.session import new_table_path
 
 AUDIT_SCHEMA = "record_id string, field string, original_value string, final_value string"
+# in the log, the field of a record that only one version has
+RECORD_FIELD, PRESENT = "(record)", "present"
 KEY = "record_id"
+WHOLE_NUMBER = rf"^{WS}*[+-]?\d{{1,18}}{WS}*$"
 
 
 def _text(c: Column) -> Column:
@@ -49,7 +55,9 @@ def _accepted(out: DataFrame, allowed: list[str]) -> Column:
     """An edit of a field that may change, to a value of its kind and, for the status, an allowed one."""
     numeric = [f.name for f in out.schema.fields if f.name in allowed and isinstance(f.dataType, NumericType)]
     field, value = F.col("field"), F.col("value")
-    fits = F.when(field.isin(*numeric), value.isNull() | value.try_cast("double").isNotNull()).when(
+    whole = [f.name for f in out.schema.fields if f.name in numeric and isinstance(f.dataType, IntegralType)]
+    reads = F.when(field.isin(*whole), F.replace(value, F.lit(","), F.lit("")).rlike(WHOLE_NUMBER)).otherwise(num_comma(value).isNotNull())
+    fits = F.when(field.isin(*numeric), value.isNull() | reads).when(
         field == "status", F.coalesce(value.isin(*STATUSES), F.lit(False))).otherwise(True)
     return F.coalesce(field.isin(*allowed), F.lit(False)) & fits
 
@@ -60,7 +68,10 @@ def rejected_edits(out: DataFrame, edits: DataFrame, key: str = KEY, allow_locke
 
 
 def _edited_value(out: DataFrame, c: str, i: int) -> Column:
-    new = F.col(f"_e_{i}.v").try_cast(dict(out.dtypes)[c])
+    kind, new = out.schema[c].dataType, F.col(f"_e_{i}.v")
+    if isinstance(kind, NumericType):  # commas as in every other number; `5f` and `NaN` have been refused
+        new = F.btrim(F.replace(new, F.lit(","), F.lit("")), F.lit(WS_CHARS))
+    new = new.try_cast(kind)
     return F.when(F.col(f"_e_{i}").isNotNull(), new).otherwise(F.col(ref(c)))
 
 
@@ -101,21 +112,47 @@ def edit_log(out: DataFrame, edits: DataFrame, key: str = KEY, allow_locked: boo
     return log
 
 
+def store_version(df: DataFrame, key: str = KEY, buckets: int | None = None, placed: bool = False) -> DataFrame:
+    """``df`` stored as a version: a table bucketed and sorted by ``key`` under the shared storage folder. ``placed``: the rows already lie
+    by ``key`` (an edited version of a stored one), so they are not shuffled again."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_table_path(spark, "version")
+    name = "wideprep_version_" + path.rsplit("-", 1)[1]
+    rows = df if placed else df.repartition(n, F.col(ref(key)))
+    rows.write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def change_log(before: DataFrame, after: DataFrame, key: str = KEY, stamp: bool = False) -> DataFrame:
     """(record_id, field, original_value, final_value[, changed_at]) for every
-    cell that differs (NULL-safe) and still differs after text cleaning."""
+    cell that differs (NULL-safe) and, if text, still differs after cleaning. A
+    record that one version lacks is one row: field ``(record)``, with ``present`` on the side that has it."""
     common = [c for c in after.columns if c in before.columns and c not in (key, "_row_id")]
-    b = before.select(F.col(key).alias("_bk"), *[F.col(ref(c)).alias(f"_b{i}") for i, c in enumerate(common)])
-    a = after.select(F.col(key).alias("_ak"), *[F.col(ref(c)).alias(f"_a{i}") for i, c in enumerate(common)])
-    j = b.join(a, F.col("_bk") == F.col("_ak"))
-    cells = []
+    kinds = {c: before.schema[c].dataType for c in common}
+    same_kind = {c: kinds[c] == after.schema[c].dataType for c in common}
+
+    def packed(df: DataFrame, key_name: str, name: str) -> DataFrame:
+        cells = [F.col(ref(c)).alias(f"c{i}") if same_kind[c] else _text(F.col(ref(c))).alias(f"c{i}") for i, c in enumerate(common)]
+        return df.select(F.col(ref(key)).alias(key_name), F.struct(F.lit(0).alias("_"), *cells).alias(name))
+
+    j = packed(before, "_bk", "_b").join(packed(after, "_ak", "_a"), F.col("_bk") == F.col("_ak"), "full_outer")
+    differing = j.where(~F.col("_b").eqNullSafe(F.col("_a")))
+    here, there = F.col("_b").isNotNull(), F.col("_a").isNotNull()
+
+    def entry(field: str, old: Column, new: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), old.cast("string").alias("original_value"), new.cast("string").alias("final_value"))
+
+    present = F.lit(PRESENT)
+    cells = [F.when(~(here & there), entry(RECORD_FIELD, F.when(here, present), F.when(there, present)))]
     for i, c in enumerate(common):
-        bo, af = F.col(f"_b{i}"), F.col(f"_a{i}")
-        changed = ~bo.eqNullSafe(af) & (clean_text(_text(bo)) != clean_text(_text(af)))
-        cells.append(F.when(changed, F.struct(F.lit(c).alias("field"), _text(bo).alias("original_value"),
-                                              _text(af).alias("final_value"))))
+        bo, af = F.col(f"_b.c{i}"), F.col(f"_a.c{i}")
+        changed = here & there & ~bo.eqNullSafe(af)
+        if not (same_kind[c] and isinstance(kinds[c], NumericType)):
+            changed = changed & (clean_text(_text(bo)) != clean_text(_text(af)))
+        cells.append(F.when(changed, entry(c, bo, af)))
     found = F.filter(F.array(*cells), lambda x: x.isNotNull())
-    log = j.select(F.col("_ak").alias("record_id"), F.explode(found).alias("x")).select(
+    log = differing.select(F.coalesce("_ak", "_bk").alias("record_id"), F.explode(found).alias("x")).select(
         "record_id", "x.field", "x.original_value", "x.final_value")
     if stamp:
         log = log.withColumn("changed_at", F.lit(datetime.now(timezone.utc)).cast("timestamp"))
@@ -132,7 +169,21 @@ def status_allowed(c: Column | None = None) -> Column:
     return (F.col("status") if c is None else c).isin(*STATUSES)
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    """Append-only audit trail (Parquet, one directory)."""
-    log.write.mode("append").parquet(path)
+def append_log(log: DataFrame, path: str, save_id: str) -> None:
+    """Add one save to the audit trail at ``path``, exactly once: its rows are the partition ``save_id``, which a repeated try replaces,
+    and it counts from the moment its commit is written."""
+    def put(df: DataFrame, folder: str) -> None:
+        rows = df.withColumn("save_id", F.lit(f"save-{save_id}"))  # never taken for a number
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("save_id").parquet(f"{path}/{folder}")
+
+    put(log, "saves")
+    put(log.sparkSession.range(1).select(F.current_timestamp().alias("committed_at")), "commits")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed saves, with their ``save_id``."""
+    def partitioned(folder: str) -> DataFrame:
+        df = spark.read.parquet(f"{path}/{folder}")
+        return df.withColumn("save_id", F.substr("save_id", F.lit(len("save-") + 1)))
 
+    return partitioned("saves").join(partitioned("commits").select("save_id"), "save_id", "left_semi")

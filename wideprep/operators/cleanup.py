@@ -9,15 +9,17 @@ the unique ordinal ``_row_id``, which spreads evenly.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from wideprep.functions.dates import standardize_date
 from wideprep.functions.numbers import num_comma, num_comma_array_sql, ref
 from wideprep.operators.ordinal import ROW_ID, with_ordinal
+from wideprep.session import new_table_path
 
 # --- FIXED VALUES: action labels as offered to the analyst -----------------------
 NEGATIVE_ACTIONS = {
@@ -28,8 +30,10 @@ NEGATIVE_ACTIONS = {
 }
 KEEP_POLICIES = {"Keep first": "first", "Keep last": "last", "Delete all duplicates": "none"}
 
-# parts a hot key is split into by rows_with
+# parts a header shared by many uploads, or a dictionary entry, is split into
 SALTS = 16
+# rows of one key that a task takes whole, at least
+KEY_ROWS = 50_000
 
 
 def negative_value(c: Column, action: str, dtype=None) -> Column:
@@ -108,19 +112,36 @@ def duplicate_report(df: DataFrame, keys: list[str] | None = None, row_id: str =
     """Every row of every key group with more than one row. Keys absent from
     the table are ignored; no usable key -> whole-row duplicates."""
     k = _keys(df, keys, row_id)
-    dup = _key_stats(df, k, row_id).where(F.col("_n") > 1).select(*[F.col(ref(c)).alias(f"_k{i}") for i, c in enumerate(k)])
+    dup = _key_stats(df, k, row_id).where(F.col("_n") > 1).select(*[F.col(ref(c)).alias(f"_k{i}") for i, c in enumerate(k)], "_n")
     return rows_with(df, dup, [(F.col(ref(c)), f"_k{i}") for i, c in enumerate(k)], F.col(ref(row_id)))
 
 
-def rows_with(df: DataFrame, keys: DataFrame, pairs: list[tuple[Column, str]], spread: Column, salts: int = SALTS) -> DataFrame:
+def rows_with(df: DataFrame, keys: DataFrame, pairs: list[tuple[Column, str]], spread: Column, key_rows: int = KEY_ROWS) -> DataFrame:
     """Rows of ``df`` whose values equal a row of the distinct ``keys``
-    (NULLs equal). The keys are repeated for every salt and the rows dealt
-    over the salts by ``spread``, so a key that holds a third of the rows is
-    ``salts`` partitions' work, with or without adaptive skew handling."""
-    salted = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    cond = [value.eqNullSafe(F.col(name)) for value, name in pairs]
-    cond.append(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int") == F.col("_salt"))
-    return df.join(salted, cond, "left_semi")
+    (NULLs equal). ``keys`` holds ``_n``, the rows of each key, counted by an
+    aggregate that combines map-side; it is stored, so its size is known when
+    the join is planned. A key with more rows than a task's share of them
+    (``key_rows`` at least) is heavy: there are at most two for each shuffle
+    partition, which are broadcast to deal their rows over as many parts as
+    needed. All other keys are met once, without copies."""
+    spark = df.sparkSession
+    path = new_table_path(spark, "repeated-keys")
+    keys.write.parquet(path)
+    keys = spark.read.schema(keys.schema).parquet(path)
+    total, most = keys.agg(F.sum("_n"), F.max("_n")).first()
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(key_rows, -(-(total or 0) // parts))
+    same = [value.eqNullSafe(F.col(name)) for value, name in pairs]
+    if (most or 0) <= share:
+        return df.join(keys, same, "left_semi")
+    split = F.ceil(F.col("_n") / share).cast("int")
+    heavy = keys.where(F.col("_n") > share).select(*[F.col(name).alias(f"_h{name}") for _, name in pairs], split.alias("_parts"))
+    of = [value.eqNullSafe(F.col(f"_h{name}")) for value, name in pairs]
+    dealt = df.join(F.broadcast(heavy), of, "left").withColumn(
+        "_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")), F.lit(0)).cast("int"))
+    copies = keys.select("*", F.explode(F.sequence(F.lit(0), split - 1)).alias("_key_part"))
+    rows = dealt.join(copies, [*same, F.col("_part") == F.col("_key_part")], "left_semi")
+    return rows.select(*[F.col(ref(c)) for c in df.columns])
 
 
 def remove_duplicates(df: DataFrame, keys: list[str] | None = None, keep: str = "first",
@@ -179,13 +200,43 @@ class CleanupPlan:
     order: list[str] = field(default_factory=list)
 
 
+PLAN_SCHEMA = "version int, step_no int, setting string, value string"
+
+
+def save_plan(spark: SparkSession, path: str, version: int, plan: CleanupPlan | None) -> None:
+    """Keep a plan as rows, one a setting; no plan is the reset to the raw table, a version of one row without a setting. A version is
+    written once: a repeated try replaces it."""
+    settings = asdict(plan) if plan else {}
+    rows = [(version, i + 1, name, json.dumps(value)) for i, (name, value) in enumerate(settings.items())] or [(version, 0, None, None)]
+    out = spark.createDataFrame(rows, PLAN_SCHEMA)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+
+
+def load_plan(spark: SparkSession, path: str, version: int | None = None) -> CleanupPlan | None:
+    """A kept plan, by default the last version; None for a reset. An unknown version raises."""
+    kept = spark.read.parquet(path)
+    if version is None:
+        version = kept.agg(F.max("version")).first()[0]
+    rows = kept.where(F.col("version") == version).collect()  # a row a setting
+    if not rows:
+        raise KeyError(f"no plan version {version}")
+    settings = {r["setting"]: json.loads(r["value"]) for r in rows if r["setting"] is not None}
+    return CleanupPlan(**settings) if settings else None
+
+
+def replay(raw: DataFrame, spark: SparkSession, path: str, version: int | None = None, row_id: str = ROW_ID, renumber: bool = False) -> DataFrame:
+    """The immutable raw table under a kept plan; as it is after a reset."""
+    plan = load_plan(spark, path, version)
+    return raw if plan is None else apply_plan(raw, plan, row_id, renumber)
+
+
 def apply_plan(df: DataFrame, plan: CleanupPlan, row_id: str = ROW_ID, renumber: bool = False) -> DataFrame:
     """Run a cleanup plan. ``renumber=True`` gives the surviving rows a dense
     ordinal again (one sort on the old ordinal, materialised once)."""
     out = apply_negative_actions(df, {c: a for c, a in plan.negatives.items()
                                       if NEGATIVE_ACTIONS.get(a, a) != "none"})
     removed = False
-    if plan.duplicate_policy and KEEP_POLICIES.get(plan.duplicate_policy, plan.duplicate_policy) in ("first", "last", "none"):
+    if plan.duplicate_policy:  # an unknown one raises
         out = remove_duplicates(out, plan.duplicate_keys, plan.duplicate_policy, row_id)
         removed = True
     if plan.date_columns:

@@ -7,14 +7,16 @@ ordinal. Building it scales without a single-partition window:
 1. ``orderBy(order_cols)`` - range partitioning on the full (unique) order
    key, so a hot leading value is still spread over many partitions;
 2. ``monotonically_increasing_id`` = (partition index << 33) + position;
-3. the sorted rows are written once as Parquet under the shared storage
-   folder (``spark.checkpoint.dir``): the ids are now fixed, later reads
-   get column pruning and filter pushdown, and a lost executor re-reads
-   the files instead of re-sorting;
+3. the sorted rows are written as Parquet under the shared storage
+   folder (``spark.checkpoint.dir``): the positions are now fixed, and a lost
+   executor re-reads files instead of re-sorting;
 4. per-partition row counts (one row per partition, a bounded table) are
-   turned into start offsets with a window over that tiny table, stored
-   beside the rows once, and broadcast back: ``_row_id = offset +
-   position + 1``. A read of the rows never counts them again.
+   turned into start offsets with a window over that tiny table and
+   broadcast back: ``_row_id = offset + position + 1``. The numbered rows are
+   written again, without a shuffle and in the same order. Each file
+   then holds one range of ids, disjoint from all others and known from its
+   footer, so a filter on ids is pushed down and skips files, and no
+   read meets an offset again.
 
 The order key must be unique, otherwise equal keys may come back in any
 order; ``with_ordinal`` can check that (one extra aggregate).
@@ -51,19 +53,18 @@ def store_sorted(df: DataFrame, order_cols: list, name: str = "ordinal", drop=()
 
 
 def attach_ordinal(stored: DataFrame, name: str = ROW_ID) -> DataFrame:
-    """Turn the stored ``_mid`` into a dense 1-based ordinal. One scan of
-    ``_mid`` alone finds the offsets, which are stored."""
+    """Turn the stored ``_mid`` into a stored dense 1-based ordinal. One scan of
+    ``_mid`` alone finds the offsets."""
     spark = stored.sparkSession
     counts = stored.groupBy(_partition_of(F.col(_MID)).alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    path = new_table_path(spark, "offsets")
-    offsets.coalesce(1).write.parquet(path)  # one row a partition
-    offsets = spark.read.parquet(path)
-    joined = stored.join(F.broadcast(offsets), _partition_of(F.col(_MID)) == F.col("_pid"))
+    joined = stored.join(F.broadcast(offsets), _partition_of(F.col(_MID)) == F.col("_pid"))  # one row a partition
     rid = (F.col("_off") + _position_in(F.col(_MID)) + 1).alias(name)
-    keep = [c for c in stored.columns if c != _MID]
-    return joined.select(rid, *keep)
+    keep = [F.col("`" + c.replace("`", "``") + "`") for c in stored.columns if c != _MID]
+    path = new_table_path(spark, "numbered")
+    joined.select(rid, *keep).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def with_ordinal(df: DataFrame, order_cols: list, name: str = ROW_ID, check_unique: bool = False) -> DataFrame:

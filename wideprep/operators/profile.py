@@ -23,7 +23,6 @@ from wideprep.functions.numbers import num_comma, ref
 from wideprep.functions.text import is_blank
 from wideprep.operators.cleanup import rows_with
 from wideprep.operators.ordinal import ROW_ID
-from wideprep.session import new_table_path
 
 COLUMN_FIGURES = ("column_name", "col_ordinal", "missing", "parsed", "is_numeric", "negatives", "is_date")
 
@@ -105,10 +104,8 @@ def exact_duplicates(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
     # position and NULLs count: a value moved to the next column is another row
     hashed = df.select(*cols, F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in cols]).alias("_hash"),
                        (F.col(ref(row_id)) if row_id in df.columns else F.monotonically_increasing_id()).alias("_spread"))
-    twice = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("_hash").alias("_twice"))
-    path = new_table_path(df.sparkSession, "row-hashes")
-    twice.write.parquet(path)  # its size is known from here on: a short list is broadcast, and wide rows stay where they are
-    twice = df.sparkSession.read.parquet(path)
+    twice = hashed.groupBy(F.col("_hash").alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # stored there, so its size is known: a short list is broadcast, and wide rows stay where they are
     groups = rows_with(hashed, twice, [(F.col("_hash"), "_twice")], F.col("_spread")).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("exact_duplicates"))
 

@@ -27,6 +27,7 @@ from wideprep.operators.ordinal import ROW_ID
 
 EXACT = "decimal(38,18)"
 EXACT_BELOW = 1e15
+LINE_CELL, LINE_PERIOD, LINE_GROUP, LINE_GRAND = "cell", "period total", "group total", "grand total"
 SUMMARY_SCHEMA = ("source_measure string, output_measure string, input_total double, output_total double, "
                   "difference double, tolerance double, match boolean")
 
@@ -45,6 +46,14 @@ def _sums(cell: str, side: str) -> list[Column]:
             F.sum(F.when(~small, v)).alias(f"_{side}_rough"), F.sum(v).alias(f"_{side}_all")]
 
 
+def _added(side: str) -> list[Column]:
+    """:func:`_sums` of lines that hold such sums; an exact sum that a line could not hold is not held by its total either."""
+    exact, n = F.col(f"_{side}_exact"), F.col(f"_{side}_n")
+    held = F.bool_and(exact.isNotNull() | (n == 0))
+    return [F.when(held, F.try_sum(exact)).alias(f"_{side}_exact"), F.sum(n).alias(f"_{side}_n"),
+            F.sum(f"_{side}_rough").alias(f"_{side}_rough"), F.sum(f"_{side}_all").alias(f"_{side}_all")]
+
+
 def _result(tolerance: float) -> list[Column]:
     """input_total, output_total, difference, match of aggregated :func:`_sums`."""
     def exact(s):
@@ -157,9 +166,11 @@ def _cells(df: DataFrame, periods: list[str], keep: list[Column]) -> DataFrame:
 
 def reconcile_periods(source: DataFrame, output: DataFrame, periods: list[str] | None = None,
                       groups: list[str] | None = None, tolerance: float = TOLERANCE, row_id: str = ROW_ID,
-                      source_groups: str = "lineage", zeros: bool = False) -> DataFrame:
+                      source_groups: str = "lineage", zeros: bool = False, totals: bool = False) -> DataFrame:
     """Every period column at once: (groups..., period, input_total,
-    output_total, difference, match).
+    output_total, difference, match). ``totals`` adds a column ``line`` and
+    total lines: of each period, of each group, and the grand total, added up
+    from the partial sums of the lines, one small row a line.
 
     Both sides are unpivoted to sparse cells and summed by (groups, period)
     in one hash aggregate (partial aggregation before the shuffle). A source
@@ -194,7 +205,18 @@ def reconcile_periods(source: DataFrame, output: DataFrame, periods: list[str] |
         both = both.unionByName(grid.select(*g, F.explode(F.array(*[F.lit(p) for p in periods])).alias("period"),
                                             none.alias("_in"), none.alias("_out")))
     agg = both.groupBy(*g, "period").agg(*_sums("_in", "in"), *_sums("_out", "out"))
-    return agg.select(*g, "period", *_result(tolerance))
+    if not totals:
+        return agg.select(*g, "period", *_result(tolerance))
+    of_groups = [F.col(ref(c)) for c in g]
+    sets = [[*of_groups, F.col("period")], [F.col("period")], of_groups, []] if g else [[F.col("period")], []]
+    lines = agg.groupingSets(sets, *of_groups, F.col("period")).agg(
+        *_added("in"), *_added("out"), F.grouping("period").alias("_over_periods"), (F.grouping(g[0]) if g else F.lit(0)).alias("_over_groups"))
+    over_groups, over_periods = F.col("_over_groups") == 1, F.col("_over_periods") == 1
+    if not g:
+        line = F.when(over_periods, LINE_GRAND).otherwise(LINE_CELL)
+    else:
+        line = F.when(over_groups & over_periods, LINE_GRAND).when(over_groups, LINE_PERIOD).when(over_periods, LINE_GROUP).otherwise(LINE_CELL)
+    return lines.select(line.alias("line"), *g, "period", *_result(tolerance))
 
 
 def slice_candidates(source: DataFrame, output: DataFrame, row_id: str = ROW_ID) -> list[str]:

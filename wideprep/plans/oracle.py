@@ -184,6 +184,17 @@ SELECT region, period, CAST(i AS DOUBLE) AS input_total, CAST(o AS DOUBLE) AS ou
 FROM l"""
 
 
+def reconcile_period_totals() -> str:
+    base = reconcile_periods()
+    head, tail = base.rsplit("\nSELECT region, period,", 1)
+    return f"""{head}
+SELECT CASE WHEN grouping(region) = 0 AND grouping(period) = 0 THEN 'cell' WHEN grouping(period) = 0 THEN 'period total'
+            WHEN grouping(region) = 0 THEN 'group total' ELSE 'grand total' END AS line,
+       region, period, CAST(sum(i) AS DOUBLE) AS input_total, CAST(sum(o) AS DOUBLE) AS output_total,
+       CAST(sum(o) - sum(i) AS DOUBLE) AS difference, abs(sum(o) - sum(i)) <= 0.01 AS match
+FROM l GROUP BY GROUPING SETS ((region, period), (period), (region), ())"""
+
+
 def _lcs(a: str, b: str) -> str:
     """LCS length of SQL strings a, b (DP rows with list_reduce)."""
     inner = (f"list_reduce(range(1, length({b}) + 1), lambda cur, j: list_append(cur, "
@@ -239,6 +250,7 @@ ORACLE = {
     "reconcile_total": reconcile_total,
     "reconcile_slices": reconcile_slices,
     "reconcile_periods": reconcile_periods,
+    "reconcile_period_totals": reconcile_period_totals,
     "classify_headers": classify_headers,
 }
 
@@ -311,6 +323,8 @@ def _negatives(kind: str) -> str:
         v = num_comma(p)
         if kind == "abs":
             return f"abs({v})"
+        if kind == "none":
+            return v
         if kind == "zero":
             return f"CASE WHEN {v} < 0 THEN 0.0::DOUBLE ELSE {v} END"
         return f"CASE WHEN {v} < 0 THEN NULL ELSE {v} END"
@@ -326,6 +340,14 @@ def negatives_zero() -> str:
     return _negatives("zero")
 
 
+def negatives_none() -> str:
+    return _negatives("none")
+
+
+def plan_reset() -> str:
+    return f"WITH shipments AS ({shipments_cte()})\nSELECT {_all_cols()} FROM shipments"
+
+
 def negatives_null() -> str:
     return _negatives("null")
 
@@ -409,6 +431,9 @@ ORACLE.update({
     "dates_standardized": dates_standardized,
     "manage_columns": manage_columns,
     "cleanup_plan": cleanup_plan,
+    "plan_reset": plan_reset,
+    "plan_replayed": cleanup_plan,
+    "negatives_none": negatives_none,
 })
 
 
@@ -663,6 +688,24 @@ SELECT channel, region, CAST(sum(vin) AS DOUBLE) AS input_total, CAST(sum(vout)
 FROM j GROUP BY channel, region"""
 
 
+def slice_sizes() -> str:
+    dims = [DIM_COLUMNS[d] for d in DIMS]
+    columns = dims + list(PERIOD_COLUMNS)
+    rows = " UNION ALL ".join(f"SELECT CAST({i + 1} AS INTEGER) AS place, {q(c)} AS column_name, count(DISTINCT {c}) AS slices FROM output"
+                              for i, c in enumerate(columns))
+    return f"WITH {output_cte()}\n{rows}"
+
+
+def duplicate_keys_suggested() -> str:
+    return f"""SELECT dataset, col_ordinal, source_column,
+       CAST(row_number() OVER (PARTITION BY dataset ORDER BY col_ordinal) AS INTEGER) AS key_rank
+FROM ({_uploads()}) WHERE regexp_matches(source_column, '(?i)sku|item|product|country|date|period|channel') QUALIFY key_rank <= 4"""
+
+
+def quality_report_empty() -> str:
+    return f"{quality_report()} LIMIT 0"
+
+
 def _output_columns() -> list[str]:
     return ["record_id", *[DIM_COLUMNS[d] for d in DIMS], *PERIOD_COLUMNS, "confidence", "status", "recommendation_source",
             "analyst_comment"]
@@ -685,6 +728,17 @@ SELECT record_id, 'confidence' AS field, CAST(confidence AS VARCHAR) AS original
 FROM output WHERE status = 'Incomplete'"""
 
 
+def version_records() -> str:
+    gone = "FROM output WHERE status = 'Incomplete' AND record_id LIKE '%0'"
+    return f"""WITH {output_cte()}
+SELECT record_id, '(record)' AS field, 'present' AS original_value, CAST(NULL AS VARCHAR) AS final_value {gone}
+UNION ALL SELECT record_id || '-B', '(record)', NULL, 'present' {gone}"""
+
+
+def appended_log() -> str:
+    return f"SELECT *, CASE WHEN field = 'region' THEN '1' ELSE '2' END AS save_id FROM ({audit_log()})"
+
+
 def rejected_edits() -> str:
     return f"""WITH {output_cte()}
 SELECT record_id, field, value FROM output,
@@ -714,10 +768,20 @@ def delivered_csv() -> str:
     return f"WITH shipments AS ({shipments_cte()})\nSELECT {', '.join(map(cell, DIM_HEADERS))} FROM shipments"
 
 
+def delivered_output() -> str:
+    return standardize_shipments()
+
+
 def delivered_bundle() -> str:
-    return f"""SELECT 'data_quality_report' AS member, field, count(*) AS rows FROM ({quality_report()}) GROUP BY field
-UNION ALL SELECT 'user_change_audit', field, count(*) FROM ({audit_log()}) GROUP BY field
-UNION ALL SELECT 'run_manifest', 'shipments', count(*) FROM ({record_ids()})"""
+    counts = {"standardized_output": record_ids(), "data_quality_report": quality_report(), "duplicate_report": duplicate_report(),
+              "reconciliation_detail": reconcile_slices(), "user_change_audit": audit_log(), "profiling_report": "SELECT 1",
+              "reconciliation_summary": "SELECT 1", "column_classification": f"SELECT unnest(range({len(HEADERS)}))"}
+    split = ("data_quality_report", "user_change_audit")
+    parts = [f"SELECT {q(m)} AS member, field, count(*) AS rows FROM ({sql}) GROUP BY field" if m in split
+             else f"SELECT {q(m)} AS member, '' AS field, count(*) AS rows FROM ({sql})" for m, sql in counts.items()]
+    parts += [f"SELECT 'manifest', {q(m)}, count(*) FROM ({sql})" for m, sql in counts.items()]
+    parts.append(f"SELECT 'run_manifest', 'shipments', count(*) FROM ({record_ids()})")
+    return "\nUNION ALL ".join(parts)
 
 
 def profile_dense() -> str:
@@ -742,6 +806,6 @@ FROM f"""
 
 ORACLE.update({f.__name__: f for f in (
     classify_uploads, overlay_uploads, override_uploads, overlaid_sources, dictionary_joined, reconcile_differences, reconcile_slice_differences,
-    output_measures, locked_column_changes, rejected_edits, quality_after_edits, quality_preview, delivered_csv, delivered_bundle,
-    profile_dense)})
-ORACLE.update({"version_changes": audit_log, "appended_log": audit_log})
+    output_measures, locked_column_changes, rejected_edits, quality_after_edits, quality_preview, delivered_csv, delivered_output,
+    delivered_bundle, profile_dense, version_records, appended_log, slice_sizes, duplicate_keys_suggested, quality_report_empty)})
+ORACLE.update({"version_changes": audit_log})

@@ -69,6 +69,30 @@ def output_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _CACHE[k]
 
 
+def version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical output as the first stored version: bucketed by record id, so that versions meet without a shuffle."""
+    from wideprep.operators.audit import store_version
+
+    k = _key(spark, sf_dir, "version")
+    with _LOCK:
+        if k not in _CACHE:
+            _CACHE[k] = store_version(output_stored(spark, sf_dir).drop("_row_id"))
+        return _CACHE[k]
+
+
+def edited_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second stored version: the first with the analyst's edits."""
+    from wideprep.operators.audit import apply_edits, store_version
+    from wideprep.plans.queries import analyst_edits
+
+    k = _key(spark, sf_dir, "edited_version")
+    with _LOCK:
+        if k not in _CACHE:
+            first = version(spark, sf_dir)
+            _CACHE[k] = store_version(apply_edits(first, analyst_edits(first)), placed=True)
+        return _CACHE[k]
+
+
 def period_columns(spark: SparkSession, sf_dir: str) -> list[str]:
     out = output(spark, sf_dir)
     return [c for c in HEADERS if c in out.columns]

@@ -7,6 +7,8 @@ in ``plans.oracle``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,12 @@ def reconcile_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reconcile_periods(src, out, P.period_columns(spark, sf_dir), groups=["region"], zeros=True)
 
 
+def reconcile_period_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R8 with its total lines: by region and period, by either, and over all."""
+    src, out = P.source(spark, sf_dir), P.output_stored(spark, sf_dir)
+    return R.reconcile_periods(src, out, P.period_columns(spark, sf_dir), groups=["region"], zeros=True, totals=True)
+
+
 def classify_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1-C4 over the headers of every driver table and of ``shipments``."""
     from wideprep.operators.classify import classify_columns, header_catalogue
@@ -101,6 +109,7 @@ REGISTRY = {
     "reconcile_total": reconcile_total,
     "reconcile_slices": reconcile_slices,
     "reconcile_periods": reconcile_periods,
+    "reconcile_period_totals": reconcile_period_totals,
     "classify_headers": classify_headers,
 }
 
@@ -204,17 +213,55 @@ def manage_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
                order=["ITEM_CODE", "ORDER_REF"])
 
 
-def cleanup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Negatives -> dedup -> dates -> columns, rows renumbered densely."""
-    from wideprep.operators.cleanup import CleanupPlan, apply_plan
+def _plan(spark: SparkSession, sf_dir: str):
+    from wideprep.operators.cleanup import CleanupPlan
 
-    plan = CleanupPlan(
+    return CleanupPlan(
         negatives={c: "Convert to positive" for c in _negative_columns(spark, sf_dir)},
         duplicate_keys=DUP_KEYS, duplicate_policy="Keep first",
         date_columns=["SHIP_DATE"], date_format="DD/MM/YYYY", dayfirst=True,
         delete=["LINE_NO"], rename={"ORDER_NO": "ORDER_REF"},
     )
-    return apply_plan(P.source(spark, sf_dir), plan, renumber=True)
+
+
+def cleanup_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives -> dedup -> dates -> columns, rows renumbered densely."""
+    from wideprep.operators.cleanup import apply_plan
+
+    return apply_plan(P.source(spark, sf_dir), _plan(spark, sf_dir), renumber=True)
+
+
+def _kept_plans(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of plan versions: the plan, a reset, the plan again."""
+    from wideprep.operators.cleanup import save_plan
+    from wideprep.session import new_table_path
+
+    path = new_table_path(spark, "plans")
+    for version, plan in enumerate((_plan(spark, sf_dir), None, _plan(spark, sf_dir))):
+        save_plan(spark, path, version + 1, plan)
+    return path
+
+
+def plan_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second version, a reset: the raw table."""
+    from wideprep.operators.cleanup import replay
+
+    return replay(P.source(spark, sf_dir), spark, _kept_plans(spark, sf_dir), 2)
+
+
+def plan_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version replayed after the reset."""
+    from wideprep.operators.cleanup import replay
+
+    return replay(P.source(spark, sf_dir), spark, _kept_plans(spark, sf_dir), renumber=True)
+
+
+def negatives_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The period columns read as numbers and nothing done to them; a column that is not there changes nothing."""
+    from wideprep.operators.cleanup import apply_negative_actions
+
+    actions = {c: "Do nothing" for c in _negative_columns(spark, sf_dir)}
+    return apply_negative_actions(P.source(spark, sf_dir), actions | {"NOT_A_COLUMN": "Replace with zero"})
 
 
 REGISTRY.update({
@@ -230,6 +277,9 @@ REGISTRY.update({
     "dates_standardized": dates_standardized,
     "manage_columns": manage_columns,
     "cleanup_plan": cleanup_plan,
+    "plan_reset": plan_reset,
+    "plan_replayed": plan_replayed,
+    "negatives_none": negatives_none,
 })
 
 
@@ -553,25 +603,50 @@ def reconcile_slice_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
                               ["channel", "no_group", "region", "channel"])
 
 
+def slice_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns a reconciliation may be sliced by, in order, each with its number of slices."""
+    src, out = P.source(spark, sf_dir), P.output_stored(spark, sf_dir)
+    columns = R.slice_candidates(src, out)
+    cell = F.posexplode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(ref(c)).cast("string").alias("v")) for c in columns])).alias("i", "x")
+    values = out.select(cell).select((F.col("i") + 1).alias("place"), "x.column_name", "x.v").distinct()
+    return values.groupBy("place", "column_name").agg(F.count("v").alias("slices"))
+
+
+def duplicate_keys_suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10 over the headers of one upload a customer."""
+    from wideprep.operators.profile import suggested_keys
+
+    return suggested_keys(uploads_catalogue(spark, sf_dir))
+
+
+def quality_report_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4: the exception report of the records that lack nothing: no row, the report's columns."""
+    out = P.output_stored(spark, sf_dir)
+    complete = [F.col(c) != "" for c in ("country", "region", "channel", "category", "brand", "sku", "fact")]
+    return Q.quality_report(out.where(reduce(lambda a, b: a & b, complete)))
+
+
 def output_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P11 over the whole standardised output."""
     return R.measure_shares(P.output_stored(spark, sf_dir).drop(ROW_ID))
 
 
 # --- review of stored versions -----------------------------------------------------------------
-def _edited_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wideprep.session import new_table_path
-
-    path = new_table_path(spark, "edited")
-    apply_edits(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: the cells in which two stored versions differ."""
     from wideprep.operators.audit import change_log
 
-    return change_log(P.output_stored(spark, sf_dir).drop(ROW_ID), _edited_version(spark, sf_dir))
+    return change_log(P.version(spark, sf_dir), P.edited_version(spark, sf_dir))
+
+
+def version_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: records that were removed (every tenth incomplete one) and added (its copy under another id) between versions."""
+    from wideprep.operators.audit import RECORD_FIELD, change_log
+
+    before = P.version(spark, sf_dir)
+    tenth = (F.col("status") == "Incomplete") & (F.col("record_id").substr(-1, 1) == "0")
+    after = before.where(~tenth).unionByName(before.where(tenth).withColumn("record_id", F.concat("record_id", F.lit("-B"))))
+    return change_log(before, after).where(F.col("field") == RECORD_FIELD)
 
 
 def locked_column_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -600,15 +675,16 @@ def quality_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: the log of two saves, read back from its folder."""
-    from wideprep.operators.audit import append_log
+    """A5: the log of two saves, the second one tried twice, read back from its folder."""
+    from wideprep.operators.audit import append_log, read_log
     from wideprep.session import new_table_path
 
     path = new_table_path(spark, "audit-trail")
     log = audit_log(spark, sf_dir)
-    append_log(log.filter("field = 'region'"), path)
-    append_log(log.filter("field <> 'region'"), path)
-    return spark.read.parquet(path)
+    append_log(log.filter("field = 'region'"), path, "1")
+    for _ in range(2):
+        append_log(log.filter("field <> 'region'"), path, "2")
+    return read_log(spark, path)
 
 
 # --- delivery read back ---------------------------------------------------------------------------
@@ -633,18 +709,45 @@ def delivered_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv_member(spark, path)
 
 
+def delivered_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K5: the standardised output, periods included, written as guarded CSV and read back in its types."""
+    from wideprep.operators.deliver import read_csv_member, write_csv
+    from wideprep.session import new_table_path
+
+    out = P.output_stored(spark, sf_dir).drop(ROW_ID)
+    path = new_table_path(spark, "csv")
+    write_csv(out, path)
+    kinds = dict(out.dtypes)
+    back = read_csv_member(spark, path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) if kinds[c] == "string" else F.col(c).cast(kinds[c]).alias(c) for c in out.columns])
+
+
+def bundle_members(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every member of the delivered bundle."""
+    return {
+        "standardized_output": P.output_stored(spark, sf_dir), "data_quality_report": quality_report(spark, sf_dir),
+        "column_classification": P.mapping(spark, sf_dir), "duplicate_report": duplicate_report(spark, sf_dir).select("ORDER_NO", "LINE_NO", "ITEM_CODE"),
+        "reconciliation_detail": reconcile_slices(spark, sf_dir), "user_change_audit": audit_log(spark, sf_dir),
+        "profiling_report": profile_table(spark, sf_dir), "reconciliation_summary": reconcile_total(spark, sf_dir)}
+
+
 def delivered_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: a bundle of report, log and manifest written, and the figures of its members read back."""
-    from wideprep.operators.deliver import read_csv_member, write_bundle
+    """K2-K4: a bundle of all nine members published, and the figures of its members read back."""
+    from wideprep.operators.deliver import BUNDLE_TABLES, publish_bundle, published_manifest, read_member
     from wideprep.session import new_table_path
 
     path = new_table_path(spark, "bundle")
-    names = write_bundle(path, {"data_quality_report": quality_report(spark, sf_dir), "user_change_audit": audit_log(spark, sf_dir),
-                                "duplicate_report": None}, {"run_manifest": delivery_manifest(spark, sf_dir)})
-    tables = [read_csv_member(spark, f"{path}/{n}").groupBy("field").agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(n).alias("member"), "field", "rows") for n in names if n != "run_manifest"]
-    manifest = spark.read.json(f"{path}/run_manifest").select(F.lit("run_manifest").alias("member"), F.col("source").alias("field"), "rows")
-    return tables[0].unionByName(tables[1]).unionByName(manifest)
+    names = publish_bundle(path, bundle_members(spark, sf_dir), reconcile_slices(spark, sf_dir), P.DATASET, stamp=False)
+    parts = []
+    for name in names:
+        if name == "run_manifest":
+            parts.append(published_manifest(spark, path).select(F.lit(name).alias("member"), F.col("source").alias("field"), "rows"))
+            continue
+        member = read_member(spark, path, name)
+        field = F.col("field") if name in BUNDLE_TABLES and "field" in member.columns else F.lit("")
+        parts.append(member.groupBy(field.alias("field")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("member"), "field", "rows"))
+    listed = published_manifest(spark, path).select(F.inline("members")).select(F.lit("manifest").alias("member"), F.col("member").alias("field"), "rows")
+    return reduce(DataFrame.unionByName, [*parts, listed])
 
 
 def profile_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -662,5 +765,5 @@ def profile_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY.update({f.__name__: f for f in (
     classify_uploads, overlay_uploads, override_uploads, overlaid_sources, dictionary_joined, reconcile_differences, reconcile_slice_differences,
-    output_measures, version_changes, locked_column_changes, rejected_edits, quality_after_edits, appended_log, quality_preview,
-    delivered_csv, delivered_bundle, profile_dense)})
+    slice_sizes, duplicate_keys_suggested, quality_report_empty, output_measures, version_changes, version_records, locked_column_changes, rejected_edits, quality_after_edits, appended_log, quality_preview,
+    delivered_csv, delivered_output, delivered_bundle, profile_dense)})
