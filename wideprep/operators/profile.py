@@ -1,8 +1,8 @@
 """Profiling: per-column and whole-table quality figures in few passes.
 
 * per-column counts (missing, parsed as number, negative, parsed as date) -
-  cells unpivoted with ``stack``, empty ones dropped, each read once, one
-  small hash aggregate by column index;
+  filled cells unpivoted, each read once and only as what its first
+  character allows, one small hash aggregate by column index;
 * exact duplicate rows - a 64-bit row hash is counted first; only rows whose
   hash occurs twice are compared whole. The hashes that occur twice are
   stored first (the one eager job), so the join with the wide rows is
@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
-from wideprep.constants import DATE_NAME_HINTS, DATE_SHARE, DUP_KEY_HINTS, DUP_KEY_MAX, NUMERIC_SHARE
+from wideprep.constants import BLANK_TOKENS, DATE_NAME_HINTS, DATE_SHARE, DUP_KEY_HINTS, DUP_KEY_MAX, NUMERIC_SHARE
 from wideprep.functions.dates import parse_date
-from wideprep.functions.numbers import num_comma, ref
-from wideprep.functions.text import is_blank
+from wideprep.functions.numbers import filled_cells_sql, num_comma, ref
+from wideprep.functions.text import is_blank, strip_ws
 from wideprep.operators.cleanup import rows_with
 from wideprep.operators.ordinal import ROW_ID
 
@@ -36,16 +36,21 @@ def _column_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     counts the rows).
 
     Cells are unpivoted to (column index, text); a marker cell stands for the
-    row itself. Only non-NULL cells are read (wide tables are mostly empty),
-    number and date once each. The hash group by column index combines
-    map-side to one row per column per task, so the map has at most one
-    entry per column.
+    row itself. Only non-NULL cells become rows (wide tables are mostly
+    empty). A cell is stripped once; its length and first character tell
+    whether it can spell a missing value, a number or a date, and only then
+    is it read as one. The hash group by column index combines map-side to
+    one row per column per task, so the map has at most one entry per column.
     """
-    args = ", ".join(["-1, ''"] + [f"{i}, CAST({ref(c)} AS STRING)" for i, c in enumerate(cols)])
-    long = df.selectExpr(f"stack({len(cols) + 1}, {args}) AS (i, v)").where("v IS NOT NULL")
+    long = df.select(F.expr(filled_cells_sql(["''"] + [f"CAST({ref(c)} AS STRING)" for c in cols])))
+    long = long.select((F.col("i") - 1).alias("i"), strip_ws(F.col("v")).alias("t")).select("i", "t", F.ascii("t").alias("first"))
     cell = F.col("i") >= 0
-    read = long.select("i", (cell & is_blank(F.col("v"))).alias("blank"), F.when(cell, num_comma(F.col("v"))).alias("num"),
-                       F.when(cell, parse_date(F.col("v"))).alias("day"))
+    digit = F.col("first").between(48, 57)
+    number = digit | F.col("first").isin(*map(ord, "+,-.iI"))
+    dated = digit | F.col("first").isin(*map(ord, "JFMASONDjfmasond"))
+    short = F.length("t") <= max(map(len, BLANK_TOKENS))
+    read = long.select("i", (cell & short & is_blank(F.col("t"))).alias("blank"), F.when(cell & number, num_comma(F.col("t"))).alias("num"),
+                       F.when(cell & dated, parse_date(F.col("t"))).alias("day"))
     groups = read.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.count_if("blank").alias("blank"),
                                    F.count("num").alias("parsed"), F.count_if(F.col("num") < 0).alias("negative"),
                                    F.count("day").alias("days"))

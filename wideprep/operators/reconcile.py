@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from wideprep.constants import DIM_COLUMNS, OUTPUT_NUMERIC_SHARE, TOLERANCE
 from pyspark.sql.types import NumericType
 
-from wideprep.functions.numbers import PANDAS_NUMBER, num_comma, ref, sql_literal
+from wideprep.functions.numbers import PANDAS_NUMBER, filled_cells_sql, num_comma, ref
 from wideprep.functions.text import WS_CHARS
 from wideprep.operators.ordinal import ROW_ID
 
@@ -148,20 +148,20 @@ def slice_label(groups: list[str]) -> Column:
 
 
 def _cells(df: DataFrame, periods: list[str], keep: list[Column]) -> DataFrame:
-    """Sparse long form: (keep..., period, _v) for the parseable cells only.
+    """Sparse long form: (keep..., _p, _v) with the period's place, for the parseable cells only.
 
-    Raw cells are unpivoted with ``stack`` and the empty ones dropped before
-    any parsing, so the number reader runs once per filled cell on one long
-    column instead of once per (row, period) in a wide expression.
+    Only filled cells become rows, before any parsing, so the number reader
+    runs once per filled cell on one long column instead of once per (row,
+    period) in a wide expression.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = all(isinstance(types[p], NumericType) for p in periods)
     cast = "DOUBLE" if numeric else "STRING"
-    args = ", ".join(f"{sql_literal(p)}, CAST({ref(p)} AS {cast})" for p in periods)
-    long = df.select(*keep, F.expr(f"stack({len(periods)}, {args}) AS (period, _raw)")).where("_raw IS NOT NULL")
+    names = [f"_keep{i}" for i in range(len(keep))]
+    long = df.select(*[k.alias(n) for k, n in zip(keep, names)], *[F.col(ref(p)) for p in periods]).select(
+        *names, F.expr(filled_cells_sql([f"CAST({ref(p)} AS {cast})" for p in periods])).alias("_p", "_raw"))
     value = F.expr("nullif(_raw, double('nan'))") if numeric else num_comma(F.col("_raw"))
-    names = [c for c in long.columns if c not in ("period", "_raw")]
-    return long.select(*names, "period", value.alias("_v"))
+    return long.select(*names, "_p", value.alias("_v"))
 
 
 def reconcile_periods(source: DataFrame, output: DataFrame, periods: list[str] | None = None,
@@ -187,24 +187,26 @@ def reconcile_periods(source: DataFrame, output: DataFrame, periods: list[str] |
         return spark.createDataFrame([], "period string, input_total double, output_total double, "
                                          "difference double, match boolean")
     none = F.lit(None).cast("double")
-    gcols = [F.col(f"`{c}`").cast("string").alias(c) for c in g]
+    gcols = [F.col(f"`{c}`").cast("string") for c in g]
+    kept = [f"_keep{i}" for i in range(len(g))]
     raw = source_groups == "raw" and all(c in source.columns for c in g)
     if not g or raw:
-        s = _cells(source, periods, gcols).select(*g, "period", F.col("_v").alias("_in"), none.alias("_out"))
+        s = _cells(source, periods, gcols).select(*kept, "_p", F.col("_v").alias("_in"), none.alias("_out"))
     else:
         if row_id not in source.columns or row_id not in output.columns:
             raise ValueError(f"lineage reconciliation needs {row_id} on both sides")
-        og = output.select(F.col(row_id).alias("_oid"), *[F.col(f"`{c}`").cast("string").alias(f"_g{i}") for i, c in enumerate(g)])
+        og = output.select(F.col(row_id).alias("_oid"), *[c.alias(f"_g{i}") for i, c in enumerate(gcols)])
         rows = source.select(F.col(row_id).alias("_sid"), *[F.col(ref(p)) for p in periods]).join(og, F.col("_sid") == F.col("_oid"), "left")
-        named = [F.col(f"_g{i}").alias(c) for i, c in enumerate(g)]
-        s = _cells(rows, periods, named).select(*g, "period", F.col("_v").alias("_in"), none.alias("_out"))
-    o = _cells(output, periods, gcols).select(*g, "period", none.alias("_in"), F.col("_v").alias("_out"))
+        s = _cells(rows, periods, [F.col(f"_g{i}") for i in range(len(g))]).select(*kept, "_p", F.col("_v").alias("_in"), none.alias("_out"))
+    o = _cells(output, periods, gcols).select(*kept, "_p", none.alias("_in"), F.col("_v").alias("_out"))
     both = s.unionByName(o)
     if zeros:
-        grid = output.select(*gcols).distinct() if g else spark.range(1).select()
-        both = both.unionByName(grid.select(*g, F.explode(F.array(*[F.lit(p) for p in periods])).alias("period"),
+        grid = output.select(*[c.alias(k) for c, k in zip(gcols, kept)]).distinct() if g else spark.range(1).select()
+        both = both.unionByName(grid.select(*kept, F.explode(F.sequence(F.lit(0), F.lit(len(periods) - 1))).alias("_p"),
                                             none.alias("_in"), none.alias("_out")))
-    agg = both.groupBy(*g, "period").agg(*_sums("_in", "in"), *_sums("_out", "out"))
+    agg = both.groupBy(*kept, "_p").agg(*_sums("_in", "in"), *_sums("_out", "out"))
+    named = F.array(*[F.lit(p) for p in periods])[F.col("_p")].alias("period")
+    agg = agg.select(*[F.col(k).alias(c) for k, c in zip(kept, g)], named, *[c for c in agg.columns if c not in kept and c != "_p"])
     if not totals:
         return agg.select(*g, "period", *_result(tolerance))
     of_groups = [F.col(ref(c)) for c in g]
@@ -229,8 +231,7 @@ def measure_shares(output: DataFrame) -> DataFrame:
     """column_name, parsed, is_measure for every column: cells that are plain numbers (no commas), and whether their share
     of all rows is above ``OUTPUT_NUMERIC_SHARE``. Cells are unpivoted, empty ones dropped, each read once."""
     cols = output.columns
-    args = ", ".join(["-1, '0'"] + [f"{i}, CAST({ref(c)} AS STRING)" for i, c in enumerate(cols)])
-    long = output.selectExpr(f"stack({len(cols) + 1}, {args}) AS (i, v)").where("v IS NOT NULL")
+    long = output.select(F.expr(filled_cells_sql(["'0'"] + [f"CAST({ref(c)} AS STRING)" for c in cols]))).select((F.col("i") - 1).alias("i"), "v")
     text = F.btrim("v", F.lit(WS_CHARS))
     groups = long.select("i", F.when(text.rlike(PANDAS_NUMBER), text.try_cast("double")).alias("num")).groupBy("i").agg(
         F.count("num").alias("n"))

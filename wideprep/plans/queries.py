@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wideprep.operators import quality as Q
 from wideprep.operators import reconcile as R
 from wideprep.operators.ordinal import ROW_ID
-from wideprep.functions.numbers import ref
+from wideprep.functions.numbers import filled_cells_sql, ref
 from wideprep.plans import pipeline as P
 
 
@@ -28,20 +28,19 @@ def standardize_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shipments_by_channel_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the whole chain (standardise + aggregate) by channel x brand.
 
-    One pass: each output row is unpivoted to one marker row plus its filled
-    period cells (``stack``, empty cells dropped), then one hash aggregate
-    counts records and sums the cells exactly (partial aggregation before
-    the shuffle; no per-row 84-term decimal sum).
+    One pass: each output row is unpivoted to one marker row (a zero) plus its
+    filled period cells, then one hash aggregate counts records and sums the
+    cells exactly (partial aggregation before the shuffle; no per-row 84-term
+    decimal sum).
     """
     out = P.output(spark, sf_dir)
     periods = P.period_columns(spark, sf_dir)
-    args = ", ".join(f"false, {ref(p)}" for p in periods)
     long = out.select("channel", "brand", (F.col("status") == "Approved").alias("_ok"),
-                      F.expr(f"stack({len(periods) + 1}, true, CAST(NULL AS DOUBLE), {args}) AS (_row, _v)"))
-    long = long.where("_row OR _v IS NOT NULL")
+                      F.expr(filled_cells_sql(["0D"] + [ref(p) for p in periods])).alias("_i", "_v"))
+    row = F.col("_i") == 0
     return long.groupBy("channel", "brand").agg(
-        F.count_if(F.col("_row")).alias("records"),
-        F.count_if(F.col("_row") & F.col("_ok")).alias("approved"),
+        F.count_if(row).alias("records"),
+        F.count_if(row & F.col("_ok")).alias("approved"),
         F.coalesce(F.sum(F.col("_v").cast("decimal(38,6)")), F.lit(0).cast("decimal(38,6)")).cast("double")
         .alias("total_value"),
     )
