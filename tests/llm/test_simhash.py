@@ -3,6 +3,7 @@ from itertools import combinations
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from wideprep.llm import components, queries, simhash
 
@@ -95,3 +96,13 @@ def test_one_id_over_two_texts_keeps_each_component(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(docs).collect())
     assert kept == sorted([(3, a), (5, b), (7, c), (0, c + " x")])
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_rows_are_kept_by_number_either_way(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST_WORDS", most)
+    rows = spark.range(1000, numPartitions=3).select((F.col("id") * 7 + (F.col("id") % 3) * (1 << 33)).alias("n"), F.col("id").alias("__at"),
+                                                     F.lit("x").alias("__bits"))
+    keep = rows.filter("__at % 10 < 4").select("n")
+    got = simhash.rows_numbered(rows, keep, "n").select(*rows.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(tuple(r) for r in rows.filter("__at % 10 < 4").collect())

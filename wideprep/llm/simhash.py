@@ -35,6 +35,8 @@ SEED = 42
 BLOCK = 1024
 #: Entries that share a list by chance, on average, before lists are keyed by one more byte.
 CHANCE = 4
+#: Words of 64 row numbers that are broadcast at most, some 50 bytes each.
+BROADCAST_WORDS = 1_000_000
 A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -194,4 +196,17 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     prints, classes = _classes(numbered, key, text, shingle, max_bits, number)
     members = prints.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = store(members.groupBy("root").agg(F.min(F.struct("fp", "row")).alias("first")).select(F.col("first.row").alias(number)), "kept")
-    return numbered.join(keep, number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows_numbered(numbered, keep, number).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def rows_numbered(rows: DataFrame, keep: DataFrame, number: str) -> DataFrame:
+    """The rows whose ``number`` is in ``keep``. Numbers run on inside a stored file, so 64 of them are one word of bits; up to
+    ``BROADCAST_WORDS`` words are broadcast and no row is shuffled. More are met by a join on the number."""
+    at, bits = new_name(rows, "at"), new_name(rows, "bits")
+    words = keep.groupBy(F.shiftright(number, 6).alias(at)).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(number).bitwiseAND(63).cast("int"))).alias(bits))
+    words = store(words, "kept-words")
+    if words.count() > BROADCAST_WORDS:
+        return rows.join(keep, number, "left_semi")
+    met = rows.join(F.broadcast(words), F.shiftright(number, 6) == F.col(at))
+    return met.filter(F.getbit(F.col(bits), F.col(number).bitwiseAND(63).cast("int")) == 1)
