@@ -32,7 +32,8 @@ from pyspark.sql.window import Window
 
 from .common import arrow_map, store
 
-TABLES = 16
+#: Every vector is written once a table. Four tables with fewer projections find as much as sixteen, in less time.
+TABLES = 4
 PROBES = 480
 WIDTH = 2.0
 PART_ROWS = 16_384
@@ -106,8 +107,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1, keepdims=True))
 
 
-def _bytes(m: np.ndarray) -> list[bytes]:
-    return [row.tobytes() for row in np.ascontiguousarray(m, "<f8")]
+def _bytes(m: np.ndarray, kind: str = "<f8") -> list[bytes]:
+    return [row.tobytes() for row in np.ascontiguousarray(m, kind)]
 
 
 def sample_neighbours(rows: DataFrame, is_query: Column, k: int, sample: int = SAMPLE) -> DataFrame:
@@ -182,6 +183,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     """query_id, rank, vec_id, score for each query row's ``k`` nearest; ``is_query`` is a condition on column ``id``. Without
     ``hashes`` the number of projections is set by measured recall."""
     rows = store(usable(vectors, key, vector), "vectors")
+    # single-precision input is shuffled as such: scaled by powers of two it loses nothing
+    kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
     shape = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     count, dimension = shape["n"], shape["d"] or 1
     if hashes is None:
@@ -214,7 +217,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
 
         def work(batch):
             m = _matrix(batch["vec"])
-            unit, ids, raw = _unit(m), batch["id"].to_pylist(), _bytes(m)
+            unit, ids, raw = _unit(m), batch["id"].to_pylist(), _bytes(m, kind)
             out = {"t": [], "p": [], "id": [], "key": [], "vec": []}
             for t in range(tables):
                 keys = family.keys(t, np.floor(family.project(t, unit)))
@@ -232,7 +235,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
 
         def work(batch):
             m = _matrix(batch["vec"])
-            unit, raw = _unit(m), _bytes(m)
+            unit, raw = _unit(m), _bytes(m, kind)
             out = {"t": [], "p": [], "id": [], "keys": [], "vec": []}
             for t in range(tables):
                 projected = family.project(t, unit)
@@ -259,10 +262,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
             keys, ids = left.column("key").to_numpy(), left.column("id").to_numpy()
             order = np.lexsort((ids, keys))
             keys, ids = keys[order], ids[order]
-            m = np.frombuffer(b"".join(left.column("vec").to_pylist()), "<f8").reshape(len(ids), -1)[order]
+            m = np.frombuffer(b"".join(left.column("vec").to_pylist()), kind).reshape(len(ids), -1)[order].astype(np.float64)
             norms = np.sqrt((m * m).sum(1))
             for q, probed, raw in zip(right.column("id").to_pylist(), right.column("keys").to_pylist(), right.column("vec").to_pylist()):
-                v = np.frombuffer(raw, "<f8")
+                v = np.frombuffer(raw, kind).astype(np.float64)
                 lo, hi = np.searchsorted(keys, probed, "left"), np.searchsorted(keys, probed, "right")
                 at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi) if a < b] or [np.zeros(0, np.int64)])
                 at = at[ids[at] != q]
