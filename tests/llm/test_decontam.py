@@ -50,3 +50,17 @@ def test_cases(messy, empty, spark):
     kept = decontam.drop_contaminated(messy, bench)
     assert kept.columns == messy.columns and kept.count() == messy.count() - 4
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(messy, bench.limit(0)).count() == 0
+
+
+def test_one_text_under_many_ids_is_searched_once(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 20)
+    text = " ".join(f"q{j}" for j in range(20))
+    items = [(i, text) for i in range(300)] + [(i, " ".join(f"z{i}x{j}" for j in range(9))) for i in range(300, 330)] + [(300, text)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts, rows = decontam._item_texts(bench, "item_id", "text", 5, 96)
+    blocks = list(decontam._blocks(texts, decontam.Signatures(5, 96)))
+    assert texts.count() == 31 and rows.count() == len(items) and max(len(b.items) for b in blocks) <= 20
+    docs = spark.createDataFrame([(1, f"a {text} b"), (2, "nothing")], "doc_id long, text string")
+    found = decontam.contaminated(docs, bench).collect()
+    assert sorted(r["item_id"] for r in found) == [*range(300), 300] and {r["doc_id"] for r in found} == {1}
+    assert [r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()] == [2]

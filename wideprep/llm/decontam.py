@@ -4,30 +4,33 @@ Items are short and documents long, so the MinHash of a whole document says litt
 partitioned by size (shingle counts from 2^c to below 2^(c+1)); for each class, a document is searched in overlapping windows
 of two class sizes, so that a passage of item size lies whole in one window and the Jaccard similarity of item and
 window has a floor that depends on the class alone. An item is a candidate if any of ``permutations`` minimums of a window equals
-the item's (bands of one row: with containment 0.8 the chance to miss is below 1e-6). Minimums are only computed for
+the item's (bands of one row: with containment 0.8 the chance to miss is below 1e-6). Items are found by an inverted index of
+(permutation, minimum), so a window costs the same with few items and with many. Minimums are only computed for
 windows that hold some shingle of some item; no other window can share one.
 
 Each candidate is verified exactly: the share of the item's distinct shingles that occur anywhere in the document must
 reach ``containment``; shingles are compared as words, not as hashes.
 
-Documents are scanned once for each block of items (at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters), whose index
-is broadcast; nothing about documents is shuffled.
+Equal item texts are one text for the search; ids come back by a join. Size classes and minimums of items are worked out in tasks. Documents
+are scanned once for each block of item texts (about ``BLOCK_ITEMS`` texts or ``BLOCK_CHARS`` characters, and at most half of either if
+they spread evenly), which is broadcast; nothing about documents is shuffled.
 
 Defined cases: words are runs of letters and digits in lower case; null, empty and shorter-than-a-shingle texts and
 items share nothing and match nothing; repeated rows and items match each; ties do not arise, every item above the
-threshold is returned; other columns are not read.
+threshold is returned; without documents or items there is no row; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, store
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -36,7 +39,7 @@ BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 32_000_000
 WORD = re.compile(r"[^\W_]+")
 MEMO = 200_000
-RESULT = "doc_id long, item_id long, shared long, item_shingles long, containment double"
+FOUND = "doc_id long, number long, shared long, item_shingles long, containment double"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,36 +73,14 @@ def shingle_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
     return _mix(out)
 
 
-class ItemIndex:
-    """Size classes of items with their MinHash values, and what verification needs."""
+class Signatures:
+    """The permutations, and size class and minimums of a set of shingle hashes."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, permutations: int):
+    def __init__(self, n: int, permutations: int):
         self.n = n
-        self.vocabulary: set[str] = set()
-        self.ids, self.shingles = [], []
         rng = np.random.default_rng(20240501)
         self.a = rng.integers(1, 2**63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 2**63, permutations, dtype=np.uint64)
-        hashes, self.classes = WordHashes(), {}
-        for item_id, text in items:
-            words = words_of(text)
-            grams = {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
-            if not grams:
-                continue
-            self.vocabulary.update(words)
-            h = np.unique(shingle_hashes(np.array([hashes[w] for w in words], np.uint64), n))
-            size = len(grams).bit_length() - 1
-            self.classes.setdefault(size, []).append((len(self.ids), self.minimums(h)))
-            self.ids.append(item_id)
-            self.shingles.append(grams)
-        self.known = {g for grams in self.shingles for g in grams}
-        self.classes = {c: (np.array([i for i, _ in x]), np.array([m for _, m in x])) for c, x in self.classes.items()}
-
-    @classmethod
-    def restored(cls, state: dict) -> ItemIndex:
-        index = cls.__new__(cls)
-        index.__dict__.update(state)
-        return index
 
     def minimums(self, h: np.ndarray) -> np.ndarray:
         out = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
@@ -107,9 +88,55 @@ class ItemIndex:
             out = np.minimum(out, _mix(h[i:i + 4096, None] * self.a + self.b).min(0))
         return out
 
+    def keys(self, minimums: np.ndarray) -> np.ndarray:
+        """One number for (permutation, minimum); numbers that agree by chance only add candidates."""
+        return _mix(minimums + np.arange(len(self.a), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def of(self, text: str | None, hashes: WordHashes) -> tuple[int, np.ndarray] | None:
+        """Size class and keys of an item; None if it is shorter than a shingle."""
+        words = words_of(text)
+        grams = {tuple(words[i:i + self.n]) for i in range(len(words) - self.n + 1)}
+        if not grams:
+            return None
+        h = np.unique(shingle_hashes(np.array([hashes[w] for w in words], np.uint64), self.n))
+        return len(grams).bit_length() - 1, self.keys(self.minimums(h))
+
+
+class ItemIndex:
+    """A block of item texts: (number, text, size class, keys). What the search needs is made when first used, once a process."""
+
+    def __init__(self, items: list[tuple[int, str, int, bytes]], signatures: Signatures):
+        self.items, self.signatures, self.classes = items, signatures, None
+
+    def ready(self) -> ItemIndex:
+        if self.classes is not None:
+            return self
+        n, by_class = self.signatures.n, {}
+        self.vocabulary, self.ids, self.shingles = set(), [], []
+        for number, text, size, keys in self.items:
+            words = words_of(text)
+            self.vocabulary.update(words)
+            by_class.setdefault(size, []).append((len(self.ids), np.frombuffer(keys, "<u8")))
+            self.ids.append(number)
+            self.shingles.append({tuple(words[i:i + n]) for i in range(len(words) - n + 1)})
+        self.known = {g for grams in self.shingles for g in grams}
+        self.classes = {}
+        for size, members in by_class.items():
+            keys = np.concatenate([k for _, k in members])
+            order = np.argsort(keys, kind="stable")
+            self.classes[size] = keys[order], np.repeat([i for i, _ in members], len(members[0][1]))[order]
+        return self
+
+    def sharing(self, size: int, h: np.ndarray) -> set[int]:
+        """Items of a class with some minimum of these shingle hashes."""
+        keys, owners = self.classes[size]
+        own = self.signatures.keys(self.signatures.minimums(h))
+        lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        return {int(x) for a, b in zip(lo, hi) if a < b for x in owners[a:b]}
+
     def search(self, words: list[str], hashes: WordHashes, containment: float) -> list[tuple[int, int, int, float]]:
         """(item_id, shared, item_shingles, containment) of the items found in a document."""
-        n = self.n
+        n = self.signatures.n
         if len(words) < n:
             return []
         # runs of n words that items know, first by their words, then whole
@@ -121,7 +148,7 @@ class ItemIndex:
         held = {tuple(words[i:i + n]) for i in at}
         positions, total = np.array(at), len(words) - n + 1
         candidates: set[int] = set()
-        for size, (numbers, minimums) in self.classes.items():
+        for size in self.classes:
             upper = 2 ** (size + 1)
             length = 2 * upper
             if total <= length:
@@ -132,8 +159,7 @@ class ItemIndex:
             for s in starts:
                 span = words[s:s + length + n - 1]
                 h = shingle_hashes(np.array([hashes[w] for w in span], np.uint64), n)
-                found = (minimums == self.minimums(np.unique(h))).any(1)
-                candidates.update(numbers[found].tolist())
+                candidates |= self.sharing(size, np.unique(h))
         out = []
         for c in sorted(candidates):
             shared, of = len(self.shingles[c] & held), len(self.shingles[c])
@@ -142,13 +168,36 @@ class ItemIndex:
         return out
 
 
-def _blocks(benchmark: DataFrame, key: str, text: str) -> list[DataFrame]:
-    """The items in parts of bounded size, by a hash of the id."""
-    items = benchmark.select(F.col(key).cast("long").alias("item_id"), F.col(text).cast("string").alias("item"))
-    items = items.filter("item is not null")
-    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars")).first()
+def _item_texts(benchmark: DataFrame, key: str, text: str, shingle: int, permutations: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct item texts with number, size class and keys, stored; and the rows (item_id, number)."""
+    rows = benchmark.select(F.col(key).cast("long").alias("item_id"), F.col(text).cast("string").alias("item")).filter("item is not null")
+
+    def make():
+        signatures, hashes = Signatures(shingle, permutations), WordHashes()
+
+        def work(batch):
+            out = {"item": [], "size": [], "keys": []}
+            for t in batch["item"].to_pylist():
+                signed = signatures.of(t, hashes)
+                if signed:
+                    for name, value in zip(out, (t, signed[0], signed[1].astype("<u8").tobytes())):
+                        out[name].append(value)
+            return out
+
+        return work
+
+    signed = arrow_map(rows.select("item").distinct(), ["item"], "item string, size int, keys binary", make)
+    texts = store(signed.withColumn("number", F.monotonically_increasing_id()), "item-texts")
+    return texts, rows.join(texts.select("item", "number"), "item").select("item_id", "number")
+
+
+def _blocks(texts: DataFrame, signatures: Signatures) -> Iterator[ItemIndex]:
+    """The item texts in parts of bounded size."""
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("item")), F.lit(0)).alias("chars")).first()
     parts = max(1, -(-size["n"] // (BLOCK_ITEMS // 2)), -(-size["chars"] // (BLOCK_CHARS // 2)))
-    return [items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == i) for i in range(parts)]
+    for i in range(parts):
+        part = texts.filter(F.pmod(F.xxhash64("number"), F.lit(parts)) == i)
+        yield ItemIndex([(r["number"], r["item"], r["size"], bytes(r["keys"])) for r in part.collect()], signatures)  # one block
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
@@ -157,40 +206,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """doc_id, item_id, shared, item_shingles, containment: one row for each item that a document holds."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("body"))
     context = docs.sparkSession.sparkContext
+    texts, items = _item_texts(benchmark, item_key, item_text, shingle, permutations)
     found = []
-    for block in _blocks(benchmark, item_key, item_text):
-        items = [(r["item_id"], r["item"]) for r in block.collect()]  # one block of bounded size
-        index = context.broadcast(vars(ItemIndex(items, shingle, permutations)))
+    for block in _blocks(texts, Signatures(shingle, permutations)):
+        index = context.broadcast(block)
 
         def make(index=index):
-            here, hashes = ItemIndex.restored(index.value), WordHashes()
+            here, hashes = index.value.ready(), WordHashes()
 
             def work(batch):
                 hits = [(d, *hit) for d, t in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist())
                         for hit in here.search(words_of(t), hashes, containment)]
-                return {k: [h[i] for h in hits] for i, k in enumerate(("doc_id", "item_id", "shared", "item_shingles", "containment"))}
+                return {k: [h[i] for h in hits] for i, k in enumerate(("doc_id", "number", "shared", "item_shingles", "containment"))}
 
             return work
 
-        found.append(arrow_map(rows, ["doc_id", "body"], RESULT, make))
-    return reduce(DataFrame.unionAll, found)
+        found.append(arrow_map(rows, ["doc_id", "body"], FOUND, make))
+    return reduce(DataFrame.unionAll, found).join(items, "number").select("doc_id", "item_id", "shared", "item_shingles", "containment")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows and columns of ``docs`` without documents that hold an item. Each row is judged by its own text, and rows
     with a null id as well."""
     context = docs.sparkSession.sparkContext
-    shingle, containment = how.get("shingle", SHINGLE), how.get("containment", CONTAINMENT)
+    shingle, containment, permutations = how.get("shingle", SHINGLE), how.get("containment", CONTAINMENT), how.get("permutations", PERMUTATIONS)
+    texts, _ = _item_texts(benchmark, how.get("item_key", "item_id"), how.get("item_text", "text"), shingle, permutations)
     out = docs
-    for block in _blocks(benchmark, how.get("item_key", "item_id"), how.get("item_text", "text")):
-        items = [(r["item_id"], r["item"]) for r in block.collect()]
-        index = context.broadcast(vars(ItemIndex(items, shingle, how.get("permutations", PERMUTATIONS))))
+    for block in _blocks(texts, Signatures(shingle, permutations)):
+        index = context.broadcast(block)
 
         @F.pandas_udf("boolean")
         def clean(texts, index=index):
             import pandas as pd
 
-            here, hashes = ItemIndex.restored(index.value), WordHashes()
+            here, hashes = index.value.ready(), WordHashes()
             return pd.Series([not here.search(words_of(t), hashes, containment) for t in texts], dtype=bool)
 
         out = out.filter(clean(F.col(text).cast("string")))
