@@ -44,3 +44,35 @@ def test_cases(messy, empty, spark):
     assert toxicity.keep_clean(messy, model | {"bias": -3.0}).columns == messy.columns
     none = toxicity.learn(empty, labels.limit(0))
     assert none["lexicon"] == {} and np.isclose(none["bias"], 0.0) and toxicity.score(empty, none).count() == 0
+
+
+def test_inflections_contractions_and_breaks():
+    lexer, table = toxicity.Lexer({"clown": 2.0}), toxicity.grammar()
+    match = lambda t: {p: v for p, v in zip(toxicity.PATTERNS, toxicity.match_clauses(t, lexer, table)) if v}
+    for text in ("i am killing you", "he killed them", "someone stabbed you", "ich habe dich getötet", "il va te tuer", "te mataré a ti"):
+        assert any(p.startswith("threat") for p in match(text)), text
+    assert match("he isn't a clown") == match("he isn’t a clown") == {"insult+negation": 2.0}
+    assert match("don't kill") == {"threat+negation": 1.0}
+    assert match("not today, clown") == {"insult": 2.0} and match("this is not nice but clown") == {"insult": 2.0}
+    assert match("not such a clown") == {"insult+negation": 2.0}
+    assert match("he said, what a clown") == {"insult+report": 2.0}
+    assert toxicity.inflected("stab", "en") == {"stab", "stabs", "stabbed", "stabbing"} and "strangling" in toxicity.inflected("strangle", "en")
+    assert toxicity.inflected("kill", "en") == {"kill", "kills", "killed", "killing"}
+
+
+def test_composed_table_equals_the_machines_one_by_one():
+    table, parts = toxicity.grammar(), toxicity.machines()
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        state, states = 0, [m[0] for m in parts]
+        for symbol in rng.integers(len(toxicity.SYMBOLS), size=40).tolist():
+            steps = [m[1](s, symbol) for m, s in zip(parts, states)]
+            states = [s for s, _ in steps]
+            state, marks = table[state][symbol]
+            assert marks == tuple(bool(mark) for _, mark in steps)
+
+
+def test_lost_weights_leave_a_fitting_bias():
+    x, y, n = np.array([[0.0], [1.0]]), np.array([1.0, 0.0]), np.array([30.0, 70.0])
+    bias, weights = toxicity._logistic(x, y, n)
+    assert weights == [0.0] and np.isclose(1 / (1 + np.exp(-bias)), 0.3)

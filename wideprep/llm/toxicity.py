@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer turns each token into a symbol: insult, threat, target, negation, reported speech, clause end, or
-nothing. Five small machines read the symbols: insults, threats, a target nearby (before or after), a negation shortly
-before, and reported speech anywhere earlier in the clause. Their composition is one table of states; running it
-over a clause yields weighted matches of a pattern (plain, targeted, negated, reported, ...), and it is the matched
-clauses that score, not the words alone.
+A lexical transducer turns each token into a symbol: insult, threat (verbs in their inflected forms), target, negation (contractions
+too), reported speech, break (a comma, "but"), clause end, or nothing. Six small machines read the symbols: insults, threats,
+a target nearby before or after, a negation shortly before with no break between, and reported speech anywhere earlier in
+the clause. Their composition is one table of states; running it over a clause yields weighted matches of a pattern (plain, targeted,
+negated, reported, ...), and it is the matched clauses that score, not the words alone.
 
 Insults and their weights are learned: words and word beginnings (stems of ``STEMS`` letters) whose documents are
 labelled toxic far more often than chance, among at most ``max_train`` labelled documents outside the held-out fold,
-taken in a random order of ids. The patterns' weights come from a logistic regression on the same documents.
+taken in a random order of ids. Of their terms the ``10 * MAX_LEXICON`` that most toxic documents hold are tested, and of those
+that pass the ``MAX_LEXICON`` heaviest are kept; a rarer insult is not learned. The patterns' weights come from a logistic regression on the
+same documents.
 
 Defined cases: null and empty texts have no clause and get the score of a document without matches; labels that are
 null, or contradict each other for one id, teach nothing; documents repeat freely; without any toxic or any clean label
@@ -31,17 +33,33 @@ MAX_LEXICON = 5_000
 STEMS = (4, 5, 6)
 MIN_SHARE = 0.9
 NEAR_TARGET, NEAR_NEGATION = 4, 3
-TOKEN = re.compile(r"\w+|[.!?;:\n]")
-ENDS = frozenset(".!?;:\n")
+TOKEN = re.compile(r"\w+n['’]t\b|\bn['’](?=\w)|\w+|[.!?;:\n,]")
+ENDS, COMMA = frozenset(".!?;:\n"), ","
 MEMO = 200_000
 
-# Closed word classes of the grammar (English, German, French, Spanish)
-THREATS = frozenset("kill murder shoot stab strangle behead töten umbringen erschießen tuer assassiner matar asesinar".split())
+
+def inflected(verb: str, language: str) -> set[str]:
+    """The regular forms of a verb."""
+    if language == "en":
+        stem = verb[:-1] if verb.endswith("e") else verb + verb[-1] if re.fullmatch(r".*[aeiou][bdgmnprt]", verb) and len(verb) < 5 else verb
+        return {verb, verb + "s", stem + "ed", stem + "ing"}
+    cut, endings = {"de": (2, "en e st t te ten tet et ete eten"), "fr": (2, "er e es é ée és ées ez ons ent era erai erez eront ait aient ant"),
+                    "es": (2, "ar o as a an é ó amos aron ado ada ando aré ará arán aría")}[language]
+    stem = verb[:-cut]
+    return {verb, *(stem + e for e in endings.split()), *(("ge" + stem + "t", "ge" + stem + "et") if language == "de" else ())}
+
+
+# Closed word classes of the grammar (English, German, French, Spanish); verbs by their regular forms, irregular ones beside them
+THREAT_VERBS = {"en": "kill murder shoot stab strangle behead", "de": "töten umbringen erschießen", "fr": "tuer assassiner poignarder",
+                "es": "matar asesinar apuñalar"}
+IRREGULAR = "shot umgebracht umzubringen erschossen erschoss"
+THREATS = frozenset(f for language, verbs in THREAT_VERBS.items() for v in verbs.split() for f in inflected(v, language)).union(IRREGULAR.split())
+BREAKS = frozenset("but aber sondern mais pero sino".split()) | {COMMA}
 TARGETS = frozenset("you your yours u he she they them him her du dich dir ihr euch sie tu te toi vous ils usted ustedes tú vosotros".split())
 NEGATIONS = frozenset("not no never nor neither cannot without nicht kein keine niemals ne pas jamais nunca jamás ni tampoco".split())
 REPORTS = frozenset("said says say wrote writes quoted quote called reported claims sagte schrieb nannte dit écrit dijo escribió llamó".split())
 
-OTHER, END, TARGET, NEGATION, REPORT, THREAT, INSULT = range(7)
+OTHER, END, BREAK, TARGET, NEGATION, REPORT, THREAT, INSULT = SYMBOLS = range(8)
 PATTERNS = ("insult", "insult+target", "insult+negation", "insult+report", "threat", "threat+target", "threat+negation", "threat+report")
 
 
@@ -50,9 +68,9 @@ def _machine(start, step):
     return start, step
 
 
-def _recent(symbol: int, reach: int):
-    """Marks symbols up to ``reach`` tokens after ``symbol`` in the clause."""
-    return _machine(0, lambda s, x: (0 if x == END else reach if x == symbol else max(0, s - 1), s > 0))
+def _recent(symbol: int, reach: int, until: tuple[int, ...] = (END,)):
+    """Marks symbols up to ``reach`` tokens after ``symbol``, with none of ``until`` between; breaks are not counted."""
+    return _machine(0, lambda s, x: (0 if x in until else reach if x == symbol else s if x == BREAK else max(0, s - 1), s > 0))
 
 
 def _earlier(symbol: int):
@@ -67,7 +85,7 @@ def _awaiting(symbols: tuple[int, ...], reach: int):
             return 0, False
         if x in symbols:
             return reach, False
-        return (0, s > 0) if x == TARGET else (max(0, s - 1), False)
+        return (0, s > 0) if x == TARGET else (s if x == BREAK else max(0, s - 1), False)
     return _machine(0, step)
 
 
@@ -82,7 +100,7 @@ def compose(*machines):
     while todo:
         state = todo.pop(0)
         row = []
-        for symbol in range(7):
+        for symbol in SYMBOLS:
             steps = [m[1](s, symbol) for m, s in zip(machines, state)]
             after = tuple(s for s, _ in steps)
             if after not in numbers:
@@ -93,9 +111,14 @@ def compose(*machines):
     return table
 
 
+def machines() -> tuple:
+    """Insult, threat, target before, target after, negated, reported."""
+    return (_emits(INSULT), _emits(THREAT), _recent(TARGET, NEAR_TARGET), _awaiting((INSULT, THREAT), NEAR_TARGET),
+            _recent(NEGATION, NEAR_NEGATION, (END, BREAK)), _earlier(REPORT))
+
+
 def grammar() -> list[list[tuple[int, tuple[bool, ...]]]]:
-    return compose(_emits(INSULT), _emits(THREAT), _recent(TARGET, NEAR_TARGET), _awaiting((INSULT, THREAT), NEAR_TARGET),
-                   _recent(NEGATION, NEAR_NEGATION), _earlier(REPORT))
+    return compose(*machines())
 
 
 class Lexer(dict):
@@ -110,8 +133,8 @@ class Lexer(dict):
             self.clear()
         weight = max((self.lexicon.get(f, 0.0) for f in terms(token)), default=0.0)
         symbol = (INSULT if weight > 0 else THREAT if token in THREATS else TARGET if token in TARGETS
-                  else NEGATION if token in NEGATIONS else REPORT if token in REPORTS
-                  else END if token in ENDS else OTHER)
+                  else NEGATION if token in NEGATIONS or token[-2:] in ("'t", "’t") or token in ("n'", "n’")
+                  else REPORT if token in REPORTS else END if token in ENDS else BREAK if token in BREAKS else OTHER)
         out = self[token] = (symbol, weight if symbol == INSULT else 1.0)
         return out
 
@@ -170,7 +193,7 @@ def _term_counts(training: DataFrame, only: frozenset | None) -> DataFrame:
         def work(batch):
             count = Counter()
             for y, t in zip(batch["toxic"].to_pylist(), batch["body"].to_pylist()):
-                found = {f for w in set(TOKEN.findall((t or "").lower())) if w not in ENDS for f in terms(w)}
+                found = {f for w in set(TOKEN.findall((t or "").lower())) if w not in ENDS and w != COMMA for f in terms(w)}
                 count.update((f, y) for f in (found if only is None else found & only))
             return {"term": [f for f, _ in count], "toxic": [y for _, y in count], "n": list(count.values())}
 
@@ -237,7 +260,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1) -
         w = w - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), [float(v) for v in np.maximum(w[1:], 0.0)]
+    kept = np.maximum(w[1:], 0.0)
+    bias, rest = w[0], x @ kept
+    for _ in range(50):  # the bias that goes with the weights kept
+        p = 1 / (1 + np.exp(-np.clip(bias + rest, -30, 30)))
+        bias += min(4.0, max(-4.0, float((n * (y - p)).sum() / max((n * p * (1 - p)).sum(), 1e-9))))
+    return float(bias), [float(v) for v in kept]
 
 
 def score_text(text: str | None, model: dict, lexer: Lexer, table) -> float:
