@@ -61,3 +61,21 @@ def test_cases(messy, empty):
     null = next(r for r in rows if r["doc_id"] == 2)
     assert null["size"] == 1 and null["text_crc32"] == 0
     assert sharding.interleave(empty).count() == 0
+
+
+def test_a_hot_id_is_spread_over_cells(spark, monkeypatch):
+    seen = []
+    original = sharding._placed
+
+    def spy(rows, groups, cell, order, name):
+        seen.append(max(r["count"] for r in rows.groupBy(*groups, cell).count().collect()))
+        return original(rows, groups, cell, order, name)
+
+    monkeypatch.setattr(sharding, "_placed", spy)
+    df = spark.range(9000, numPartitions=3).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("t").alias("text"), F.lit("s").alias("source"))
+    rows = sharding.interleave(df).collect()
+    assert sorted(r["place"] for r in rows) == list(range(9000)) and max(seen) < 700
+    per = Counter(r["shard"] for r in rows)
+    assert max(per.values()) - min(per.values()) <= 1
+    nulls = Counter(r["shard"] for r in rows if r["doc_id"] is None)
+    assert len(nulls) == 16 and max(nulls.values()) < 2 * min(nulls.values())

@@ -9,9 +9,10 @@ No rank or cut needs one task: rows fall into cells by the leading digits of the
 cells are counted map-side, and a row's place is the count before its cell plus its place inside. A source with a third
 of all rows is spread over its cells like any other.
 
-Defined cases: a null source is a source of its own; a null text has size 1 and the checksum of the empty text; repeated
-rows are placed one after another (equal rows are interchangeable); an empty table gives an empty result; texts are
-read once to measure them and never shuffled.
+Defined cases: a null source is a source of its own; a null text has size 1 and the checksum of the empty text; rows of one id are
+placed one after another (equal rows are interchangeable), unless there are so many (a null id, say) that they would fill cells by
+themselves: then each is drawn by its stored number too; an empty table gives an empty result; texts, long ones as well, are
+read once to measure them and never shuffled; other columns are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .common import store
 #: Rows a cell should hold, and cells that are summed in one task.
 CELL_ROWS = 500
 RUN = 1024
+HOT_IDS = 1000
 
 
 def _unit(text: Column) -> Column:
@@ -55,12 +57,18 @@ def interleave(df: DataFrame, shards: int = 16, seed: int = 7, key: str = "doc_i
     narrow = df.select(
         F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"),
         (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    narrow = store(narrow.withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))), "measured")
+    narrow = narrow.withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    narrow = store(narrow.withColumn("row", F.monotonically_increasing_id()), "measured")
     total = narrow.count()
     cells = max(1, -(-total // CELL_ROWS))
 
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    drawn = narrow.withColumn("draw", _unit(F.concat(F.lit(f"{seed}:"), id_text)))
+    # rows of an id that would fill cells by itself (at most HOT_IDS ids) are drawn by their stored number as well
+    often = narrow.groupBy(id_text.alias("hot")).agg(F.count(F.lit(1)).alias("rows_of")).filter(
+        F.col("rows_of") > max(CELL_ROWS, total // HOT_IDS)).select("hot")
+    drawn = narrow.join(F.broadcast(store(often, "hot-ids")), id_text == F.col("hot"), "left")
+    own = F.when(F.col("hot").isNotNull(), F.concat(F.lit(":"), F.col("row").cast("string"))).otherwise("")
+    drawn = drawn.withColumn("draw", _unit(F.concat(F.lit(f"{seed}:"), id_text, own))).drop("hot", "row")
     drawn = drawn.withColumn("cell", F.floor(F.col("draw") * cells).cast("int"))
     ranked = _placed(drawn, ["src"], "cell", ["draw", "doc_id", "text_crc32", "size"], "rank")
     sizes = store(narrow.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "sources")
