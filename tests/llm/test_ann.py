@@ -48,6 +48,26 @@ def test_many_equal_vectors_are_split_and_found(spark):
     assert [r["vec_id"] for r in got] == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("hashes", [0, 2])
+def test_many_queries_of_one_part_are_split(spark, hashes):
+    rng = np.random.default_rng(11)
+    rows = [(7 if i % 3 == 0 else i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 2)))]  # one id holds a third of the rows
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asks = F.col("id") % 3 <= 1
+
+    def found(**sizes):
+        got = ann.nearest(df, asks, hashes=hashes, probes=200, **sizes)
+        return sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in got.collect())
+
+    whole = found()
+    assert len(whole) == 5 * 300 and whole == found(query_rows=40) == found(query_rows=40, part_rows=150)
+
+
+def test_no_queries(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert ann.nearest(df, F.col("id") > 9).count() == 0
+
+
 def test_probes_come_in_order_of_estimated_success():
     family = ann.Family(4, 3, tables=1)
     x = family.project(0, np.array([[0.5, 0.1, -0.2, 0.3]]))[0]

@@ -10,8 +10,9 @@ fixed number of probes then visits an ever smaller share of the rows, it is lowe
 run: the exact neighbours of ``SAMPLE`` queries (those of the smallest xxhash64 of id) are found by brute force in blocks, and
 the tables must hold ``RECALL`` of them in probed buckets; with no projection left, all rows are one bucket and the search is exact.
 Buckets of a table are dealt to parts of about ``part_rows`` rows by a hash of the bucket; a part that holds more, because many
-vectors share a bucket, is dealt to several blocks by id, and queries that probe it go to each. A task sees one block and the
-queries that probe it, and hands on each query's best only, so neither candidates nor vectors gather anywhere.
+vectors share a bucket, is dealt to several blocks by id, and queries that probe it go to each; more than ``query_rows`` of them are dealt
+to groups, each of which meets every block. A task sees one block and one group, and hands on each query's best only, so neither
+candidates, vectors nor queries gather anywhere.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of a dimension other
 than the most frequent one (ties: the smaller); ids that are null take no part; rows that repeat an id and vector count once,
@@ -37,6 +38,8 @@ TABLES = 4
 PROBES = 480
 WIDTH = 2.0
 PART_ROWS = 16_384
+#: Queries of one part in a task, with the keys they probe: some 4 KB each.
+QUERY_ROWS = 8_192
 SEED = 20_240
 SAMPLE = 100
 #: Of the sample's neighbours; 0.9 of all queries' is required, and 500 neighbours of the sample leave an error of about 0.01.
@@ -179,7 +182,7 @@ def settled_hashes(rows: DataFrame, is_query: Column, k: int, start: int, dimens
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding",
             tables: int = TABLES, probes: int = PROBES, width: float = WIDTH, part_rows: int = PART_ROWS,
-            hashes: int | None = None) -> DataFrame:
+            query_rows: int = QUERY_ROWS, hashes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for each query row's ``k`` nearest; ``is_query`` is a condition on column ``id``. Without
     ``hashes`` the number of projections is set by measured recall."""
     rows = store(usable(vectors, key, vector), "vectors")
@@ -251,10 +254,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
 
     sizes = arrow_map(rows, ["id", "vec"], "t int, p int, n long", count_parts).groupBy("t", "p").agg(F.sum("n").alias("n"))
     sizes = store(sizes.select("t", "p", F.ceil(F.col("n") / (2.0 * part_rows)).cast("int").alias("blocks")), "parts")
-    data = arrow_map(rows, ["id", "vec"], "t int, p int, id long, key long, vec binary", index).join(sizes, ["t", "p"])
-    data = data.withColumn("s", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
+    data = arrow_map(rows, ["id", "vec"], "t int, p int, id long, key long, vec binary", index)
     asked = arrow_map(rows.filter(is_query), ["id", "vec"], "t int, p int, id long, keys array<long>, vec binary", visit)
-    asked = asked.join(sizes, ["t", "p"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = store(asked, "asked")
+    turns = asked.groupBy("t", "p").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("groups"))
+    sizes = store(sizes.join(turns, ["t", "p"]), "parts-asked")  # parts that no query probes need no shuffle
+    data = data.join(sizes, ["t", "p"]).withColumn("s", F.pmod(F.xxhash64("id", "vec"), F.col("blocks")).cast("int"))
+    data = data.withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("blocks", "groups")
+    asked = asked.join(sizes, ["t", "p"]).withColumn("g", F.pmod(F.xxhash64("id", "vec"), F.col("groups")).cast("int"))
+    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "groups")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -282,7 +290,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
                 out["score"] += found.values()
         return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    keys_ = ["t", "p", "s"]
+    keys_ = ["t", "p", "s", "g"]
     found = data.groupBy(*keys_).cogroup(asked.groupBy(*keys_)).applyInArrow(best, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
