@@ -10,7 +10,7 @@ Every row is a leaf. Leaves are sorted by (source, id) with a dense ordinal, so
 4. leaves and outer nodes are cogrouped by superblock: ``applyInPandas`` reduces the leaves again, joins each leaf's siblings with the outer
    ones, and folds the leaf (or its tampered form) up to the root.
 
-A hot source is split over superblocks; no source or level meets in one task. Stored: one narrow row a leaf, and the upper levels.
+A hot source is split over superblocks; no source or level meets in one task. Stored: narrow rows, three times a leaf, and the upper levels.
 
 Defined cases: null fields are ``-`` in a leaf; a null source is a source of its own, the first; a null id comes first in its source and is not tampered;
 rows of one id in one source go by their leaf digest; repeated rows are repeated leaves; a long text is hashed as one
@@ -73,7 +73,8 @@ def _levels(nodes: list[str], size: int, local_levels: int) -> list[list[str]]:
 
 def _placed(docs: DataFrame, block: int) -> DataFrame:
     """Leaves with the number of their source (``tree``), its ``size``, the superblock and the place in it."""
-    rows = with_ordinal(leaves(docs), ["source", "doc_id", "leaf"], name="at")
+    # stored first: range boundaries are drawn from the narrow rows, so texts are digested once
+    rows = with_ordinal(store(leaves(docs), "merkle-leaves"), ["source", "doc_id", "leaf"], name="at")
     found = rows.groupBy("source").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("size"))
     found = with_ordinal(found, ["start"], name="tree")
     if found.count() <= BROADCAST_SOURCES:
