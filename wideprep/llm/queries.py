@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, chat, decontam, langid, licenses, merkle, packing, pii, sharding, simhash, tokens, toxicity, trie
 from .common import held_out, read_table
+from .oracle import MERKLE_SQL, TRIE_SQL
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,4 +154,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-ORACLE = {"op8_licenses": _license_sql(), "op10_decontamination": _DECONTAM_SQL, "op12_chat_format": _CHAT_SQL}
+ORACLE = {"op8_licenses": _license_sql(), "op10_decontamination": _DECONTAM_SQL, "op11_prefix_trie": TRIE_SQL,
+          "op12_chat_format": _CHAT_SQL, "op13_merkle_manifest": MERKLE_SQL}
