@@ -46,3 +46,21 @@ def test_shuffle_files_of_a_stored_table_go_with_its_action(spark, tmp_path):
     assert spark.conf.get(name, None) == set_before
     assert not shuffle_files(spark) - before
     assert spark.read.parquet(str(tmp_path / "t")).count() == 7
+
+
+def test_the_log_of_two_saves_is_worked_out_once(spark, tmp_path, monkeypatch):
+    from wideprep.operators import audit
+    from wideprep.plans import queries as Q
+
+    plans, append = [], audit.append_log
+
+    def watched(log, path, save_id):
+        plans.append(log._jdf.queryExecution().optimizedPlan().toString())
+        append(log, path, save_id)
+
+    monkeypatch.setattr(audit, "append_log", watched)
+    folder = driver_tables(spark, tmp_path)
+    saved = Q.appended_log(spark, folder)
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
+    columns = ["record_id", "field", "original_value", "final_value"]
+    assert sorted(saved.select(columns).collect()) == sorted(Q.audit_log(spark, folder).select(columns).collect())

@@ -683,10 +683,10 @@ def quality_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: the log of two saves, the second one tried twice, read back from its folder."""
     from wideprep.operators.audit import append_log, read_log
-    from wideprep.session import new_table_path
+    from wideprep.session import new_table_path, stored_table
 
     path = new_table_path(spark, "audit-trail")
-    log = audit_log(spark, sf_dir)
+    log = stored_table(audit_log(spark, sf_dir), "audit-log")  # worked out once, saved three times
     append_log(log.filter("field = 'region'"), path, "1")
     for _ in range(2):
         append_log(log.filter("field <> 'region'"), path, "2")
