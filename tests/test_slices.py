@@ -112,3 +112,13 @@ def test_changed_cells_are_found_by_place(spark):
     assert sorted(map(tuple, edited.collect()), key=str) == sorted([("R1", "city", "a", "z"), ("R2", "city", None, "q")], key=str)
     for found in (log, edited):  # no cell is met by an interpreted lambda
         assert "filter(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_members_of_a_bundle_are_compressed(spark, tmp_path):
+    from wideprep.operators.deliver import MEMBERS, publish_bundle, read_member
+
+    out = spark.range(1000).select(F.col("id").cast("string").alias("a"), F.lit("the same words").alias("member"))
+    publish_bundle(str(tmp_path), dict.fromkeys(MEMBERS, out), spark.createDataFrame([(True,)], "match boolean"))
+    files = [f for f in tmp_path.glob("run-*/standardized_output/part-*")]
+    assert files and all(f.name.endswith(".csv.gz") for f in files)
+    assert read_member(spark, str(tmp_path), "standardized_output").count() == 1000
